@@ -37,6 +37,8 @@ class ForestParams:
             maxDepth=self.max_depth,
             minInstancesPerNode=self.min_leaf,
             subsamplingRate=self.sample_share,
+            # Each tree sees a share of the units drawn without replacement.
+            bootstrap=False,
             seed=self.seed if seed is None else seed,
         )
 
@@ -112,8 +114,8 @@ class EffectForest:
         names = [F.col(f"_g{g}") for g in range(len(self.halves))]
         mean = sum(names[1:], names[0]) / len(names)
         squares = [(n - mean) * (n - mean) for n in names]
-        # Half of the units, so the spread of a half-sample forest is twice the variance of the full one.
-        sd = F.sqrt(sum(squares[1:], squares[0]) / (len(names) - 1) / 2.0)
+        # Halves are drawn without replacement, so their spread around the full sample is its own variance.
+        sd = F.sqrt(sum(squares[1:], squares[0]) / (len(names) - 1))
         limits = {f"{out}_lower": F.col(out) - Z95 * sd, f"{out}_upper": F.col(out) + Z95 * sd}
         return scored.withColumns(limits).select(*df.columns, out, f"{out}_lower", f"{out}_upper")
 

@@ -1,29 +1,46 @@
-"""Per-arm outcome classifiers."""
+"""Per-arm outcome models."""
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taufold.functions.labels import by_arm, binarize
+from taufold.functions.labels import binarize, by_arm
 from taufold.sources.stage import stage
 
 
+def outcome_forest(trees: int = 100, depth: int = 10, seed: int = 42, features: str = "features") -> Estimator:
+    """Probability forest for a 0/1 outcome.
+
+    Variance of a 0/1 label is half its Gini impurity, so the splits are those of
+    a classification forest, and a leaf mean is the leaf's share of ones.
+    MLlib's classification trees merge leaves that predict the same class, which
+    would flatten the probabilities.
+    """
+    return RandomForestRegressor(
+        featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt"
+    )
+
+
 def score_by_arm(
-    fit_on: DataFrame, score_on: DataFrame, treatment: str, outcome: str, classifier: Estimator, cut: float = 0.5
+    fit_on: DataFrame, score_on: DataFrame, treatment: str, outcome: str, model: Estimator, cut: float = 0.5
 ) -> DataFrame:
     """Outcome probability of every unit under each arm, and under its own arm.
 
+    ``model`` is a probabilistic classifier, or a regressor of the 0/1 outcome.
     The in-sample report fits and scores the same units; pass a test table as
     ``score_on`` for an honest one.
     """
     staged = stage(fit_on.withColumn("_label", F.col(outcome).cast("double")), "classify")
     out = score_on
     for arm in (1, 0):
-        model = classifier.copy({classifier.labelCol: "_label"}).fit(staged.filter(F.col(treatment) == arm))
+        fitted = model.copy({model.labelCol: "_label"}).fit(staged.filter(F.col(treatment) == arm))
         kept = out.columns
-        out = model.transform(out).select(*kept, vector_to_array("probability")[1].alias(f"mu{arm}"))
+        scored = fitted.transform(out)
+        p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
+        out = scored.select(*kept, p.alias(f"mu{arm}"))
     own = by_arm(F.col(treatment), F.col("mu1"), F.col("mu0"))
     return out.withColumn("score", own).withColumn("predicted", binarize(F.col("score"), cut))
