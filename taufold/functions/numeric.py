@@ -57,14 +57,17 @@ def standard_normal(seed: int, *keys: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * uniform(seed, *keys, F.lit("t")))
 
 
-def poisson_one(seed: int, *keys: Column) -> Column:
-    """Poisson(1) draw per key, by inversion of one uniform."""
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) draw by inversion of a uniform.
+
+    Pass a computed column: the tree of comparisons names it several times.
+    """
     steps, total, term = [], 0.0, math.exp(-1.0)
     for k in range(13):
         term = term if k == 0 else term / k
         total += term
         steps.append(total)
-    return cuts_at_or_below(uniform(seed, *keys), steps)
+    return cuts_at_or_below(u, steps)
 
 
 def normal_tail(z: Column) -> Column:

@@ -14,8 +14,16 @@ LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+# Unicode white space and separators, one by one, for trimming from both ends.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim Unicode white space; looks at the ends only, unlike a regular expression."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def split_lines(c: Column) -> Column:
@@ -52,7 +60,7 @@ def is_term_line(line: Column) -> Column:
 
 def strip_page_number(line: Column) -> Column:
     """'Name 123' -> 'Name'; NULL where nothing is left."""
-    name = strip(F.regexp_extract(line, rf"^(.*?)(?:{SPACE}+{DIGIT}+)?$", 1))
+    name = strip(F.regexp_replace(line, rf"{SPACE}+{DIGIT}+$", ""))
     return F.when(name != "", name)
 
 

@@ -10,16 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taufold.functions.labels import first_match
-from taufold.functions.numeric import poisson_one
+from taufold.functions.numeric import poisson_one, uniform
+from taufold.operators.fitting import fit_all
 from taufold.sources.stage import stage
 
 # Trees that score a unit in one projection; more would outgrow the generated code.
 TREES_PER_PASS = 20
 
 
-def bag_weight(unit_id: str, round_no: int, seed: int):
-    """How often a unit is drawn in a round: Poisson(1), the large-sample law of the bootstrap count."""
-    return poisson_one(seed, F.lit(round_no), F.col(unit_id))
+def with_draws(df: DataFrame, unit_id: str, rounds: int, seed: int) -> DataFrame:
+    """Adds _d1.._dB: how often a unit is drawn in each round.
+
+    Poisson(1) is the large-sample law of a bootstrap count, and a hash of the
+    key gives the same draw on every layout and rerun.
+    """
+    uniforms = {f"_u{b}": uniform(seed, F.lit(b), F.col(unit_id)) for b in range(1, rounds + 1)}
+    draws = [poisson_one(F.col(f"_u{b}")).cast("tinyint").alias(f"_d{b}") for b in range(1, rounds + 1)]
+    return df.withColumns(uniforms).select(*df.columns, *draws)
 
 
 def out_of_bag(df: DataFrame, sampled: DataFrame, unit_id: str) -> DataFrame:
@@ -60,13 +67,16 @@ def bagged_tree_errors(
     A batch of trees scores a unit in one pass over the staged units, as columns,
     and the votes are unpivoted from there.
     """
-    base = stage(train.select(unit_id, features, F.col(label).cast("double").alias("label")), "bag-train")
+    labelled = train.select(unit_id, features, F.col(label).cast("double").alias("label"))
+    # One small column per round: each fit reads only its own.
+    base = stage(with_draws(labelled, unit_id, rounds, seed), "bag-train")
     held = stage(test.select(unit_id, features, F.col(label).cast("double").alias("label")), "bag-test")
-    models = []
+    jobs = []
     for b in range(1, rounds + 1):
-        drawn = base.withColumn("_drawn", bag_weight(unit_id, b, seed).cast("double")).filter("_drawn > 0")
+        drawn = base.select(features, "label", F.col(f"_d{b}").cast("double").alias("_drawn")).filter("_drawn > 0")
         tree = DecisionTreeClassifier(featuresCol=features, labelCol="label", weightCol="_drawn", seed=b, maxDepth=max_depth)
-        models.append(tree.fit(drawn))
+        jobs.append((tree, drawn))
+    models = fit_all(jobs)
 
     def predictions(df: DataFrame) -> DataFrame:
         batches = [range(i, min(i + TREES_PER_PASS, rounds)) for i in range(0, rounds, TREES_PER_PASS)]
@@ -77,12 +87,9 @@ def bagged_tree_errors(
         for i in batch:
             kept = out.columns
             out = models[i].transform(out).select(*kept, F.col("prediction").alias(f"_p{i}"))
+        out_of_bag_flag = (lambda i: F.col(f"_d{i + 1}") == 0) if "_d1" in df.columns else (lambda i: F.lit(True))
         cells = [
-            F.struct(
-                F.lit(i + 1).alias("round"),
-                F.col(f"_p{i}").alias("prediction"),
-                (bag_weight(unit_id, i + 1, seed) == 0).alias("oob"),
-            )
+            F.struct(F.lit(i + 1).alias("round"), F.col(f"_p{i}").alias("prediction"), out_of_bag_flag(i).alias("oob"))
             for i in batch
         ]
         return out.select(unit_id, "label", F.inline(F.array(*cells)))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from taufold.functions.numeric import hash32
 from taufold.functions.values import FOREST_GRID, Z95
+from taufold.operators.fitting import fit_all
 from taufold.operators.split import fold_of
 from taufold.sources.stage import stage
 
@@ -63,14 +64,17 @@ def residual_targets(
     tagged = df.withColumns({"_fold": fold_of(F.col(unit_id), folds, seed), "_w": w, "_t": F.col(treatment).cast("double")})
     staged = stage(tagged, "residual-folds", partition_by=("_fold",))
     kept = [F.col(c) for c in staged.columns]
+    jobs = []
+    for f in range(folds):
+        train = staged.filter(F.col("_fold") != f)
+        jobs.append((outcome_model.copy({outcome_model.labelCol: outcome, outcome_model.weightCol: "_w"}), train))
+        jobs.append((treatment_model.copy({treatment_model.labelCol: "_t", treatment_model.weightCol: "_w"}), train))
+    models = fit_all(jobs)
     parts = []
     for f in range(folds):
-        train, rest = staged.filter(F.col("_fold") != f), staged.filter(F.col("_fold") == f)
-        m_fit = outcome_model.copy({outcome_model.labelCol: outcome, outcome_model.weightCol: "_w"}).fit(train)
-        t_fit = treatment_model.copy({treatment_model.labelCol: "_t", treatment_model.weightCol: "_w"}).fit(train)
-        with_m = m_fit.transform(rest).select(*kept, F.col("prediction").alias("m"))
-        scored = t_fit.transform(with_m)
-        parts.append(scored.select(*kept, "m", vector_to_array("probability")[1].alias("e")))
+        m_fit, t_fit = models[2 * f : 2 * f + 2]
+        with_m = m_fit.transform(staged.filter(F.col("_fold") == f)).select(*kept, F.col("prediction").alias("m"))
+        parts.append(t_fit.transform(with_m).select(*kept, "m", vector_to_array("probability")[1].alias("e")))
     crossed = reduce(DataFrame.unionByName, parts)
     gap = F.col("_t") - F.col("e")
     return crossed.withColumns(
@@ -91,12 +95,12 @@ class EffectForest:
     @staticmethod
     def fit(targets: DataFrame, unit_id: str, params: ForestParams, features: str = "features", groups: int = 0) -> EffectForest:
         data = stage(targets.select(unit_id, features, "_target", "_weight"), "effect-train")
-        model = params.estimator(features, "_target", "_weight").fit(data)
-        halves = []
+        jobs = [(params.estimator(features, "_target", "_weight"), data)]
         for g in range(groups):
             half = data.filter(hash32(params.seed + 1 + g, F.col(unit_id)) % 2 == 0)
             trees = max(1, params.num_trees // groups)
-            halves.append(params.estimator(features, "_target", "_weight", trees, params.seed + 1 + g).fit(half))
+            jobs.append((params.estimator(features, "_target", "_weight", trees, params.seed + 1 + g), half))
+        model, *halves = fit_all(jobs)
         return EffectForest(model, tuple(halves))
 
     def effect(self, df: DataFrame, out: str = "cate") -> DataFrame:
@@ -128,14 +132,16 @@ def arm_effect(df: DataFrame, mu: Mapping[int, str], t0: int, t1: int, out: str
 def t_learner(df: DataFrame, treatment: str, outcome: str, arms: Sequence[int], regression: Estimator) -> dict[int, Model]:
     """One outcome model per arm."""
     staged = stage(df, "t-learner")
-    return {a: regression.copy({regression.labelCol: outcome}).fit(staged.filter(F.col(treatment) == a)) for a in arms}
+    model = regression.copy({regression.labelCol: outcome})
+    return dict(zip(arms, fit_all([(model, staged.filter(F.col(treatment) == a)) for a in arms])))
 
 
 def dr_learner(long: DataFrame, regression: Estimator, score: str = "dr") -> dict[int, Model]:
     """One regression of the doubly-robust score on the features per non-control arm."""
     staged = stage(long, "dr-learner")
     arms = sorted(r["arm"] for r in staged.select("arm").distinct().limit(1001).collect())
-    return {a: regression.copy({regression.labelCol: score}).fit(staged.filter(F.col("arm") == a)) for a in arms}
+    model = regression.copy({regression.labelCol: score})
+    return dict(zip(arms, fit_all([(model, staged.filter(F.col("arm") == a)) for a in arms])))
 
 
 def predict_arms(df: DataFrame, models: Mapping[int, Model], prefix: str) -> DataFrame:
@@ -186,12 +192,17 @@ def tune_forest(
     tagged = targets.withColumn("_cv", fold_of(F.col(unit_id), folds, seed + 1))
     columns = [unit_id, "features", "_target", "_weight", treatment, outcome, "_cv"]
     staged = stage(tagged.select(*columns), "tuning", partition_by=("_cv",))
+    jobs = [
+        (point.estimator("features", "_target", "_weight"), staged.filter(F.col("_cv") != f))
+        for point in points
+        for f in range(folds)
+    ]
+    models = fit_all(jobs)
     rows = []
     for number, point in enumerate(points):
         parts = []
         for f in range(folds):
-            model = point.estimator("features", "_target", "_weight").fit(staged.filter(F.col("_cv") != f))
-            scored = model.transform(staged.filter(F.col("_cv") == f))
+            scored = models[number * folds + f].transform(staged.filter(F.col("_cv") == f))
             parts.append(scored.select("_cv", "_target", "_weight", treatment, outcome, F.col("prediction").alias("cate")))
         scored = reduce(DataFrame.unionByName, parts)
         table = proxy_score(scored, "cate", treatment, outcome, "_cv") if loss == "proxy" else residual_score(scored, "cate", "_cv")

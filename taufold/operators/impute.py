@@ -17,24 +17,28 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     Values are counted by (column, value) first, so a column with many distinct
     values is spread over all tasks.  The built-in ``mode`` keeps them in one.
     """
-    out: dict[str, object] = dict.fromkeys(columns)
-    numeric = [c for c in columns if is_numeric(df, c)]
-    text = [c for c in columns if c not in numeric]
-    for names, kind in ((numeric, "double"), (text, "string")):
-        if not names:
-            continue
-        typed = df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in names])
-        counts = (
-            typed.unpivot([], names, "variable", "value")
-            .filter("value is not null")
-            .groupBy("variable", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
+    if not columns:
+        return {}
+    numeric = {c for c in columns if is_numeric(df, c)}
+    cells = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            (F.col(f"`{c}`") if c in numeric else F.lit(None)).cast("double").alias("number"),
+            (F.lit(None) if c in numeric else F.col(f"`{c}`")).cast("string").alias("text"),
         )
-        most = counts.groupBy("variable").agg(F.max("n").alias("n"))
-        # One row per column, so the broadcast is bounded by the table width.
-        best = counts.join(F.broadcast(most), ["variable", "n"]).groupBy("variable").agg(F.min("value").alias("value"))
-        out.update({r["variable"]: r["value"] for r in best.collect()})
-    return out
+        for c in columns
+    ]
+    counts = (
+        df.select(F.inline(F.array(*cells)))
+        .filter("number is not null or text is not null")
+        .groupBy("variable", "number", "text")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    most = counts.groupBy("variable").agg(F.max("n").alias("n"))
+    # One row per column, so the broadcast is bounded by the table width.
+    best = counts.join(F.broadcast(most), ["variable", "n"]).groupBy("variable")
+    found = {r["variable"]: r for r in best.agg(F.min("number").alias("number"), F.min("text").alias("text")).collect()}
+    return {c: found[c]["number" if c in numeric else "text"] if c in found else None for c in columns}
 
 
 def means(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> dict[str, float]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taufold.functions.labels import first_match
+from taufold.operators.fitting import fit_all
 from taufold.sources.stage import stage
 
 
@@ -32,12 +33,15 @@ def _with_position(df: DataFrame, treatment: str, arms: Sequence[int]) -> DataFr
     return df.withColumn("_position", position)
 
 
-def _fit(train: DataFrame, outcome: str, arms: Sequence[int], regression: Estimator, propensity: Estimator) -> list[Model]:
-    fitted = [propensity.copy({propensity.labelCol: "_position"}).fit(train)]
+def _jobs(
+    train: DataFrame, outcome: str, arms: Sequence[int], regression: Estimator, propensity: Estimator
+) -> list[tuple[Estimator, DataFrame]]:
+    """The propensity fit, then one outcome fit per arm."""
+    jobs = [(propensity.copy({propensity.labelCol: "_position"}), train)]
     for k in range(len(arms)):
         own = train.filter(F.col("_position") == float(k))
-        fitted.append(regression.copy({regression.labelCol: outcome}).fit(own))
-    return fitted
+        jobs.append((regression.copy({regression.labelCol: outcome}), own))
+    return jobs
 
 
 def _score(df: DataFrame, models: Sequence[Model], arms: Sequence[int]) -> DataFrame:
@@ -62,7 +66,7 @@ def fit_predict(
 ) -> DataFrame:
     """Models from the training units, predictions mu0.. and e0.. for the validation units."""
     labelled = stage(_with_position(train, treatment, arms), "nuisance-train")
-    return _score(val, _fit(labelled, outcome, arms, regression, propensity), arms)
+    return _score(val, fit_all(_jobs(labelled, outcome, arms, regression, propensity)), arms)
 
 
 def cross_fit(
@@ -77,8 +81,12 @@ def cross_fit(
 ) -> DataFrame:
     """Each unit is scored by models that did not see its fold: adds mu0.. and e0.. columns."""
     staged = stage(_with_position(df, treatment, arms), "folds", partition_by=(fold,))
-    parts = []
+    jobs = []
     for f in range(folds):
-        models = _fit(staged.filter(F.col(fold) != f), outcome, arms, regression, propensity)
-        parts.append(_score(staged.filter(F.col(fold) == f), models, arms))
+        jobs += _jobs(staged.filter(F.col(fold) != f), outcome, arms, regression, propensity)
+    models = fit_all(jobs)
+    per_fold = len(arms) + 1
+    parts = [
+        _score(staged.filter(F.col(fold) == f), models[f * per_fold : (f + 1) * per_fold], arms) for f in range(folds)
+    ]
     return reduce(DataFrame.unionByName, parts).drop("_position")

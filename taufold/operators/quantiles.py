@@ -2,8 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, so it
 is used only where a count has proven the groups small.  Beyond that, the value
-range around each wanted rank is narrowed by counting: every pass is one scan
-with a map-side combined histogram and no shuffle of the rows themselves.
+range around each wanted rank is narrowed by counting: the column is written
+once, and every pass is one scan of it with a map-side combined histogram and no
+shuffle of the rows themselves.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taufold.functions.numeric import interpolate
+from taufold.sources.stage import stage
 
 SMALL_GROUP = 1_000_000
 HISTOGRAM_BINS = 4096
@@ -46,7 +48,7 @@ def exact_quantiles(
         rows = data.groupBy(*by).agg(F.percentile("_x", wanted).alias("q")).collect()
         return {tuple(r[c] for c in by): list(r["q"]) for r in rows}
 
-    values = _order_statistics(data, by, groups, shares)
+    values = _order_statistics(stage(data, "quantile"), by, groups, shares)
     out = {}
     for key, size in groups.items():
         out[key] = []

@@ -21,6 +21,7 @@ from taufold.operators.encode import fixed_bins, one_hot_columns
 from taufold.operators.encode import levels as find_levels
 from taufold.operators.impute import fill, means, modes
 from taufold.operators.summary import has_unique_key
+from taufold.sources.stage import stage
 
 RECORD_COLUMNS = (
     "unit_id",
@@ -108,7 +109,10 @@ def fit_fill_values(derived: DataFrame) -> FillValues:
 def label_records(df: DataFrame, as_of: str, fitted: FillValues | None = None) -> DataFrame:
     """Labelled records; ``as_of`` (yyyy-MM-dd) stands for the day of the run."""
     derived = derive_labels(df, as_of)
-    fitted = fitted or fit_fill_values(derived)
+    if fitted is None:
+        # The fill values take their own passes; the joins and the text parsing should not repeat for them.
+        derived = stage(derived, "derived")
+        fitted = fit_fill_values(derived)
     c = F.col
     filled = fill(derived, fitted.values).withColumns(
         {

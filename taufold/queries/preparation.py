@@ -184,7 +184,7 @@ def text_codes(spark, sf):
 def frequent_terms(spark, sf):
     from taufold.operators.summary import term_counts
 
-    return term_counts(table(spark, sf, "documents"), "text", top=50)
+    return term_counts(S.spread_scan(table(spark, sf, "documents").select("text")), "text", top=50)
 
 
 @query(
@@ -260,7 +260,7 @@ def own_arm_score(spark, sf):
 def fill_with_mode(spark, sf):
     units = cohort(spark, sf).select("unit_id", "n_lines", "returned")
     both = units.join(raw_records(spark, sf).select("unit_id", "cci", "tissue"), "unit_id")
-    return I.fill_mode(both, ["n_lines", "returned", "cci", "tissue"])
+    return I.fill_mode(stage(both, "units"), ["n_lines", "returned", "cci", "tissue"])
 
 
 @query(

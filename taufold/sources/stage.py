@@ -17,7 +17,7 @@ _local_dirs: dict[str, str] = {}
 
 def stage_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/{sc.applicationId}"
     if not sc.master.startswith("local"):
@@ -37,3 +37,9 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     path = new_stage_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -67,7 +67,17 @@ def _context():
     return SparkSession.getActiveSession().sparkContext
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Use all cores for heavy work per row when a scan has fewer splits than cores.
+
+    A table of many files never gets here; a single small file does.  Call it on
+    a plain scan, whose number of splits is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per non-empty trimmed line, with its position in the page."""
-    exploded = df.select(id_col, F.posexplode(split_lines(F.col(text_col))).alias("line_no", "raw_line"))
+    exploded = spread_scan(df).select(id_col, F.posexplode(split_lines(F.col(text_col))).alias("line_no", "raw_line"))
     return exploded.select(id_col, "line_no", strip(F.col("raw_line")).alias("line")).filter(F.col("line") != "")
