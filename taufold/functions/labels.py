@@ -86,12 +86,21 @@ def stars(p: Column) -> Column:
     return first_match(((p < limit, mark) for limit, mark in STARS), "")
 
 
+def at_least(c: Column, low: float) -> Column:
+    """max(c, low) that keeps NULL; ``greatest`` would turn it into the bound."""
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
+
+
+def at_most(c: Column, high: float) -> Column:
+    return F.when(c.isNotNull(), F.least(c, F.lit(high)))
+
+
 def p_text(p: Column) -> Column:
-    return F.format_string("%.2e", floor_p(p))
+    return F.when(p.isNotNull(), F.format_string("%.2e", floor_p(p)))
 
 
 def floor_p(p: Column) -> Column:
-    return F.greatest(p, F.lit(P_FLOOR))
+    return at_least(p, P_FLOOR)
 
 
 def round_even(c: Column, digits: int) -> Column:

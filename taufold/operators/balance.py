@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taufold.functions.labels import at_most
 from taufold.functions.values import SMD_LIMIT, TRIM_PERCENTILE
 from taufold.operators.impute import fill, means, modes
 from taufold.operators.quantiles import exact_quantiles
@@ -63,7 +64,7 @@ def fit_propensity(
     values = {**means(df, numeric), **modes(df, flags)}
     rows = df.count() if n is None else n
     model = LogisticRegression(
-        featuresCol="features",
+        featuresCol="_x",
         labelCol=treatment,
         regParam=1.0 / (rows * c),
         elasticNetParam=0.0,
@@ -77,7 +78,7 @@ def fit_propensity(
 def _features(df: DataFrame, columns: Sequence[str], values: dict, keep: Sequence[str]) -> DataFrame:
     filled = fill(df, values).withColumns({f"_f{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(columns)})
     names = [f"_f{i}" for i in range(len(columns))]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(filled).select(*keep, "features")
+    return VectorAssembler(inputCols=names, outputCol="_x").transform(filled).select(*keep, "_x")
 
 
 def score_propensity(
@@ -97,7 +98,7 @@ def trim_weights(df: DataFrame, weight: str, share: float = TRIM_PERCENTILE, cap
     """Drop units above the percentile, or cap their weight instead."""
     limit = exact_quantiles(df, weight, [share])[()][0]
     if cap:
-        return df.withColumn(weight, F.least(F.col(weight), F.lit(limit)))
+        return df.withColumn(weight, at_most(F.col(weight), limit))
     return df.filter(F.col(weight) <= limit)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taufold.functions.labels import at_least
 from taufold.functions.values import PROPENSITY_FLOOR
 
 
@@ -20,7 +21,7 @@ def arm_positions(df: DataFrame, treatment: str) -> list[int]:
 
 def corrected_outcome(y: Column, in_arm: Column, mu: Column, e: Column) -> Column:
     """mu + 1[in arm] / max(e, floor) * (y - mu)."""
-    weight = F.when(in_arm, 1.0).otherwise(0.0) / F.greatest(e, F.lit(PROPENSITY_FLOOR))
+    weight = F.when(in_arm, 1.0).otherwise(0.0) / at_least(e, PROPENSITY_FLOOR)
     return mu + weight * (y - mu)
 
 

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.util import inheritable_thread_target
 
 T = TypeVar("T")
@@ -20,8 +20,9 @@ def run_all(tasks: Sequence[Callable[[], T]], parallel: int = PARALLEL_FITS) ->
     """Results in the order of ``tasks``; Spark schedules the jobs of concurrent tasks together."""
     if len(tasks) <= 1 or parallel <= 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return list(pool.map(lambda task: task(), [inheritable_thread_target(t) for t in tasks]))
+        return list(pool.map(lambda task: task(), [inherit(t) for t in tasks]))
 
 
 def fit_all(jobs: Sequence[tuple[Estimator, DataFrame]], parallel: int = PARALLEL_FITS) -> list[Model]:

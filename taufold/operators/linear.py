@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taufold.functions.labels import is_finite, round_even, stars
+from taufold.functions.labels import at_least, is_finite, round_even, stars
 from taufold.functions.numeric import student_two_sided, two_sided_p
 from taufold.functions.values import SIGNIFICANCE
 
@@ -173,7 +173,7 @@ def effect_slopes(long: DataFrame, score: str = "dr", cate: str = "cate", robust
     fitted = per_arm.withColumn("est", F.col("sxy") / sxx)
     n = F.col("n").cast("double")
     if not robust:
-        rest = F.greatest(F.col("syy") - F.col("est") * F.col("sxy"), F.lit(0.0))
+        rest = at_least(F.col("syy") - F.col("est") * F.col("sxy"), 0.0)
         return fitted.select("arm", "n", "est", F.sqrt(F.try_divide(rest, (n - 2.0) * sxx)).alias("se"))
     # One row per arm (see arm_positions), so the fitted side is broadcast.
     centred_x = x - F.col("mean_x")

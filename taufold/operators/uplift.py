@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taufold.functions.labels import first_match
+from taufold.functions.labels import at_least, first_match
 from taufold.functions.numeric import cuts_at_or_below, normal_tail, standard_normal
 from taufold.functions.values import Z95
 from taufold.operators.quantiles import exact_quantiles
@@ -103,11 +103,12 @@ def _analysis(moments: DataFrame, percentiles: Sequence[float], metric: str) ->
         - 2 * t * (F.col("hi") - F.col("lo")) * F.col("c1_ge")
         + F.col("total") * t * t
     )
-    errors = points.withColumn("err", F.sqrt(F.greatest(square, F.lit(0.0))) / F.col("total"))
+    errors = points.withColumn("err", F.sqrt(at_least(square, 0.0)) / F.col("total"))
     step_hi, step_lo = F.col("hi") * F.col("step"), F.col("lo") * F.col("step")
     return errors.withColumns(
         {
-            "area": F.sum(t * F.col("step")).over(arm),
+            # Without a value at one of the points there is no area.
+            "area": F.when(F.count(t * F.col("step")).over(arm) == F.count("step").over(arm), F.sum(t * F.col("step")).over(arm)),
             "a": F.coalesce(F.sum(step_hi).over(upward), F.lit(0.0))
             + F.coalesce(F.sum(step_lo).over(arm), F.lit(0.0))
             - F.coalesce(F.sum(step_lo).over(upward), F.lit(0.0)),
@@ -127,7 +128,7 @@ def uplift_coefficient(moments: DataFrame, percentiles: Sequence[float] = PERCEN
     c, a = F.col("area"), F.col("a")
     square = F.col("c2") * a * a - 2 * F.col("c1") * a * c + F.col("n") * c * c
     per_arm = rows.groupBy("arm", "area", "total").agg(F.sum(square).alias("square"))
-    se = F.sqrt(F.greatest(F.col("square"), F.lit(0.0))) / F.col("total")
+    se = F.sqrt(at_least(F.col("square"), 0.0)) / F.col("total")
     out = per_arm.select(F.col("arm").alias("treatment"), c.alias("est"), se.alias("se"))
     return out.withColumn("pval", normal_tail(F.try_divide(F.col("est"), F.col("se"))))
 
