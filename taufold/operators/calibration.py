@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from taufold.functions.labels import first_match, is_finite, stars
 from taufold.functions.numeric import two_sided_p
+from taufold.functions.values import Z95
 from taufold.operators.encode import closed_groups, quantile_bins
 from taufold.operators.quantiles import exact_quantiles
 
@@ -142,6 +143,12 @@ def calibration_groups(val: DataFrame, cuts: Mapping[int, Sequence[float]], scor
     )
 
 
+def gate_error_bars(groups: DataFrame) -> DataFrame:
+    """Group effects with their 95 % limits, ready to plot against the mean prediction."""
+    reach = Z95 * F.col("se_gate")
+    return groups.withColumns({"reach": reach, "lower": F.col("gate") - reach, "upper": F.col("gate") + reach})
+
+
 def calibration_score(groups: DataFrame) -> DataFrame:
     """(treatment, cal_g, cal_o, cal_r_squared), one row per arm; NULL if a group is empty."""
     def weighted(other: str) -> Column:

@@ -157,27 +157,36 @@ class Preprocessor:
         return Preprocessor(tuple(numeric), tuple(categorical), mean, sd, mode, levels(text, categorical))
 
     @property
-    def features(self) -> list[str]:
-        return [*self.numeric, *one_hot_names(self.level_map)]
+    def bases(self) -> dict[str, str]:
+        """{feature: base covariate} in feature order."""
+        flags = {f"cat__{level_name(b, str(v))}": b for b in self.categorical for v in self.level_map[b]}
+        return {**{f"num__{c}": c for c in self.numeric}, **flags}
 
     @property
-    def bases(self) -> dict[str, str]:
-        return {**{c: c for c in self.numeric}, **one_hot_names(self.level_map)}
+    def features(self) -> list[str]:
+        return list(self.bases)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Kept columns plus one double column per feature: a single projection."""
-        as_text = df.withColumns({c: F.col(c).cast("string") for c in self.categorical if c not in keep})
-        filled = fill(as_text, {**self.mean, **self.mode})
-        scaled = [_scaled(F.col(c), self.mean[c], self.sd[c]).alias(c) for c in self.numeric if c not in keep]
-        flags = [f.cast("double") for f in one_hot_columns(self.level_map)]
-        names = list(one_hot_names(self.level_map))
-        return filled.select(*keep, *scaled, *[f.alias(n) for f, n in zip(flags, names)])
-
-    def vectors(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        wide = self.transform(df, keep)
+        """Kept columns as they are plus one double column per feature: a single projection."""
+        out = []
+        for c in self.numeric:
+            filled = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(self.mean[c]))
+            out.append(_scaled(filled, self.mean[c], self.sd[c]).alias(f"num__{c}"))
+        for c in self.categorical:
+            filled = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(self.mode[c]).cast("string"))
+            for level in self.level_map[c]:
+                flag = F.coalesce((filled == str(level)).cast("double"), F.lit(0.0))
+                out.append(flag.alias(f"cat__{level_name(c, str(level))}"))
+        return df.select(*keep, *out)
+
+    def assemble(self, wide: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
+        """Feature columns of an already transformed table as one vector."""
         assembled = VectorAssembler(inputCols=self.features, outputCol=out).transform(wide)
         return assembled.select(*keep, out)
 
+    def vectors(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
+        return self.assemble(self.transform(df, keep), keep, out)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """One small row per covariate, as a Parquet table."""
         rows = [(c, True, self.mean[c], self.sd[c], None, None) for c in self.numeric]

@@ -38,6 +38,14 @@ def ratio_z(mean: Column, spread: Column) -> Column:
     return F.when(spread != 0, F.try_divide(mean, spread)).otherwise(infinite)
 
 
+def subgroup_error_bars(table: DataFrame) -> DataFrame:
+    """Subgroup means with two standard deviations to each side, lowest mean first."""
+    label = F.concat(F.col("subgroup_var"), F.lit(": "), F.col("subgroup_value"))
+    reach = 2.0 * F.col("sd")
+    limits = {"label": label, "lower": F.col("mean") - reach, "upper": F.col("mean") + reach}
+    return table.withColumns(limits).orderBy("mean", "label")
+
+
 def subgroup_table(df: DataFrame, subgroups: Sequence[str], cate: str = "cate", min_size: int = MIN_SUBGROUP) -> DataFrame:
     """Subgroup effects with z = mean / sd, its two-sided p and the mark of significance.
 

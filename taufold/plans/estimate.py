@@ -66,7 +66,7 @@ def estimate_effects(
     train, test = train_test_split(stage(weighted, "weighted"), roles.unit_id)
     pre = Preprocessor.fit(train, roles.numeric, roles.categorical)
     passed = [roles.unit_id, roles.treatment, roles.outcome, "weights"]
-    vectors = pre.vectors(train, keep=[c for c in passed if c not in roles.covariates])
+    vectors = pre.vectors(train, keep=passed)
     targets = residual_targets(
         vectors,
         roles.unit_id,
@@ -80,7 +80,6 @@ def estimate_effects(
         best = tune_forest(targets, roles.unit_id, roles.treatment, roles.outcome, grid).first()
         params = grid[best["point"]]
     forest = EffectForest.fit(targets, roles.unit_id, params, groups=interval_groups)
-    kept = [c for c in test.columns if c not in roles.covariates]
-    test_vectors = pre.vectors(test, keep=kept)
+    test_vectors = pre.vectors(test, keep=test.columns)
     scored = forest.effect_interval(test_vectors) if interval_groups else forest.effect(test_vectors)
     return Estimate(pre, forest, scored.drop("features"))

@@ -96,7 +96,8 @@ class DRScorer:
     """Any pyspark.ml regressor and probabilistic classifier as nuisance models.
 
     ``cate`` names the prediction columns already in the tables, one per
-    non-control arm.
+    non-control arm.  Folds are hash folds, or even within each arm when
+    ``stratified``, or an own column ``fold`` with values 0..folds-1.
     """
 
     regression: Estimator
@@ -105,6 +106,7 @@ class DRScorer:
     folds: int = 5
     seed: int = 123
     stratified: bool = False
+    fold: str | None = None
 
     def fit(
         self, val: DataFrame, unit_id: str, treatment: str, outcome: str, train: DataFrame | None = None
@@ -114,7 +116,8 @@ class DRScorer:
         if len(self.cate) != len(arms) - 1:
             raise ValueError("need one prediction column per non-control arm")
         if train is None:
-            return Validation(tuple(arms), self._scores(self._cross(val, unit_id, treatment, outcome, arms), unit_id, treatment, outcome, arms))
+            crossed = self._cross(val, unit_id, treatment, outcome, arms)
+            return Validation(tuple(arms), self._scores(crossed, unit_id, treatment, outcome, arms))
         scored = fit_predict(train, val, treatment, outcome, arms, self.regression, self.propensity)
         crossed = self._cross(train, unit_id, treatment, outcome, arms)
         return Validation(
@@ -124,7 +127,9 @@ class DRScorer:
         )
 
     def _cross(self, df: DataFrame, unit_id: str, treatment: str, outcome: str, arms: Sequence[int]) -> DataFrame:
-        if self.stratified:
+        if self.fold:
+            tagged = df.withColumn("_fold", F.col(self.fold))
+        elif self.stratified:
             tagged = with_stratified_folds(df, unit_id, treatment, self.folds, self.seed, "_fold")
         else:
             tagged = with_folds(df, unit_id, self.folds, self.seed, "_fold")

@@ -13,7 +13,7 @@ from taufold.operators.bagging import vote_errors
 from taufold.operators.cate import arm_effect, proxy_score
 from taufold.operators.dr import average_effect
 from taufold.operators.metrics import classification_report, roc_auc, threshold_metrics
-from taufold.operators.subgroup import subgroup_table
+from taufold.operators.subgroup import subgroup_error_bars, subgroup_table
 from taufold.plans.validate import combined_summary
 from taufold.queries.fixtures import (
     COHORT,
@@ -148,6 +148,18 @@ def subgroup_effects(spark, sf):
     return subgroup_table(scored(spark, sf), SUBGROUPS)
 
 
+@query(
+    "K30 I1 H6",
+    "label:s, mean:d, lower:d, upper:d",
+    f"""WITH {SCORED}, u AS (
+      SELECT 'segment: ' || segment AS label, cate FROM scored UNION ALL SELECT 'region: ' || region, cate FROM scored)
+    SELECT label, avg(cate) AS mean, avg(cate) - 2 * stddev_samp(cate) AS lower, avg(cate) + 2 * stddev_samp(cate) AS upper
+    FROM u GROUP BY label HAVING count(cate) >= 10""",
+)
+def subgroup_bars(spark, sf):
+    return subgroup_error_bars(subgroup_table(scored(spark, sf), ["segment", "region"]))
+
+
 @query(
     "S19",
     "key:i, tail:d, digits:d",
@@ -232,13 +244,13 @@ VAL = "val AS (SELECT * FROM long WHERE fold = 0)"
 
 
 @query(
-    "K19 E3",
-    "arm:i, ind:i, prob:d, gate:d, se_gate:d, g_cate:d, se_g_cate:d, ate:d",
-    f"WITH {TWO_ARMS}, {VAL}, {CAL_TWO} SELECT * FROM groups",
+    "K19 E3 K30",
+    "arm:i, ind:i, prob:d, gate:d, se_gate:d, g_cate:d, se_g_cate:d, ate:d, lower:d, upper:d",
+    f"WITH {TWO_ARMS}, {VAL}, {CAL_TWO} SELECT *, gate - 1.96 * se_gate AS lower, gate + 1.96 * se_gate AS upper FROM groups",
 )
 def calibration_group_table(spark, sf):
     train, val = train_val(stage(two_arms(spark, sf), "dr"))
-    return C.calibration_groups(val, C.group_cuts(train))
+    return C.gate_error_bars(C.calibration_groups(val, C.group_cuts(train)))
 
 
 @query(

@@ -19,13 +19,11 @@ from taufold.operators.classify import outcome_forest, score_by_arm
 from taufold.operators.metrics import classification_report
 from taufold.operators.split import train_test_split
 from taufold.operators.subgroup import subgroup_table
-from taufold.plans.estimate import attach_weights, estimate_effects, weigh_units
-from taufold.plans.prepare import encode_groups, encoded_names, group_records, label_records
+from taufold.plans import study
 from taufold.plans.validate import DRScorer
 from taufold.queries.effects import AUC, BLP_TWO, CAL_TWO, VAL, _uplift_sql
-from taufold.queries.fixtures import AS_OF, COHORT, SCORED, cohort, hash32_sql, records, scored, uniform_sql
+from taufold.queries.fixtures import AS_OF, COHORT, SCORED, cohort, hash32_sql, raw_records, scored, uniform_sql
 from taufold.queries.registry import query
-from taufold.roles import Roles
 from taufold.sources import tables as S
 from taufold.sources.stage import new_stage_path, stage
 
@@ -116,8 +114,8 @@ MEAN_EFFECTS = """SELECT arm, count(dr) AS n, avg(dr) AS ate, stddev_pop(dr) / s
       stddev_samp(dr) / sqrt(count(dr)) AS se_samp FROM long GROUP BY arm"""
 
 
-def scorer(stratified: bool = False) -> DRScorer:
-    return DRScorer(one_split(), shares(), ("cate", "cate2"), stratified=stratified)
+def scorer(stratified: bool = False, fold: str | None = None) -> DRScorer:
+    return DRScorer(one_split(), shares(), ("cate", "cate2"), stratified=stratified, fold=fold)
 
 
 @query(
@@ -126,7 +124,7 @@ def scorer(stratified: bool = False) -> DRScorer:
     f"WITH {UNITS}, {_nuisance_sql('fold <> kf')} {MEAN_EFFECTS}",
 )
 def cross_fitted_effects(spark, sf):
-    return scorer().fit(units(spark, sf), "unit_id", "arm", "outcome").average_effect()
+    return scorer(fold="fold").fit(units(spark, sf), "unit_id", "arm", "outcome").average_effect()
 
 
 @query(
@@ -293,17 +291,8 @@ def bagged_trees(spark, sf):
     "subgroup_var:s, subgroup_value:s, mean:d, sd:d, n:i, z_sd:d, p_value:d, significant:b",
 )
 def estimated_effects(spark, sf):
-    groups = group_records(label_records(records(spark, sf), AS_OF))
-    merged = stage(encode_groups(stage(groups, "groups")), "merged")
-    flags = encoded_names(groups, merged)
-    roles = Roles(
-        treatment="chemo_status",
-        outcome="survival_status",
-        numeric=("reoperation_label", "metastasis_label", "radiation_status"),
-        categorical=tuple(flags),
-    ).check(merged)
-    weights = weigh_units(merged, roles, smd_limit=0.005)
+    table_, roles = study.prepare(raw_records(spark, sf), AS_OF)
     grid = [ForestParams(num_trees=10, min_leaf=m, max_depth=2, sample_share=0.3) for m in (3, 5)]
     small = RandomForestRegressor(featuresCol="features", numTrees=10, maxDepth=4, seed=42)
-    fitted = estimate_effects(attach_weights(merged, weights, roles), roles, grid=grid, interval_groups=2, outcome_model=small)
-    return subgroup_table(fitted.scored_test, ["age_group", "size_group", "cci_group", "region_label", "gender"])
+    found = study.estimate(table_, roles, grid=grid, smd_limit=0.005, interval_groups=2, outcome_model=small)
+    return subgroup_table(found.scored_test, roles.subgroups)

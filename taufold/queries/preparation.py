@@ -378,13 +378,13 @@ def one_hot_drop_first(spark, sf):
 
 @query(
     "E6 E7 E8 D3 K3",
-    "unit_id:i, price:d, qty:d, region_AFRICA:d, region_ASIA:d, region_EUROPE:d",
+    "unit_id:i, num__price:d, num__qty:d, cat__region_AFRICA:d, cat__region_ASIA:d, cat__region_EUROPE:d",
     f"""WITH {COHORT}, split AS (SELECT *, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM cohort),
     f AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(qty) AS mq FROM split WHERE in_train),
     g AS (SELECT stddev_pop(coalesce(qty, mq)) AS sq FROM split, f WHERE in_train)
-    SELECT unit_id, (price - mp) / sp AS price, (coalesce(qty, mq) - mq) / sq AS qty,
-      CASE WHEN region = 'AFRICA' THEN 1 ELSE 0 END AS "region_AFRICA", CASE WHEN region = 'ASIA' THEN 1 ELSE 0 END AS "region_ASIA",
-      CASE WHEN region = 'EUROPE' THEN 1 ELSE 0 END AS "region_EUROPE" FROM split, f, g WHERE NOT in_train""",
+    SELECT unit_id, (price - mp) / sp AS num__price, (coalesce(qty, mq) - mq) / sq AS num__qty,
+      CASE WHEN region = 'AFRICA' THEN 1 ELSE 0 END AS "cat__region_AFRICA", CASE WHEN region = 'ASIA' THEN 1 ELSE 0 END AS "cat__region_ASIA",
+      CASE WHEN region = 'EUROPE' THEN 1 ELSE 0 END AS "cat__region_EUROPE" FROM split, f, g WHERE NOT in_train""",
 )
 def fitted_preprocessor(spark, sf):
     df = cohort(spark, sf).select("unit_id", "price", "qty", "region")

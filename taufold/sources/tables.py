@@ -18,9 +18,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return nan_to_null(reader.csv(path))
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, nan_as_null: bool = False
+) -> DataFrame:
+    """Parquet keeps NULL, so NaN is only replaced on request: the replacement hides a column from filter pushdown."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return nan_to_null(reader.parquet(path))
+    df = reader.parquet(path)
+    return nan_to_null(df) if nan_as_null else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -107,7 +107,8 @@ def test_preprocessor_unseen_level_and_constant(spark):
     test = spark.createDataFrame([(2.0, 6.0, "z"), (None, 5.0, None)], "x double, c double, v string")
     fitted = E.Preprocessor.fit(train, ["x", "c"], ["v"])
     got = [tuple(r) for r in fitted.transform(test).collect()]
-    assert fitted.features == ["x", "c", "v_a", "v_b"]
+    assert fitted.features == ["num__x", "num__c", "cat__v_a", "cat__v_b"]
+    assert list(fitted.bases.values()) == ["x", "c", "v", "v"]
     assert got[0] == pytest.approx((0.0, 1.0, 0.0, 0.0))
     assert got[1] == pytest.approx((0.0, 0.0, 0.0, 1.0))
 
