@@ -28,10 +28,11 @@ from taufold.sources.stage import stage
 
 def weigh_units(df: DataFrame, roles: Roles, smd_limit: float = 0.1) -> DataFrame:
     """(unit_id, weights): inverse-probability weights on the imbalanced covariates, trimmed."""
-    smd = smd_table(df, roles.treatment, roles.numeric, roles.categorical)
+    known_flags = roles.flags or roles.categorical
+    smd = smd_table(df, roles.treatment, roles.numeric, known_flags)
     wanted = imbalanced_names(smd, smd_limit)
     numeric = [c for c in wanted if c in roles.numeric]
-    flags = [c for c in wanted if c in roles.categorical]
+    flags = [c for c in wanted if c in known_flags]
     if not wanted:
         raise ValueError(f"no covariate has a standardized difference above {smd_limit}")
     model, values = fit_propensity(df, roles.treatment, numeric, flags)

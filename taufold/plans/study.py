@@ -17,7 +17,7 @@ from taufold.operators.metrics import classification_report
 from taufold.operators.rate import rank_by_score, rate_summary, targeting_curve, top_share_subgroups, with_curve_band
 from taufold.operators.subgroup import subgroup_error_bars, subgroup_table
 from taufold.plans.estimate import Estimate, attach_weights, estimate_effects, weigh_units
-from taufold.plans.prepare import clean_records, encode_groups, encoded_names, group_records, label_records
+from taufold.plans.prepare import CATEGORIES, clean_records, encode_groups, encoded_names, group_records, label_records
 from taufold.roles import Roles
 from taufold.sources.stage import stage
 
@@ -44,8 +44,9 @@ def prepare(records: DataFrame, as_of: str, names: dict[str, str] | None = None)
         treatment="chemo_status",
         outcome="survival_status",
         numeric=NUMERIC,
-        categorical=tuple(encoded_names(groups, merged)),
+        categorical=CATEGORIES,
         subgroups=SUBGROUPS,
+        flags=tuple(encoded_names(groups, merged)),
     )
     return merged, roles.check(merged)
 

@@ -17,6 +17,8 @@ class Roles:
     categorical: tuple[str, ...] = ()
     subgroups: tuple[str, ...] = ()
     weight: str | None = None
+    # 0/1 columns of the categories, for balance and propensity; the effect model encodes the categories itself.
+    flags: tuple[str, ...] = ()
 
     @property
     def covariates(self) -> tuple[str, ...]:
@@ -24,7 +26,7 @@ class Roles:
 
     def check(self, df: DataFrame) -> Roles:
         """Raise if a named column is missing from ``df``."""
-        named = [self.unit_id, self.treatment, self.outcome, *self.covariates, *self.subgroups]
+        named = [self.unit_id, self.treatment, self.outcome, *self.covariates, *self.subgroups, *self.flags]
         if self.weight:
             named.append(self.weight)
         missing = [c for c in named if c not in df.columns]
@@ -38,7 +40,7 @@ class Roles:
         Columns already named numeric stay numeric; the rest are categorical, as
         they are one-hot flags or codes.  Only the schema is read, no data.
         """
-        taken = {self.unit_id, self.treatment, self.outcome, self.weight, *exclude, *self.subgroups, *self.numeric}
+        taken = {self.unit_id, self.treatment, self.outcome, self.weight, *exclude, *self.subgroups, *self.numeric, *self.flags}
         rest = tuple(c for c in df.columns if c not in taken)
         return replace(self, categorical=rest)
 
