@@ -43,7 +43,7 @@ def code_in_parentheses(c: Column) -> Column:
 
 def leading_integer(c: Column) -> Column:
     """'[3] text' or '3 text' -> 3, else NULL."""
-    digits = F.regexp_extract(strip(c), rf"^\[?({DIGIT}+)\]?", 1)
+    digits = F.regexp_extract(strip(c.cast("string")), rf"^\[?({DIGIT}+)\]?", 1)
     return F.when(digits != "", digits).try_cast("bigint")
 
 

@@ -41,6 +41,11 @@ INDEX_LABELS = ("0", "1", "2", "3", "4", "5", "6")
 # Significance marks: upper p limit (exclusive) and mark.
 STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"), (0.1, "."))
 
+# Coefficient names of the calibration regression.
+CONSTANT = "Intercept"
+MEAN_PREDICTION = "mean.forest.prediction"
+DIFFERENCE = "differential.forest.prediction"
+
 # Thresholds.
 SMD_LIMIT = 0.1
 PROPENSITY_FLOOR = 0.01

@@ -59,7 +59,7 @@ def bagged_tree_errors(
     label: str,
     rounds: int = 200,
     seed: int = 42,
-    max_depth: int = 5,
+    max_depth: int = 10,
     features: str = "features",
 ) -> DataFrame:
     """(round, oob_error, test_error) for rounds 1..B.

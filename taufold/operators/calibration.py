@@ -10,12 +10,10 @@ from pyspark.sql import types as T
 
 from taufold.functions.labels import first_match, is_finite, stars
 from taufold.functions.numeric import two_sided_p
-from taufold.functions.values import Z95
+from taufold.functions.values import CONSTANT, DIFFERENCE, MEAN_PREDICTION, Z95
 from taufold.operators.encode import closed_groups, quantile_bins
 from taufold.operators.quantiles import exact_quantiles
 
-CONSTANT, MEAN_PREDICTION, DIFFERENCE = "Intercept", "mean.forest.prediction", "differential.forest.prediction"
-
 
 def calibration_bins(
     df: DataFrame, cate: str, treatment: str, outcome: str, bins: int = 5, cuts: Sequence[float] | None = None

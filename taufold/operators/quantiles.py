@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from taufold.functions.numeric import interpolate
 from taufold.sources.stage import stage
 
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 250_000
 HISTOGRAM_BINS = 4096
 MAX_GROUPS = 10_000
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,10 @@ def zero_one_counts(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def share_table(df: DataFrame, column: str) -> DataFrame:
-    """Count and percentage of each value.  The window runs over one row per value."""
+    """Count and percentage of each value; the total is one number from a pass over the counts."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(F.lit(0))
-    return counted.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(whole))
+    total = counted.agg(F.sum("n")).first()[0]
+    return counted.withColumn("pct", 100.0 * F.col("n") / F.lit(total))
 
 
 def distinct_keys(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:

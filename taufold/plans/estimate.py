@@ -73,7 +73,7 @@ def estimate_effects(
         roles.unit_id,
         roles.treatment,
         roles.outcome,
-        outcome_model or RandomForestRegressor(featuresCol="features", numTrees=100, seed=42),
+        outcome_model or RandomForestRegressor(featuresCol="features", numTrees=100, maxDepth=10, seed=42),
         treatment_model or LogisticRegression(featuresCol="features", maxIter=1000),
         weight="weights",
     )

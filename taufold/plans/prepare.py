@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taufold.functions import labels as L
 from taufold.functions import text as X
@@ -23,28 +24,32 @@ from taufold.operators.impute import fill, means, modes
 from taufold.operators.summary import has_unique_key
 from taufold.sources.stage import stage
 
-RECORD_COLUMNS = (
-    "unit_id",
-    "birth_year",
-    "gender",
-    "first_contact",
-    "diagnosis",
-    "grade",
-    "cci",
-    "region_code",
-    "tissue",
-    "size_mm",
-    "n_operations",
-    "radio_indication",
-    "chemo_first_indication",
-    "line_start",
-    "line_end",
-    "n_metastasis",
-    "metastasis_date",
-    "last_follow_up",
-    "death_date",
-    "status",
+# Declared types of a record table; text that may hold a missing mark or a bad date stays text here.
+RECORD_SCHEMA = T.StructType(
+    [
+        T.StructField("unit_id", T.StringType()),
+        T.StructField("birth_year", T.IntegerType()),
+        T.StructField("gender", T.StringType()),
+        T.StructField("first_contact", T.StringType()),
+        T.StructField("diagnosis", T.StringType()),
+        T.StructField("grade", T.StringType()),
+        T.StructField("cci", T.DoubleType()),
+        T.StructField("region_code", T.DoubleType()),
+        T.StructField("tissue", T.StringType()),
+        T.StructField("size_mm", T.StringType()),
+        T.StructField("n_operations", T.DoubleType()),
+        T.StructField("radio_indication", T.StringType()),
+        T.StructField("chemo_first_indication", T.StringType()),
+        T.StructField("line_start", T.StringType()),
+        T.StructField("line_end", T.StringType()),
+        T.StructField("n_metastasis", T.StringType()),
+        T.StructField("metastasis_date", T.StringType()),
+        T.StructField("last_follow_up", T.StringType()),
+        T.StructField("death_date", T.StringType()),
+        T.StructField("status", T.StringType()),
+    ]
 )
+RECORD_COLUMNS = tuple(RECORD_SCHEMA.fieldNames())
 GROUP_COLUMNS = (
     "unit_id",
     "survival_status",

@@ -249,7 +249,7 @@ VAL = "val AS (SELECT * FROM long WHERE fold = 0)"
     f"WITH {TWO_ARMS}, {VAL}, {CAL_TWO} SELECT *, gate - 1.96 * se_gate AS lower, gate + 1.96 * se_gate AS upper FROM groups",
 )
 def calibration_group_table(spark, sf):
-    train, val = train_val(stage(two_arms(spark, sf), "dr"))
+    train, val = train_val(stage(two_arms(spark, sf).drop("unit_id"), "dr"))
     return C.gate_error_bars(C.calibration_groups(val, C.group_cuts(train)))
 
 
@@ -287,7 +287,7 @@ def _uplift_sql(metric: str) -> str:
 
 
 def _moments(spark, sf):
-    train, val = train_val(stage(two_arms(spark, sf), "dr"))
+    train, val = train_val(stage(two_arms(spark, sf).drop("unit_id"), "dr"))
     return U.bucket_moments(val, U.thresholds(train))
 
 
@@ -360,7 +360,7 @@ def uniform_bands(spark, sf):
     FROM blp_p JOIN qini_coef q USING (treatment) JOIN toc_coef t USING (treatment) JOIN cal USING (treatment)""",
 )
 def combined_tests(spark, sf):
-    train, val = train_val(stage(two_arms(spark, sf), "dr"))
+    train, val = train_val(stage(two_arms(spark, sf).drop("unit_id"), "dr"))
     moments = stage(U.bucket_moments(val, U.thresholds(train)), "moments")
     cal = C.calibration_score(C.calibration_groups(val, C.group_cuts(train)))
     return combined_summary(

@@ -1,10 +1,12 @@
 """A whole study from a CSV file, with source column names of its own."""
 
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import types as T
 
 from taufold.operators.cate import ForestParams
 from taufold.operators.encode import Preprocessor
 from taufold.plans import study
+from taufold.plans.prepare import RECORD_COLUMNS, RECORD_SCHEMA
 from taufold.queries.fixtures import AS_OF, raw_records
 from taufold.sources import tables as S
 from taufold.sources.stage import drop_stages, new_stage_path, stage, stage_root
@@ -12,9 +14,11 @@ from taufold.sources.stage import drop_stages, new_stage_path, stage, stage_root
 
 def test_study_from_csv(spark):
     path = new_stage_path(spark, "records")
-    source = raw_records(spark, "/root/testdata/sf0.001").withColumnsRenamed({"unit_id": "Record No", "gender": "Sex"})
+    source = raw_records(spark, "/root/testdata/sf0.001").select(*RECORD_COLUMNS).withColumnsRenamed({"unit_id": "Record No", "gender": "Sex"})
     S.write_table(source, path, "csv")
-    records = S.read_csv(spark, path, source.schema)
+    back = {"unit_id": "Record No", "gender": "Sex"}
+    declared = T.StructType([T.StructField(back.get(f.name, f.name), f.dataType) for f in RECORD_SCHEMA.fields])
+    records = S.read_csv(spark, path, declared)
     table, roles = study.prepare(records, AS_OF, {"Record No": "unit_id", "Sex": "gender"})
     assert table.count() == source.count()
     small = RandomForestRegressor(featuresCol="features", numTrees=5, maxDepth=3, seed=42)
