@@ -18,26 +18,27 @@ from taufold.functions.values import (
 )
 
 
-def cuts_at_or_below(c: Column, cuts: Sequence[float]) -> Column:
-    """How many of the sorted ``cuts`` are <= c, as a balanced tree of comparisons.
+def cuts_at_or_below(column: str, cuts: Sequence[float]) -> Column:
+    """How many of the sorted ``cuts`` are <= the named column, as a balanced tree of comparisons.
 
     Stays inside generated code with log2(len(cuts)) comparisons per row; no join
     of rows with cuts.  NULL stays NULL.
     """
-    return F.when(c.isNotNull(), _search(c, list(cuts), 0, len(cuts), strict=False))
+    return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {_search(f'`{column}` >=', cuts, 0, len(cuts))} END")
 
 
-def cuts_below(c: Column, cuts: Sequence[float]) -> Column:
-    """How many of the sorted ``cuts`` are < c."""
-    return F.when(c.isNotNull(), _search(c, list(cuts), 0, len(cuts), strict=True))
+def cuts_below(column: str, cuts: Sequence[float]) -> Column:
+    """How many of the sorted ``cuts`` are < the named column."""
+    return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {_search(f'`{column}` >', cuts, 0, len(cuts))} END")
 
 
-def _search(c: Column, cuts: list[float], low: int, high: int, strict: bool) -> Column:
+def _search(compare: str, cuts: Sequence[float], low: int, high: int) -> str:
+    """SQL text: parsed once, where the same tree of Column calls takes a round trip per node."""
     if low == high:
-        return F.lit(low)
+        return str(low)
     mid = (low + high) // 2
-    passed = c > cuts[mid] if strict else c >= cuts[mid]
-    return F.when(passed, _search(c, cuts, mid + 1, high, strict)).otherwise(_search(c, cuts, low, mid, strict))
+    above, below = _search(compare, cuts, mid + 1, high), _search(compare, cuts, low, mid)
+    return f"CASE WHEN {compare} DOUBLE('{float(cuts[mid])!r}') THEN {above} ELSE {below} END"
 
 
 def hash32(seed: int, *keys: Column) -> Column:
@@ -57,17 +58,14 @@ def standard_normal(seed: int, *keys: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * uniform(seed, *keys, F.lit("t")))
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw by inversion of a uniform.
-
-    Pass a computed column: the tree of comparisons names it several times.
-    """
+def poisson_one(uniform_column: str) -> Column:
+    """Poisson(1) draw by inversion of a column of uniforms."""
     steps, total, term = [], 0.0, math.exp(-1.0)
     for k in range(13):
         term = term if k == 0 else term / k
         total += term
         steps.append(total)
-    return cuts_at_or_below(u, steps)
+    return cuts_at_or_below(uniform_column, steps)
 
 
 def normal_tail(z: Column) -> Column:

@@ -25,7 +25,7 @@ def with_draws(df: DataFrame, unit_id: str, rounds: int, seed: int) -> DataFrame
     key gives the same draw on every layout and rerun.
     """
     uniforms = {f"_u{b}": uniform(seed, F.lit(b), F.col(unit_id)) for b in range(1, rounds + 1)}
-    draws = [poisson_one(F.col(f"_u{b}")).cast("tinyint").alias(f"_d{b}") for b in range(1, rounds + 1)]
+    draws = [poisson_one(f"_u{b}").cast("tinyint").alias(f"_d{b}") for b in range(1, rounds + 1)]
     return df.withColumns(uniforms).select(*df.columns, *draws)
 
 

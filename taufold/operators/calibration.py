@@ -112,7 +112,7 @@ def calibration_groups(val: DataFrame, cuts: Mapping[int, Sequence[float]], scor
     A unit on an inner cut counts in both neighbours, a unit outside the training
     range in none; both shares and the overall effect refer to all units.
     """
-    groups = first_match((F.col("arm") == arm, closed_groups(F.col(cate), arm_cuts)) for arm, arm_cuts in cuts.items())
+    groups = first_match((F.col("arm") == arm, closed_groups(cate, arm_cuts)) for arm, arm_cuts in cuts.items())
     s, c = F.col(score), F.col(cate)
     overall = val.groupBy("arm").agg(F.count(F.lit(1)).alias("total"), F.avg(s).alias("ate"))
     member = val.select("arm", score, cate, F.explode(groups).alias("ind"))

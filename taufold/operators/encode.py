@@ -35,19 +35,18 @@ def quantile_bins(
     if cuts is None:
         cuts = exact_quantiles(df, value, [i / bins for i in range(bins + 1)])[()]
     kept = distinct_cuts(cuts)
-    c = F.col(value).cast("double")
-    inside = c.between(kept[0], kept[-1])
-    return df.withColumn(out, F.when(inside, F.greatest(cuts_below(c, kept) - 1, F.lit(0))))
+    inside = F.col(value).between(kept[0], kept[-1])
+    return df.withColumn(out, F.when(inside, F.greatest(cuts_below(value, kept) - 1, F.lit(0))))
 
 
-def closed_groups(c: Column, cuts: Sequence[float]) -> Column:
+def closed_groups(column: str, cuts: Sequence[float]) -> Column:
     """Array of the groups whose closed range [cut_i, cut_i+1] holds the value.
 
     A value on an inner cut is in both neighbours; a value outside all cuts is in none.
     """
-    first = F.greatest(cuts_below(c, cuts) - 1, F.lit(0))
-    last = F.least(cuts_at_or_below(c, cuts) - 1, F.lit(len(cuts) - 2))
-    return F.when(c.between(cuts[0], cuts[-1]), F.sequence(first, last))
+    first = F.greatest(cuts_below(column, cuts) - 1, F.lit(0))
+    last = F.least(cuts_at_or_below(column, cuts) - 1, F.lit(len(cuts) - 2))
+    return F.when(F.col(column).between(cuts[0], cuts[-1]), F.sequence(first, last))
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from taufold.sources.stage import stage
 
 SMALL_GROUP = 250_000
 HISTOGRAM_BINS = 4096
+# Rows in the open ranges that are few enough to fetch value by value.
+COLLECTED_VALUES = 100_000
 MAX_GROUPS = 10_000
 
 
@@ -59,43 +62,56 @@ def exact_quantiles(
     return out
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Value range of one group that holds wanted zero-based ranks."""
+
+    key: tuple
+    low: float
+    high: float
+    below: int
+    size: int
+    ranks: tuple[int, ...]
+
+
 def _order_statistics(data: DataFrame, by: list[str], groups: dict, shares: Sequence[float]) -> dict:
     """Value at each needed zero-based rank of each group."""
     found: dict[tuple, float] = {}
-    # One bracket: ranks wanted inside it, its value range, and the number of rows below it.
     brackets = []
     for key, size in groups.items():
-        ranks = sorted({r for s in shares for r in (math.floor(s * (size["n"] - 1)), math.ceil(s * (size["n"] - 1)))})
-        brackets.append((key, size["low"], size["high"], 0, ranks))
+        ranks = {r for s in shares for r in (math.floor(s * (size["n"] - 1)), math.ceil(s * (size["n"] - 1)))}
+        brackets.append(_Bracket(key, size["low"], size["high"], 0, size["n"], tuple(sorted(ranks))))
 
     while brackets:
-        open_brackets = []
-        for key, low, high, below, ranks in brackets:
-            if low == high:
-                found.update({(key, r): low for r in ranks})
-            else:
-                open_brackets.append((key, low, high, below, ranks))
-        if not open_brackets:
+        found.update({(b.key, r): b.low for b in brackets if b.low == b.high for r in b.ranks})
+        brackets = [b for b in brackets if b.low < b.high]
+        if not brackets:
             break
-        histograms = _histograms(data, by, open_brackets)
-        brackets = []
-        for number, (key, _, _, below, ranks) in enumerate(open_brackets):
-            pending = list(ranks)
-            for bin_row in histograms[number]:
-                last = below + bin_row["n"] - 1
-                inside = [r for r in pending if r <= last]
-                if inside:
-                    brackets.append((key, bin_row["low"], bin_row["high"], below, inside))
-                    pending = [r for r in pending if r > last]
-                below += bin_row["n"]
+        few = sum(b.size for b in brackets) <= COLLECTED_VALUES
+        counted = _counts(data, by, brackets, None if few else HISTOGRAM_BINS)
+        brackets = [inner for number, b in enumerate(brackets) for inner in _narrowed(b, counted[number])]
     return found
 
 
-def _histograms(data: DataFrame, by: list[str], brackets: list) -> dict[int, list]:
-    """Count, least and greatest value of every bin of every bracket: one pass.
+def _narrowed(bracket: _Bracket, bins: list) -> list[_Bracket]:
+    """The bins of a bracket that hold its ranks, as brackets of their own."""
+    out, below, pending = [], bracket.below, list(bracket.ranks)
+    for r in bins:
+        last = below + r["n"] - 1
+        inside = tuple(p for p in pending if p <= last)
+        if inside:
+            out.append(_Bracket(bracket.key, r["low"], r["high"], below, r["n"], inside))
+            pending = pending[len(inside) :]
+        below += r["n"]
+    return out
+
+
+def _counts(data: DataFrame, by: list[str], brackets: list[_Bracket], bins: int | None) -> dict[int, list]:
+    """Count, least and greatest value per bin of every bracket, in value order: one pass.
 
-    The bracket table holds at most two rows per group and wanted share, so it
-    is broadcast; the result holds at most HISTOGRAM_BINS rows per bracket.
+    Without ``bins`` every distinct value is its own bin; that is for brackets
+    known to hold at most COLLECTED_VALUES rows in total.  The bracket table
+    holds at most two rows per group and wanted share, so it is broadcast.
     """
     spark = data.sparkSession
     fields = [T.StructField(f"_by{i}", data.schema[c].dataType) for i, c in enumerate(by)]
@@ -104,24 +120,27 @@ def _histograms(data: DataFrame, by: list[str], brackets: list) -> dict[int, lis
         T.StructField("_low", T.DoubleType()),
         T.StructField("_high", T.DoubleType()),
     ]
-    rows = [(*key, i, low, high) for i, (key, low, high, _, _) in enumerate(brackets)]
+    rows = [(*b.key, i, b.low, b.high) for i, b in enumerate(brackets)]
     table = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
     within = F.col("_x").between(F.col("_low"), F.col("_high"))
     for i, c in enumerate(by):
         within = within & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    # Halves keep the width finite for any pair of doubles.
-    share = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
-    bin_no = F.least(F.floor(share * HISTOGRAM_BINS), F.lit(HISTOGRAM_BINS - 1))
+    if bins is None:
+        bin_of = F.col("_x")
+    else:
+        # Halves keep the width finite for any pair of doubles.
+        share = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        bin_of = F.least(F.floor(share * bins), F.lit(bins - 1))
     counted = (
         data.join(table, within)
-        .groupBy("_bracket", bin_no.alias("_bin"))
+        .groupBy("_bracket", bin_of.alias("_bin"))
         .agg(F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
     )
     out: dict[int, list] = {i: [] for i in range(len(brackets))}
     for r in counted.collect():
         out[r["_bracket"]].append(r)
-    for bins in out.values():
-        bins.sort(key=lambda r: r["_bin"])
+    for found in out.values():
+        found.sort(key=lambda r: r["_bin"])
     return out
 
 

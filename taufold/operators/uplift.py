@@ -36,7 +36,7 @@ def _check_metric(metric: str) -> None:
 
 def bucket_moments(val: DataFrame, cuts: Mapping[int, Sequence[float]], score: str = "dr", cate: str = "cate") -> DataFrame:
     """(arm, b, n, s1, s2) for every arm and bucket, empty buckets included."""
-    bucket = first_match((F.col("arm") == arm, cuts_at_or_below(F.col(cate), arm_cuts)) for arm, arm_cuts in cuts.items())
+    bucket = first_match((F.col("arm") == arm, cuts_at_or_below(cate, arm_cuts)) for arm, arm_cuts in cuts.items())
     s = F.col(score)
     found = val.groupBy("arm", bucket.alias("b")).agg(
         F.count(s).alias("n"), F.sum(s).alias("s1"), F.sum(s * s).alias("s2")

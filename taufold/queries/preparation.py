@@ -328,7 +328,7 @@ def closed_effect_groups(spark, sf):
     df = scored(spark, sf).select("unit_id", "fold", F.round("cate", 2).alias("cate"))
     cuts = exact_quantiles(df.filter("fold <> 0"), "cate", [0, 0.25, 0.5, 0.75, 1])[()]
     val = df.filter("fold = 0")
-    return val.select("unit_id", F.explode(E.closed_groups(F.col("cate"), cuts)).alias("grp"))
+    return val.select("unit_id", F.explode(E.closed_groups("cate", cuts)).alias("grp"))
 
 
 @query(

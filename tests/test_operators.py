@@ -10,6 +10,7 @@ from taufold.functions.values import AGE_EDGES, AGE_LABELS
 from taufold.operators import balance as B
 from taufold.operators import encode as E
 from taufold.operators import impute as I
+from taufold.operators import quantiles as Q
 from taufold.operators import rate as R
 from taufold.operators import summary as G
 from taufold.operators.bagging import out_of_bag, vote_errors
@@ -37,7 +38,9 @@ def test_interpolated_percentiles(spark, small_group):
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.34, 0.95])
-def test_percentiles_by_counting_match_numpy(spark, hot):
+@pytest.mark.parametrize("collected", [0, 5000, 100_000])
+def test_percentiles_by_counting_match_numpy(spark, hot, collected, monkeypatch):
+    monkeypatch.setattr(Q, "COLLECTED_VALUES", collected)
     rng = np.random.default_rng(5)
     values = np.where(rng.random(20000) < hot, 3.25, np.exp(4 * rng.normal(size=20000)))
     shares = [0, 0.001, 0.05, 0.33, 0.5, 0.66, 0.9, 0.999, 1]
@@ -85,7 +88,7 @@ def test_quantile_bins_with_ties(spark):
 
 
 def test_closed_groups_share_inner_cuts(spark):
-    df = numbers(spark, [-1.0, 0.0, 5.0, 10.0, 11.0]).select("x", E.closed_groups(F.col("x"), [0.0, 5.0, 10.0]).alias("g"))
+    df = numbers(spark, [-1.0, 0.0, 5.0, 10.0, 11.0]).select("x", E.closed_groups("x", [0.0, 5.0, 10.0]).alias("g"))
     assert {r["x"]: r["g"] for r in df.collect()} == {-1.0: None, 0.0: [0], 5.0: [0, 1], 10.0: [1], 11.0: None}
 
 
