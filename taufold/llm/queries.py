@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taufold.llm import decontamination, jaccard, language_id, packing, quality, token_counts, token_files
+from taufold.llm import decontamination, jaccard, language_id, lm, packing, quality, token_counts, token_files
 from taufold.sources.stage import new_stage_path
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -69,6 +69,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.fold("doc_id", 7) == 2)
+
+
 @query
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
