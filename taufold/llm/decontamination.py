@@ -83,8 +83,11 @@ class _Windows:
         }
 
 
-def _postings(docs: DataFrame, doc_id: str, text: str, windows: _Windows, alphabet: W.Alphabet) -> DataFrame:
-    """One scan: (id, tie, n_words, places, shingles); the lists hold only shingles of the benchmark."""
+def _postings(docs: DataFrame, doc_id: str, text: str, windows: _Windows, alphabet: W.Alphabet, rows: bool = False) -> DataFrame:
+    """One scan: (id, tie, n_words, places, shingles); the lists hold only shingles of the benchmark.
+
+    With ``rows``, each row of ``docs`` comes along as a struct.
+    """
     tables = docs.sparkSession.sparkContext.broadcast(windows.by_size)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +120,19 @@ def _postings(docs: DataFrame, doc_id: str, text: str, windows: _Windows, alphab
                         pa.array(words.counts),
                         pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32))),
                         pa.ListArray.from_arrays(cuts, pa.array(what.astype(np.int32))),
+                        *(batch.column(c).slice(low, high - low) for c in range(3, batch.num_columns)),
                     ],
-                    ["id", "tie", "n_words", "places", "shingles"],
+                    ["id", "tie", "n_words", "places", "shingles", "row"][: batch.num_columns + 2],
                 )
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.col(doc_id), F.col(text), F.xxhash64(text).alias("_tie"))
-    return source.mapInArrow(scan, f"id {id_type}, tie long, n_words long, places array<int>, shingles array<int>")
+    source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tie"), *_rows(docs, rows))
+    row = f", row {source.schema['row'].dataType.simpleString()}" if rows else ""
+    return source.mapInArrow(scan, f"id {id_type}, tie long, n_words long, places array<int>, shingles array<int>{row}")
+
+
+def _rows(docs: DataFrame, rows: bool) -> list[F.Column]:
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
 
 
 def _verified(places: np.ndarray, shingles: np.ndarray, cuts: np.ndarray, n_words: np.ndarray, p: dict) -> tuple:
@@ -175,12 +184,18 @@ def _hits(table: DataFrame, windows: _Windows) -> DataFrame:
                     own += [a, a + n]
                 items[d].update(owners[w])
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                ["id", "tie", "n_words", "spans", "items"],
+                [
+                    *(batch.column(c) for c in range(3)),
+                    pa.array(spans, pa.list_(pa.int64())),
+                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                    *(batch.column(c) for c in range(5, batch.num_columns)),
+                ],
+                ["id", "tie", "n_words", "spans", "items", "row"][: batch.num_columns],
             )
 
     id_type = table.schema["id"].dataType.simpleString()
-    return table.mapInArrow(verify, f"id {id_type}, tie long, n_words long, spans array<long>, items array<string>")
+    row = f", row {table.schema['row'].dataType.simpleString()}" if "row" in table.columns else ""
+    return table.mapInArrow(verify, f"id {id_type}, tie long, n_words long, spans array<long>, items array<string>{row}")
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -256,3 +271,12 @@ def hit_words(spans: str = "spans") -> F.Column:
 
 def items_digest(items: F.Column) -> F.Column:
     return F.sha2(F.concat_ws(",", items), 256)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs; NULL and wordless texts stay."""
+    for block in _blocks(benchmark, item_id, item_text, BLOCK_WORDS):
+        windows = _Windows(block, WINDOW, SHINGLE, W.ALNUM)
+        postings = stage(_postings(docs, doc_id, text, windows, W.ALNUM, rows=True), "postings")
+        docs = _hits(postings, windows).filter(F.size("spans") == 0).select("row.*")
+    return docs

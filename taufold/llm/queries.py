@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taufold.llm import chat, decontamination, jaccard, language_id, lm, packing, quality, token_counts, token_files
+from taufold.llm import chat, decontamination, jaccard, language_id, licenses, lm, packing, quality, token_counts, token_files
 from taufold.sources.stage import new_stage_path, stage
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -23,20 +23,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Register a query; Python workers started for it find this package wherever the driver's process was started."""
+def reachable(fn: Callable) -> Callable:
+    """Let Python workers started for ``fn`` find this package wherever the driver's process was started."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, *args) -> DataFrame:
         workers = spark.sparkContext.environment
         known = workers.get("PYTHONPATH", "").split(os.pathsep)
         if ROOT not in known:
             workers["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
-        return fn(spark, sf_dir)
+        return fn(spark, *args)
 
-    QUERIES[fn.__name__] = run
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
 
 
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = reachable(fn)
+    return QUERIES[fn.__name__]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,6 +93,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out)
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
