@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from taufold.llm import words as W
 from taufold.llm.components import connected_components
+from taufold.llm.frequent import most_frequent
 from taufold.sources.stage import stage
 
 SHINGLE = 5
@@ -95,8 +96,9 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
             yield report()
 
     counted = docs.select(text).mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= COMMON_TEXTS).orderBy(F.desc("n"), "s").limit(COMMON_ENTRIES).select("s").toArrow()
-    return rows.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    rows = most_frequent(stage(counted.filter(F.col("n") >= COMMON_TEXTS), "common-shingles"), "n", COMMON_ENTRIES).toArrow()
+    shingles, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    return shingles[np.lexsort((shingles, n))].astype(np.int64).view(np.uint64)
 
 
 def shingle_sets(docs: DataFrame, common: np.ndarray, doc_id: str, text: str, size: int) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from taufold.llm import words as W
 from taufold.llm.encoding import ChunkEncoder, PieceEncoder, worker_encoder
+from taufold.llm.frequent import most_frequent
+from taufold.sources.stage import stage
 
 #: Expected rows of the sample that proposes frequent chunks, and entries of the broadcast table (12 bytes each).
 #: Both bound memory and time only: any table gives the same counts.
@@ -50,8 +52,9 @@ def frequent_chunks(
         yield pa.record_batch([pa.array(keys[top].view(np.int64)), pa.array(sizes[top]), pa.array(counts[top])], ["k", "size", "n"])
 
     proposed = docs.select(text).sample(share, seed=17).mapInArrow(propose, "k long, size long, n long")
-    rows = proposed.groupBy("k", "size").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(entries).collect()
-    return np.array([r["k"] for r in rows], np.int64).view(np.uint64), np.array([r["size"] for r in rows], np.int64)
+    counted = stage(proposed.groupBy("k", "size").agg(F.sum("n").alias("n")), "frequent-chunks")
+    rows = most_frequent(counted, "n", entries).select("k", "size").toArrow()
+    return rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64)
 
 
 def count_tokens(
