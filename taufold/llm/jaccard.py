@@ -67,6 +67,12 @@ def distinct_shingles(words: W.Words, size: int) -> tuple[np.ndarray, np.ndarray
     return hashes[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
+def signatures(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set; equal sets have equal ones."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)]) for h in (hashes, W.mix(hashes ^ W.STEP))]
+    return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+
+
 def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Hashes of shingles that many texts share, rarer ones first.
 
@@ -114,8 +120,7 @@ def shingle_sets(docs: DataFrame, common: np.ndarray, doc_id: str, text: str, si
             for low, high in W.text_slices(offsets):
                 hashes, first = distinct_shingles(W.find_words(data, offsets[low : high + 1], W.LOWER), size)
                 n = np.diff(first)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)]) for h in (hashes, W.mix(hashes ^ W.STEP))]
-                signs = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+                signs = signatures(hashes, first)
                 rank = table.find(hashes)
                 doc = np.repeat(np.arange(high - low), n)
                 if (rank >= 0).any():  # common shingles go behind the others of their text
@@ -158,7 +163,7 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(node, n, bits, shingles) of the sets of ``wanted`` (node, id, sig_a, sig_b), by one more scan of the texts."""
+    """(tile, node, n, bits, shingles) of the sets of ``wanted`` (node, tile, id, sig_a, sig_b, n), by one more scan of the texts."""
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(FILTER_BITS)).cast("long")
     shared = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.select(slot("id").alias("slot"))))
 
@@ -170,18 +175,15 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, s
             data, offsets = W.text_bytes(column)
             for low, high in W.text_slices(offsets):
                 hashes, first = distinct_shingles(W.find_words(data, offsets[low : high + 1], W.LOWER), size)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)]) for h in (hashes, W.mix(hashes ^ W.STEP))]
-                signs = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
                 sets = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-                yield pa.record_batch(
-                    [*map(pa.array, signs), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["sig_a", "sig_b", "bits", "shingles"],
-                )
+                binary = [pa.array(x, pa.binary()) for x in ([bitmap(s).tobytes() for s in sets], [s.tobytes() for s in sets])]
+                yield pa.record_batch([*map(pa.array, signatures(hashes, first)), *binary], ["sig_a", "sig_b", "bits", "shingles"])
 
     found = docs.select(F.col(text), slot(doc_id).alias("_slot")).mapInArrow(scan, "sig_a long, sig_b long, bits binary, shingles binary")
     # Several documents of one class may pass the filter; any of them has the class's set.
-    found = found.join(wanted.select("node", "n", "sig_a", "sig_b"), ["sig_a", "sig_b"])
-    return found.groupBy("node", "n").agg(F.first("bits").alias("bits"), F.first("shingles").alias("shingles"))
+    found = found.join(wanted.select("sig_a", "sig_b", "node", "tile", "n"), ["sig_a", "sig_b"])
+    once = Window.partitionBy("sig_a", "sig_b").orderBy("node")
+    return found.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select("tile", "node", "n", "bits", "shingles")
 
 
 def _enough(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -235,31 +237,31 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (tile, deal, node, n) in enumerate(zip(tiles, deals, nodes, sizes)):
             if (tile, deal) != current:
                 current, leaders = (tile, deal), _Leaders()
-            bits = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
-            shingles = np.frombuffer(batch.column(5)[k].as_py(), np.uint64)
+            bits, shingles = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (4, 5))
             found = leaders.take(node, n, bits, shingles)
             out_a += found or [node]
             out_b += [node] * len(found) or [None]
         yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def tile_links(sets: DataFrame, homes: DataFrame) -> DataFrame:
-    """Links (a, b) of sets with the leaders of their home tile (node, tile)."""
-    links, tiles = [], homes
+def tile_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of sets (tile, node, n, bits, shingles) with the leaders of their tile."""
+    links, tiles = [], sets
     while True:
-        size = tiles.groupBy("tile").agg(F.count("*").alias("size"))
-        dealt = tiles.join(size.filter(f"size > {TILE_SETS}"), "tile", "left")
+        size = tiles.groupBy("tile").agg(F.count("*").alias("size")).filter(f"size > {TILE_SETS}")
+        large = stage(size, "large-tiles")
         deal = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / F.lit(TILE_SETS))).cast("long")
-        placed = dealt.select("node", "tile", deal.alias("deal")).join(sets, "node")
-        ordered = placed.select("tile", "deal", "node", "n", "bits", "shingles").repartition("tile", "deal")
-        found = stage(ordered.sortWithinPartitions("tile", "deal", "n", "node").mapInArrow(_tile_links, "a long, b long"), "tile-links")
+        dealt = tiles.join(large, "tile", "left").select("tile", deal.alias("deal"), "node", "n", "bits", "shingles")
+        ordered = dealt.repartition("tile", "deal").sortWithinPartitions("tile", "deal", "n", "node")
+        found = stage(ordered.mapInArrow(_tile_links, "a long, b long"), "tile-links")
         links.append(found.filter("b IS NOT NULL"))
-        large = size.filter(f"size > {TILE_SETS}").select("tile")
         if large.isEmpty():
             break
         # Leaders of the parts of a large tile meet in the next round; they are fewer unless nothing was similar.
-        ahead = stage(tiles.join(large, "tile").join(found.filter("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi"), "leaders")
-        if ahead.count() == tiles.join(large, "tile").count():
+        leaders = found.filter("b IS NULL").select(F.col("a").alias("node"))
+        inside = tiles.join(large.select("tile"), "tile", "left_semi")
+        ahead = stage(inside.join(leaders, "node", "left_semi").select(*sets.columns), "leaders")
+        if ahead.count() == inside.count():
             break
         tiles = ahead
     out = links[0]
@@ -268,24 +270,69 @@ def tile_links(sets: DataFrame, homes: DataFrame) -> DataFrame:
     return out
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, place, node, root) sorted by (token, n): pairs of different roots within the band."""
-    rest = None
+def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Prefix shingles that two linked sets of these sizes have in common at least.
+
+    Of ``n - ceil(0.8 n) + 1`` prefix shingles no more than ``n - overlap`` are
+    not common, and the first common ones lie in both prefixes.
+    """
+    overlap = (4 * (n + m) + 8) // 9
+    return np.maximum(1, overlap - (4 * np.maximum(n, m) + 4) // 5 + 1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_columns: int, bits: bool = False) -> Iterator[np.ndarray]:
+    """Columns of rows sorted by their first, in pieces that hold all rows of a key; bitmaps become further columns.
+
+    A key's rows are held together only while they are next to each other in the
+    stream: as many as the largest tile has.
+    """
+    rest: list[np.ndarray] = []
     for batch in batches:
-        columns = np.stack([batch.column(c).to_numpy() for c in range(5)])
-        if rest is not None:
-            columns = np.concatenate([rest, columns], axis=1)
-        # The last tile may go on in the next batch.
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(c).to_numpy() for c in range(n_columns)])
+        if bits:
+            own = np.frombuffer(b"".join(batch.column(n_columns).to_pylist()), np.int64).reshape(-1, BITS // 64)
+            columns = np.concatenate([columns, own.T])
         cut = int(np.searchsorted(columns[0], columns[0, -1]))
-        if cut:
-            yield from _pairs_of(columns[:, :cut])
-        rest = columns[:, cut:]
-    if rest is not None:
-        yield from _pairs_of(rest)
+        if cut or (rest and rest[0][0, 0] != columns[0, 0]):
+            yield np.concatenate([*rest, columns[:, :cut]], axis=1)
+            rest = []
+        rest.append(columns[:, cut:])
+    if rest:
+        yield np.concatenate(rest, axis=1)
+
+
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n, place, node) in order; those with a partner of fitting size, the tile's size and the row's weight.
+
+    The weight is one over the least number of prefix shingles that any partner
+    of the tile would have to share: over the tiles of a linked set it adds up to 1 or more.
+    """
+    for columns in _runs(batches, 4):
+        token, n, place, node = columns
+        first = np.concatenate([[True], token[1:] != token[:-1]])
+        tile = np.cumsum(first) - 1
+        sets = np.bincount(tile)[tile]
+        span = int(n.max()) * 2 + 2
+        key = tile * span + n
+        low = np.searchsorted(key, tile * span + (4 * n + 4) // 5)
+        high = np.searchsorted(key, tile * span + 5 * n // 4, "right")
+        least = np.minimum(least_shared(n, n[low]), least_shared(n, n[high - 1]))
+        keep = high - low > 1
+        out = [token[keep], n[keep], place[keep], node[keep], sets[keep], 1.0 / least[keep]]
+        yield pa.record_batch([pa.array(c) for c in out], ["token", "n", "place", "node", "sets", "weight"])
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n, place, node, root, bits) sorted by (token, n): pairs of different roots that may be linked."""
+    for columns in _runs(batches, 5, bits=True):
+        yield from _pairs_of(columns)
 
 
 def _pairs_of(columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    token, n, place, node, root = columns
+    token, n, place, node, root = columns[:5]
+    bits = np.ascontiguousarray(columns[5:].T).view(np.uint64)
     alive = np.arange(len(token))
     back = 1
     while len(alive := alive[alive + back < len(token)]):
@@ -295,43 +342,40 @@ def _pairs_of(columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         before = np.minimum(place[alive], place[other])
         behind = np.minimum(n[alive] - place[alive], n[other] - place[other])
         keep = (root[alive] != root[other]) & _enough(before + behind, n[alive], n[other])
-        a, b = node[alive[keep]], node[other[keep]]
-        if len(a):
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        one, two = alive[keep], other[keep]
+        for low in range(0, len(one), 1 << 15):  # what one bitmap has and the other lacks is in one set alone
+            x, y = one[low : low + (1 << 15)], two[low : low + (1 << 15)]
+            ours = n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64)
+            theirs = n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64)
+            keep = _enough(np.minimum(ours, theirs), n[x], n[y])
+            one[low : low + (1 << 15)] = np.where(keep, x, -1)
+        one, two = one[one >= 0], two[one >= 0]
+        if len(one):
+            swap = node[one] > node[two]
+            one, two = np.where(swap, two, one), np.where(swap, one, two)
+            yield pa.record_batch([pa.array(c) for c in (node[one], node[two], n[one], n[two])], ["a", "b", "n", "m"])
         back += 1
 
 
 def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, shingles, shingles) that are linked."""
     for batch in batches:
-        one, other = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in (2, 3))
-        keep = pa.array([_linked(x, y) for x, y in zip(one, other)], pa.bool_())
-        yield pa.record_batch([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n, m, bits, bits) whose bitmaps leave room for a link."""
-    for batch in batches:
-        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
-        ours = n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
-        theirs = m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
-        keep = pa.array(_enough(np.minimum(ours, theirs), n, m))
-        yield pa.record_batch([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
+        keep = [_linked(*(np.frombuffer(s.as_py(), np.uint64) for s in pair)) for pair in zip(batch.column(2), batch.column(3))]
+        yield pa.record_batch([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
 
 
 def cross_links(sets: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
     """All links (a, b) between sets of one tile whose roots differ."""
     rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rows = rooted.join(mixed, "token").select("token", "n", "place", "node", "root").repartition("token").sortWithinPartitions("token", "n", "node")
-    pairs = rows.mapInArrow(_tile_pairs, "a long, b long").distinct()
-
-    def side(c: str, names: dict[str, str]) -> DataFrame:
-        return sets.select(F.col("node").alias(c), *[F.col(k).alias(v) for k, v in names.items()])
-
-    bounded = pairs.join(side("a", {"n": "n", "bits": "x"}), "a").join(side("b", {"n": "m", "bits": "y"}), "b")
-    likely = stage(bounded.select("a", "b", "n", "m", "x", "y").mapInArrow(_bounded, "a long, b long"), "pairs")
-    full = likely.join(side("a", {"shingles": "x"}), "a").join(side("b", {"shingles": "y"}), "b")
+    rows = rooted.join(mixed, "token").join(sets.select("node", "bits"), "node").select("token", "n", "place", "node", "root", "bits")
+    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    met = rows.mapInArrow(_tile_pairs, "a long, b long, n long, m long").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    # The same bound as least_shared: pairs with fewer common prefix shingles can't be linked.
+    bound = F.expr("(4 * (n + m) + 8) div 9 - (4 * greatest(n, m) + 4) div 5 + 1")
+    pairs = stage(met.filter(F.col("shared") >= bound).select("a", "b"), "pairs")
+    side = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    full = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_pair_links, "a long, b long")
 
 
@@ -348,16 +392,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = rows.filter("n > 0").groupBy(*signature).agg(F.min("key").alias("node"), F.min("id").alias("low"))
     classes = stage(classes, "classes")
     firsts = rows.join(classes.select(F.col("node").alias("key")), "key")
-    tokens = firsts.select(F.col("key").alias("node"), "n", F.posexplode("prefix").alias("place", "token"))
-    shared = tokens.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).filter("sets > 1")
-    shared = stage(shared.select("token", "n", F.col("place").cast("long").alias("place"), "node", "sets"), "tokens")
-    homes = shared.groupBy("node").agg(F.max(F.struct("sets", "token")).alias("home")).select("node", F.col("home.token").alias("tile"))
-    homes = stage(homes, "homes")
-    wanted = stage(rows.select(F.col("key").alias("node"), "id", *signature).join(homes, "node", "left_semi"), "wanted")
+    tokens = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", F.col("key").alias("node"))
+    tokens = tokens.select("token", "n", F.col("place").cast("long").alias("place"), "node")
+    ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "node")
+    shared = stage(ordered.mapInArrow(_shared_tokens, "token long, n long, place long, node long, sets long, weight double"), "tokens")
+    homes = shared.groupBy("node").agg(F.max(F.struct("sets", "token")).alias("home"), F.sum("weight").alias("weight"))
+    homes = stage(homes.filter("weight > 0.999999").select("node", F.col("home.token").alias("tile")), "homes")
+    wanted = stage(rows.select(F.col("key").alias("node"), "id", *signature).join(homes, "node"), "wanted")
     sets = stage(candidate_sets(docs, wanted, doc_id, text, size), "sets")
-    links = stage(tile_links(sets, homes), "links")
+    links = stage(tile_links(sets), "links")
     roots = stage(connected_components(links), "roots")
-    more = stage(cross_links(sets, shared.drop("sets"), roots), "more-links")
+    alive = shared.select("token", "n", "place", "node").join(homes.select("node"), "node", "left_semi")
+    more = stage(cross_links(sets, alive, roots), "more-links")
     if not more.isEmpty():
         roots = stage(connected_components(links.unionByName(more)), "roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
