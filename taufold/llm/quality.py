@@ -36,8 +36,9 @@ SHORTFALL = 4.0
 LEAST_RANGE = 0.02
 #: ... or when its byte-fallback share is beyond the upper quartile by more than this.
 BYTE_EXCESS = 0.10
-#: Groups with fewer different texts have no band, and reject nothing.
+#: Size classes with fewer different texts take their language's band over all sizes; where that has fewer too, nothing is rejected.
 LEAST_TEXTS = 50
+ALL_SIZES = -1
 #: Measures are compared in steps of this size, so that counting gives exact quartiles.
 STEP = 0.001
 #: Scripts by code point ranges of their letters; anything else is "other".
@@ -156,6 +157,7 @@ def bands(measured: DataFrame) -> DataFrame:
     judged = measured.filter(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS))
     once = judged.groupBy("band", "size_class", "word_chars", "n_tokens", "entropy", "byte_share", "chars_per_token").agg(F.lit(1).alias("one"))
     steps = [f"'{c}', round({c} / {STEP})" for c in MEASURES]
+    once = once.withColumn("size_class", F.explode(F.array("size_class", F.lit(ALL_SIZES))))
     long = once.select("band", "size_class", F.expr(f"stack({len(MEASURES)}, {', '.join(steps)}) AS (measure, step)"))
     counted = long.groupBy("band", "size_class", "measure", "step").agg(F.count("*").alias("n"))
     group = Window.partitionBy("band", "size_class", "measure")
@@ -167,7 +169,8 @@ def bands(measured: DataFrame) -> DataFrame:
 
 def _shortfall(measure: str) -> Column:
     spread = F.greatest(F.col(f"{measure}_q3") - F.col(f"{measure}_q1"), LEAST_RANGE * F.col(f"{measure}_q2"))
-    return F.greatest(F.lit(0.0), (F.col(f"{measure}_q2") - F.col(measure)) / F.greatest(spread, F.lit(STEP)))
+    below = (F.col(f"{measure}_q2") - F.col(measure)) / F.greatest(spread, F.lit(STEP))
+    return F.when(below.isNotNull(), F.greatest(F.lit(0.0), below))
 
 
 def judge(docs: DataFrame, path: str, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -179,8 +182,13 @@ def judge(docs: DataFrame, path: str, text: str = "text", lang: str = "lang") ->
     gives an empty result; copies and equal ids are rows of their own.
     """
     measured = with_measures(stage(measure(docs, path, text, lang), "measures"))
-    joined = measured.join(bands(measured), ["band", "size_class"], "left")
-    short = _shortfall("chars_per_token") + _shortfall("entropy")
+    table = stage(bands(measured), "bands")
+    limits = [c for c in table.columns if c not in ("band", "size_class")]
+    whole = table.filter(F.col("size_class") == ALL_SIZES).select("band", *[F.col(c).alias(f"all_{c}") for c in limits])
+    joined = measured.join(table, ["band", "size_class"], "left").join(whole, "band", "left")
+    # Entropy grows with the size, so without a band for the size only the other measures are held against one.
+    joined = joined.withColumns({c: F.coalesce(c, f"all_{c}") for c in limits if not c.startswith("entropy")})
+    short = _shortfall("chars_per_token") + F.coalesce(_shortfall("entropy"), F.lit(0.0))
     odd = (short > SHORTFALL) | (F.col("byte_share") > F.col("byte_share_q3") + BYTE_EXCESS)
     rejected = (F.col("n_tokens") >= LEAST_TOKENS) & F.coalesce(odd, F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
