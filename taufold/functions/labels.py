@@ -71,7 +71,7 @@ def nonzero_flag(c: Column) -> Column:
 def number_or_null(c: Column) -> Column:
     """Parsed number; text, NaN and infinite text become NULL as a missing measurement."""
     parsed = c.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.when(~F.isnan(parsed) & (F.abs(parsed) < float("inf")), parsed)
 
 
 def display_label(c: Column, labels: Mapping[object, str]) -> Column:

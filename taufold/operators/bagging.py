@@ -95,7 +95,7 @@ def bagged_tree_errors(
         return out.select(unit_id, "label", F.inline(F.array(*cells)))
 
     votes = predictions(base).filter("oob").select(unit_id, "round", "prediction", "label")
-    classes = sorted(r["label"] for r in base.select("label").distinct().limit(101).collect())
+    classes = sorted(r["label"] for r in base.select("label").distinct().collect())
     oob = vote_errors(votes, classes, unit_id).withColumnRenamed("error", "oob_error")
     wrong = (F.col("prediction") != F.col("label")).cast("double")
     tested = predictions(held).groupBy("round").agg(F.avg(wrong).alias("test_error"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taufold.functions.labels import round_even
-from taufold.roles import is_numeric
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -19,26 +18,18 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """
     if not columns:
         return {}
-    numeric = {c for c in columns if is_numeric(df, c)}
+    # One field per column keeps every type; a cell fills its own field only.
+    fields = {c: f"_v{k}" for k, c in enumerate(columns)}
     cells = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            (F.col(f"`{c}`") if c in numeric else F.lit(None)).cast("double").alias("number"),
-            (F.lit(None) if c in numeric else F.col(f"`{c}`")).cast("string").alias("text"),
-        )
-        for c in columns
+        F.struct(F.lit(k).alias("variable"), *[(F.col(f"`{c}`") if c == own else F.lit(None).cast(df.schema[c].dataType)).alias(f) for c, f in fields.items()])
+        for k, own in enumerate(columns)
     ]
-    counts = (
-        df.select(F.inline(F.array(*cells)))
-        .filter("number is not null or text is not null")
-        .groupBy("variable", "number", "text")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    most = counts.groupBy("variable").agg(F.max("n").alias("n"))
-    # One row per column, so the broadcast is bounded by the table width.
-    best = counts.join(F.broadcast(most), ["variable", "n"]).groupBy("variable")
-    found = {r["variable"]: r for r in best.agg(F.min("number").alias("number"), F.min("text").alias("text")).collect()}
-    return {c: found[c]["number" if c in numeric else "text"] if c in found else None for c in columns}
+    counts = df.select(F.inline(F.array(*cells))).groupBy("variable", *fields.values()).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.coalesce(*[F.col(f).isNotNull() if len(fields) == 1 else F.when(F.col(f).isNotNull(), True) for f in fields.values()]))
+    # The most frequent value, the smallest of ties: fields before the column's own are NULL in all its rows.
+    best = counts.groupBy("variable").agg(F.min(F.struct((-F.col("n")).alias("n"), *fields.values())).alias("best"))
+    found = {r["variable"]: r["best"] for r in best.collect()}
+    return {c: found[k][fields[c]] if k in found else None for k, c in enumerate(columns)}
 
 
 def means(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> dict[str, float]:

@@ -34,7 +34,8 @@ def _cross_products(df: DataFrame, columns: Sequence[str], rows_to_product) -> n
             part = rows_to_product(matrix)
             total = part if total is None else total + part
         if total is not None:
-            i, j = np.indices(total.shape)
+            i, j = np.triu_indices(len(total))  # products are symmetric: one triangle is enough
+            total = total[i, j]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())],
                 names=["i", "j", "v"],
@@ -47,6 +48,7 @@ def _cross_products(df: DataFrame, columns: Sequence[str], rows_to_product) -> n
         raise ValueError("no units for the regression")
     k_out = [max(r["i"] for r in found) + 1, max(r["j"] for r in found) + 1]
     out = np.zeros(k_out)
+    found = [*found, *({"i": r["j"], "j": r["i"], "v": r["v"]} for r in found)]
     for r in found:
         out[r["i"], r["j"]] = r["v"]
     return out
@@ -100,18 +102,22 @@ def fit_ols(df: DataFrame, y: str, x: Sequence[str], robust: str = "HC3") -> Lin
     if len(x) + 1 > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
     data = df.select(y, *x).dropna()
-    with_one = lambda m: np.column_stack([np.ones(len(m)), m[:, 1:], m[:, 0]])
+    # Sums are taken around the mean, or they would cancel where it is large against the spread.
+    centre = data.agg(F.avg(y)).first()[0] or 0.0
+    with_one = lambda m: np.column_stack([np.ones(len(m)), m[:, 1:], m[:, 0] - centre])
     all_products = _cross_products(data, [y, *x], lambda m: with_one(m).T @ with_one(m))
     gram, moment = all_products[:-1, :-1], all_products[:-1, -1]
     n = int(round(gram[0, 0]))
     inverse = _pseudo_inverse(gram)
-    beta = inverse @ moment
     rank = int(round(np.trace(inverse @ gram)))
+    # A singular design's shortest solution depends on the outcome's own level.
+    shift = centre if rank == len(gram) else 0.0
+    beta = inverse @ (moment + (centre - shift) * gram[0])
 
     def residual_products(m: np.ndarray) -> np.ndarray:
         design = np.column_stack([np.ones(len(m)), m[:, 1:]])
-        residual = m[:, 0] - design @ beta
-        leverage = np.einsum("ij,jk,ik->i", design, inverse, design) if robust == "HC3" else 0.0
+        residual = m[:, 0] - shift - design @ beta
+        leverage = ((design @ inverse) * design).sum(1) if robust == "HC3" else 0.0
         weight = (residual / np.maximum(1.0 - leverage, 1e-12)) ** 2
         meat = (design * weight[:, None]).T @ design
         return np.pad(meat, ((0, 1), (0, 1))) + _corner(len(beta), residual)
@@ -125,6 +131,7 @@ def fit_ols(df: DataFrame, y: str, x: Sequence[str], robust: str = "HC3") -> Lin
         covariance = squared / (n - rank) * inverse
     total = all_products[-1, -1] - moment[0] ** 2 / n
     error = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+    beta[0] += shift
     return LinearFit(("const", *x), beta, error, n, float(1.0 - squared / total) if total > 0 else float("nan"))
 
 

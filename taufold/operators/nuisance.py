@@ -13,6 +13,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taufold.functions.labels import first_match
 from taufold.operators.fitting import fit_all
@@ -80,7 +81,13 @@ def cross_fit(
     propensity: Estimator,
 ) -> DataFrame:
     """Each unit is scored by models that did not see its fold: adds mu0.. and e0.. columns."""
-    staged = stage(_with_position(df, treatment, arms), "folds", partition_by=(fold,))
+    # Rows of a fold meet before the write, so a fold is a few files and not one of every task.
+    placed = _with_position(df, treatment, arms)
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != fold and isinstance(df.schema[c].dataType, T.AtomicType)]), F.lit(16))
+    staged = stage(placed.repartition(fold, spread), "folds", partition_by=(fold,))
+    stray = staged.filter(F.col(fold).isNull() | ~F.col(fold).between(0, folds - 1)).limit(1).collect()
+    if stray:
+        raise ValueError(f"column {fold!r} has a value outside 0..{folds - 1}: {stray[0][fold]!r}")
     jobs = []
     for f in range(folds):
         jobs += _jobs(staged.filter(F.col(fold) != f), outcome, arms, regression, propensity)

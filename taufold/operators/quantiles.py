@@ -1,155 +1,91 @@
-"""Exact percentiles at any size.
-
-Spark's ``percentile`` keeps every distinct value of a group in one task, so it
-is used only where a count has proven the groups small.  Beyond that, the value
-range around each wanted rank is narrowed by counting: the column is written
-once, and every pass is one scan of it with a map-side combined histogram and no
-shuffle of the rows themselves.
+"""Exact percentiles at any size, in one way for every size.
+
+The wanted ranks are located by counting.  A double's 64 bits, ordered as the
+numbers are, are read from the top in three parts; each pass counts the values of
+the bins that still hold a wanted rank by their next part, with map-side combined
+histograms.  The column is written once and no row is sorted or collected.
+Infinities are ordinary values, NaN is a missing one.  Groups, targets and
+histograms stay DataFrames, so there may be any number of groups.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from taufold.functions.numeric import interpolate
 from taufold.sources.stage import stage
 
-SMALL_GROUP = 250_000
-HISTOGRAM_BINS = 4096
-# Rows in the open ranges that are few enough to fetch value by value.
-COLLECTED_VALUES = 100_000
-MAX_GROUPS = 10_000
-
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    shares: Sequence[float],
-    by: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
-) -> dict[tuple, list[float]]:
-    """Linearly interpolated quantiles of ``value`` for each group of ``by``.
-
-    Returns {group key: [one number per share]}; the key is () without groups.
-    """
-    by = list(by)
-    data = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x is not null")
-    sizes = data.groupBy(*by).agg(F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
-    groups = {tuple(r[c] for c in by): r for r in sizes.limit(MAX_GROUPS + 1).collect() if r["n"] > 0}
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; percentiles by group are meant for subgroup labels")
-    if not groups:
-        return {}
-    if max(r["n"] for r in groups.values()) <= small_group:
-        wanted = F.array(*[F.lit(float(s)) for s in shares])
-        rows = data.groupBy(*by).agg(F.percentile("_x", wanted).alias("q")).collect()
-        return {tuple(r[c] for c in by): list(r["q"]) for r in rows}
-
-    values = _order_statistics(stage(data, "quantile"), by, groups, shares)
-    out = {}
-    for key, size in groups.items():
-        out[key] = []
-        for s in shares:
-            position = s * (size["n"] - 1)
-            below, above = math.floor(position), math.ceil(position)
-            out[key].append(interpolate((values[key, below], values[key, above]), position - below))
-    return out
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    """Value range of one group that holds wanted zero-based ranks."""
-
-    key: tuple
-    low: float
-    high: float
-    below: int
-    size: int
-    ranks: tuple[int, ...]
-
-
-def _order_statistics(data: DataFrame, by: list[str], groups: dict, shares: Sequence[float]) -> dict:
-    """Value at each needed zero-based rank of each group."""
-    found: dict[tuple, float] = {}
-    brackets = []
-    for key, size in groups.items():
-        ranks = {r for s in shares for r in (math.floor(s * (size["n"] - 1)), math.ceil(s * (size["n"] - 1)))}
-        brackets.append(_Bracket(key, size["low"], size["high"], 0, size["n"], tuple(sorted(ranks))))
-
-    while brackets:
-        found.update({(b.key, r): b.low for b in brackets if b.low == b.high for r in b.ranks})
-        brackets = [b for b in brackets if b.low < b.high]
-        if not brackets:
-            break
-        few = sum(b.size for b in brackets) <= COLLECTED_VALUES
-        counted = _counts(data, by, brackets, None if few else HISTOGRAM_BINS)
-        brackets = [inner for number, b in enumerate(brackets) for inner in _narrowed(b, counted[number])]
+#: Low bits that are still open after each pass: sign, exponent and 8 bits of the fraction, then 22 bits twice.
+OPEN_BITS = (44, 22, 0)
+FRACTION = 1 << 52
+LEAST_EXPONENT = -1022
+
+
+def ordered_bits(x: Column) -> Column:
+    """A whole number in the order of the doubles: magnitude bits, negated for negative numbers."""
+    size = F.abs(x)
+    # log2 may be off by one next to a power of two; powers of two are exact.
+    near = F.floor(F.log2(size))
+    near = near + F.when(size >= F.pow(F.lit(2.0), near + 1), 1).otherwise(0) - F.when(size < F.pow(F.lit(2.0), near), 1).otherwise(0)
+    exponent = F.greatest(near, F.lit(LEAST_EXPONENT)).cast("long")
+    # Below the least exponent fractions have no leading one; the scale is applied in two exact steps.
+    half = F.floor(exponent / 2)
+    scaled = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
+    bits = (exponent - LEAST_EXPONENT) * FRACTION + (scaled * float(FRACTION)).cast("long")
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 * FRACTION)).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits).cast("long")
+
+
+def _same(one: DataFrame, other: DataFrame, names: Sequence[str]) -> Column:
+    found = F.lit(True)
+    for c in names:
+        found = found & one[c].eqNullSafe(other[c])
     return found
 
 
-def _narrowed(bracket: _Bracket, bins: list) -> list[_Bracket]:
-    """The bins of a bracket that hold its ranks, as brackets of their own."""
-    out, below, pending = [], bracket.below, list(bracket.ranks)
-    for r in bins:
-        last = below + r["n"] - 1
-        inside = tuple(p for p in pending if p <= last)
-        if inside:
-            out.append(_Bracket(bracket.key, r["low"], r["high"], below, r["n"], inside))
-            pending = pending[len(inside) :]
-        below += r["n"]
-    return out
-
-
-def _counts(data: DataFrame, by: list[str], brackets: list[_Bracket], bins: int | None) -> dict[int, list]:
-    """Count, least and greatest value per bin of every bracket, in value order: one pass.
+def quantile_table(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles of ``value`` as rows (by..., share, value).
 
-    Without ``bins`` every distinct value is its own bin; that is for brackets
-    known to hold at most COLLECTED_VALUES rows in total.  The bracket table
-    holds at most two rows per group and wanted share, so it is broadcast.
+    NULL and NaN are missing; groups without a value have no rows.
     """
-    spark = data.sparkSession
-    fields = [T.StructField(f"_by{i}", data.schema[c].dataType) for i, c in enumerate(by)]
-    fields += [
-        T.StructField("_bracket", T.IntegerType()),
-        T.StructField("_low", T.DoubleType()),
-        T.StructField("_high", T.DoubleType()),
-    ]
-    rows = [(*b.key, i, b.low, b.high) for i, b in enumerate(brackets)]
-    table = F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
-    within = F.col("_x").between(F.col("_low"), F.col("_high"))
-    for i, c in enumerate(by):
-        within = within & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    if bins is None:
-        bin_of = F.col("_x")
-    else:
-        # Halves keep the width finite for any pair of doubles.
-        share = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
-        bin_of = F.least(F.floor(share * bins), F.lit(bins - 1))
-    counted = (
-        data.join(table, within)
-        .groupBy("_bracket", bin_of.alias("_bin"))
-        .agg(F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
-    )
-    out: dict[int, list] = {i: [] for i in range(len(brackets))}
-    for r in counted.collect():
-        out[r["_bracket"]].append(r)
-    for found in out.values():
-        found.sort(key=lambda r: r["_bin"])
-    return out
-
-
-def quantile_table(
-    df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), small_group: int = SMALL_GROUP
-) -> DataFrame:
-    """The same quantiles as rows (by..., share, value)."""
-    found = exact_quantiles(df, value, shares, by, small_group)
-    fields = [T.StructField(c, df.schema[c].dataType) for c in by]
-    fields += [T.StructField("share", T.DoubleType()), T.StructField("value", T.DoubleType())]
-    rows = [(*key, float(s), float(v)) for key, values in found.items() for s, v in zip(shares, values)]
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    groups = [f"_g{i}" for i in range(len(by))]
+    named = df.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(by, groups)], F.col(f"`{value}`").cast("double").alias("x"))
+    data = named.filter(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("bits", ordered_bits(F.col("x")))
+    data = stage(data, "quantile-values")
+
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    sizes = data.groupBy(*groups).agg(F.count("*").alias("size")).filter("size > 0")
+    ranks = sizes.select(*groups, "size", F.explode(wanted).alias("share")).withColumn("at", F.col("share") * (F.col("size") - 1))
+    ranks = stage(ranks.withColumn("low", F.floor("at")).withColumn("high", F.ceil("at")), "quantile-ranks")
+
+    targets = ranks.select(*groups, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    targets = targets.withColumn("part", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
+    for k, open_bits in enumerate(OPEN_BITS):
+        before = F.lit(0).cast("long") if k == 0 else F.shiftright("bits", OPEN_BITS[k - 1])
+        rows = data.withColumn("part", before)
+        if k:  # only bins that hold a wanted rank are counted on
+            keep = targets.select(*groups, "part").distinct()
+            rows = rows.join(keep, _same(rows, keep, [*groups, "part"]), "left_semi")
+        counted = rows.groupBy(*groups, "part", F.shiftright("bits", open_bits).alias("next")).agg(F.count("*").alias("n"), F.min("x").alias("least"))
+        upto = F.sum("n").over(Window.partitionBy(*groups, "part").orderBy("next"))
+        counted = counted.withColumn("upto", upto)
+        found = targets.join(counted, _same(targets, counted, [*groups, "part"]) & (targets["rank"] < targets["below"] + counted["upto"]) & (targets["rank"] >= targets["below"] + counted["upto"] - counted["n"]))
+        columns = [*[targets[g].alias(g) for g in groups], targets["rank"], counted["next"].alias("part"), (targets["below"] + counted["upto"] - counted["n"]).alias("below"), counted["least"]]
+        targets = stage(found.select(*columns), "quantile-targets")
+
+    low = targets.select(*groups, F.col("rank").alias("low"), F.col("least").alias("a"))
+    high = targets.select(*groups, F.col("rank").alias("high"), F.col("least").alias("b"))
+    both = ranks.join(low, _same(ranks, low, [*groups, "low"])).select(*[ranks[g].alias(g) for g in groups], "share", "at", ranks["low"].alias("low"), "high", "a")
+    both = both.join(high, _same(both, high, [*groups, "high"])).select(*[both[g].alias(c) for c, g in zip(by, groups)], "share", "at", both["low"].alias("low"), "a", "b")
+    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))
+    return both.select(*by, "share", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, list[float]]:
+    """The same as {group key: [one number per share]}, for callers whose groups are the arms of a study; () without groups."""
+    found: dict[tuple, dict[float, float]] = {}
+    for r in quantile_table(df, value, shares, by).collect():
+        found.setdefault(tuple(r[c] for c in by), {})[r["share"]] = r["value"]
+    return {key: [own[float(s)] for s in shares] for key, own in found.items()}

@@ -6,10 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from taufold.functions.text import bin_order_key, split_terms
-from taufold.operators.quantiles import exact_quantiles
+from taufold.operators.quantiles import exact_quantiles, quantile_table
 
 COPIES_PER_CHUNK = 100_000
 
@@ -102,15 +101,11 @@ def describe(df: DataFrame, column: str, shares: Sequence[float] = (0.1, 0.25, 0
 
 
 def _box_limits(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles and fences per group; at most one row per subgroup label (see exact_quantiles)."""
-    found = exact_quantiles(df.filter(F.col(group).isNotNull()), value, [0.25, 0.5, 0.75], by=[group])
-    rows = []
-    for (g,), (q1, q2, q3) in found.items():
-        reach = 1.5 * (q3 - q1)
-        rows.append((g, q1, q2, q3, q1 - reach, q3 + reach))
-    numbers = [T.StructField(n, T.DoubleType()) for n in ("q1", "median", "q3", "low_fence", "high_fence")]
-    schema = T.StructType([T.StructField(group, df.schema[group].dataType), *numbers])
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    """Quartiles and fences, one row per group."""
+    found = quantile_table(df.filter(F.col(group).isNotNull()), value, [0.25, 0.5, 0.75], by=[group])
+    at = [F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return found.groupBy(group).agg(*at).withColumn("low_fence", F.col("q1") - reach).withColumn("high_fence", F.col("q3") + reach)
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:

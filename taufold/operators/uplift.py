@@ -38,6 +38,9 @@ def bucket_moments(val: DataFrame, cuts: Mapping[int, Sequence[float]], score: s
     """(arm, b, n, s1, s2) for every arm and bucket, empty buckets included."""
     bucket = first_match((F.col("arm") == arm, cuts_at_or_below(cate, arm_cuts)) for arm, arm_cuts in cuts.items())
     s = F.col(score)
+    lost = F.col(score).isNotNull() & (F.col(cate).isNull() | ~F.col("arm").isin(*cuts))
+    if stray := val.filter(lost).select("arm", cate).limit(1).collect():
+        raise ValueError(f"a unit of arm {stray[0]['arm']!r} has no effect estimate or its arm no thresholds")
     found = val.groupBy("arm", bucket.alias("b")).agg(
         F.count(s).alias("n"), F.sum(s).alias("s1"), F.sum(s * s).alias("s2")
     )

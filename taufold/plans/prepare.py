@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -77,11 +78,11 @@ class FillValues:
     values: dict[str, object]
 
 
-def clean_records(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Rename source columns ({source: generic}), keep the known ones, drop outline numbers."""
+def clean_records(df: DataFrame, names: dict[str, str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Rename source columns ({source: generic}) and drop outline numbers; ``keep`` names the columns to keep, all by default."""
     renamed = df.withColumnsRenamed(names or {})
-    kept = [c for c in RECORD_COLUMNS if c in renamed.columns]
-    return renamed.select(*kept).withColumn("diagnosis", X.strip_outline_number(F.col("diagnosis")))
+    kept = renamed.columns if keep is None else [c for c in renamed.columns if c in set(keep)]
+    return renamed.select(*[F.col(f"`{c}`") for c in kept]).withColumn("diagnosis", X.strip_outline_number(F.col("diagnosis")))
 
 
 def derive_labels(df: DataFrame, as_of: str) -> DataFrame:

@@ -94,8 +94,7 @@ def effect_percentiles(spark, sf):
     """SELECT unnest([0.01, 0.5, 0.99]) AS share, unnest(quantile_cont(l_extendedprice, [0.01, 0.5, 0.99])) AS value FROM lineitem""",
 )
 def price_percentiles_by_counting(spark, sf):
-    # The counting passes that large groups take, whatever the size of the table.
-    return quantile_table(table(spark, sf, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.99], small_group=0)
+    return quantile_table(table(spark, sf, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.99])
 
 
 @query(
