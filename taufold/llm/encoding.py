@@ -18,10 +18,10 @@ import pyarrow as pa
 
 from taufold.llm import words as W
 
-#: Chunks and ids that a worker keeps: 25 MB of table, 8 bytes a chunk and 4 an id.
-CACHE_BITS = 21
-CACHE_CHUNKS = 1_300_000
-CACHE_IDS = 16_000_000
+#: Chunks and ids that a worker keeps: 13 MB of table, 8 bytes a chunk and 4 an id.
+CACHE_BITS = 20
+CACHE_CHUNKS = 650_000
+CACHE_IDS = 6_000_000
 #: White space outside ASCII, as the vocabularies' own patterns see it.
 WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: A simple chunk: at most one space or line break, Latin letters, then ASCII marks other than an apostrophe.
@@ -258,11 +258,6 @@ class PieceEncoder(ChunkEncoder):
         return [x or self.space for x in self.processor.encode(texts, num_threads=1)]
 
 
-_loaded: dict[tuple, ChunkEncoder] = {}
-
-
 def worker_encoder(kind: type[ChunkEncoder], path: str) -> ChunkEncoder:
     """This worker's encoder; it outlives a task, so later tasks find its chunks."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return W.resident((kind, path), lambda: kind(path))

@@ -177,16 +177,9 @@ def training_text(rows: DataFrame, key: str, text: str, lang: str) -> dict[str,
     return out
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def worker_parser(samples: dict[str, bytes]) -> CrossParser:
     """This worker's parser; it is built once from the broadcast text."""
-    key = tuple(sorted(samples.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return W.resident(("parser", *sorted(samples.items())), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ byte table, mixed at the end; two different words meet with a chance of about
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a single longer text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -64,6 +64,18 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
+_resident: dict = {}
+
+
+def resident(key: object, build: Callable[[], object]) -> object:
+    """The one large object that this Python worker keeps between tasks; asking for another lets it go first."""
+    if key not in _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(32))
