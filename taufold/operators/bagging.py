@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taufold.functions.labels import first_match
@@ -14,9 +13,6 @@ from taufold.functions.numeric import poisson_one, uniform
 from taufold.operators.fitting import fit_all
 from taufold.sources.stage import stage
 
-# Trees that score a unit in one projection; more would outgrow the generated code.
-TREES_PER_PASS = 20
-
 
 def with_draws(df: DataFrame, unit_id: str, rounds: int, seed: int) -> DataFrame:
     """Adds _d1.._dB: how often a unit is drawn in each round.
@@ -52,6 +48,21 @@ def vote_errors(votes: DataFrame, classes: Sequence[int], unit_id: str = "unit_i
     return counted.groupBy("round").agg(F.avg(wrong).alias("error"))
 
 
+def running_majority(votes: Column, classes: Sequence[float]) -> Column:
+    """Majority class after each vote of an array; NULL votes don't count and give NULL, ties go to the smallest class."""
+    known = F.array(*[F.lit(float(c)) for c in classes])
+    start = F.struct(F.array_repeat(F.lit(0), len(classes)).alias("counts"), F.array().cast("array<double>").alias("majority"))
+
+    def count(state: Column, vote: Column) -> Column:
+        place = F.array_position(known, vote)
+        counts = F.transform(state["counts"], lambda n, i: n + F.coalesce((i + 1 == place).cast("int"), F.lit(0)))
+        leader = F.element_at(known, F.array_position(counts, F.array_max(counts)).cast("int"))
+        majority = F.concat(state["majority"], F.array(F.when(vote.isNotNull(), leader)))
+        return F.struct(counts.alias("counts"), majority.alias("majority"))
+
+    return F.aggregate(votes, start, count)["majority"]
+
+
 def bagged_tree_errors(
     train: DataFrame,
     test: DataFrame,
@@ -61,11 +72,13 @@ def bagged_tree_errors(
     seed: int = 42,
     max_depth: int = 10,
     features: str = "features",
+    parallel: int = 8,
 ) -> DataFrame:
     """(round, oob_error, test_error) for rounds 1..B.
 
-    A batch of trees scores a unit in one pass over the staged units, as columns,
-    and the votes are unpivoted from there.
+    All predictions of a unit are columns of its row, and the running majority is
+    folded there.  What is exploded goes straight into one average per round, so
+    no row per unit and round is shuffled.
     """
     labelled = train.select(unit_id, features, F.col(label).cast("double").alias("label"))
     # One small column per round: each fit reads only its own.
@@ -74,29 +87,21 @@ def bagged_tree_errors(
     jobs = []
     for b in range(1, rounds + 1):
         drawn = base.select(features, "label", F.col(f"_d{b}").cast("double").alias("_drawn")).filter("_drawn > 0")
-        tree = DecisionTreeClassifier(featuresCol=features, labelCol="label", weightCol="_drawn", seed=b, maxDepth=max_depth)
+        tree = DecisionTreeClassifier(
+            featuresCol=features, labelCol="label", weightCol="_drawn", rawPredictionCol="", probabilityCol="", seed=b, maxDepth=max_depth
+        )
         jobs.append((tree, drawn))
-    models = fit_all(jobs)
-
-    def predictions(df: DataFrame) -> DataFrame:
-        batches = [range(i, min(i + TREES_PER_PASS, rounds)) for i in range(0, rounds, TREES_PER_PASS)]
-        return reduce(DataFrame.unionByName, [_batch(df, batch) for batch in batches])
-
-    def _batch(df: DataFrame, batch: range) -> DataFrame:
-        out = df
-        for i in batch:
-            kept = out.columns
-            out = models[i].transform(out).select(*kept, F.col("prediction").alias(f"_p{i}"))
-        out_of_bag_flag = (lambda i: F.col(f"_d{i + 1}") == 0) if "_d1" in df.columns else (lambda i: F.lit(True))
-        cells = [
-            F.struct(F.lit(i + 1).alias("round"), F.col(f"_p{i}").alias("prediction"), out_of_bag_flag(i).alias("oob"))
-            for i in batch
-        ]
-        return out.select(unit_id, "label", F.inline(F.array(*cells)))
-
-    votes = predictions(base).filter("oob").select(unit_id, "round", "prediction", "label")
+    models = fit_all(jobs, parallel)
+
+    def errors(df: DataFrame, name: str, vote: Callable[[int], Column], decide: Callable[[Column], Column]) -> DataFrame:
+        for i, model in enumerate(models):
+            df = model.setPredictionCol(f"_p{i}").transform(df)
+        decided = df.select("label", decide(F.array(*[vote(i) for i in range(rounds)])).alias("decided"))
+        long = decided.select("label", F.posexplode("decided").alias("position", "decision"))
+        wrong = (F.col("decision") != F.col("label")).cast("double")
+        return long.groupBy((F.col("position") + 1).alias("round")).agg(F.avg(wrong).alias(name))
+
     classes = sorted(r["label"] for r in base.select("label").distinct().collect())
-    oob = vote_errors(votes, classes, unit_id).withColumnRenamed("error", "oob_error")
-    wrong = (F.col("prediction") != F.col("label")).cast("double")
-    tested = predictions(held).groupBy("round").agg(F.avg(wrong).alias("test_error"))
+    oob = errors(base, "oob_error", lambda i: F.when(F.col(f"_d{i + 1}") == 0, F.col(f"_p{i}")), lambda votes: running_majority(votes, classes))
+    tested = errors(held, "test_error", lambda i: F.col(f"_p{i}"), lambda votes: votes)
     return oob.join(tested, "round").orderBy("round")

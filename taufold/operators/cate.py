@@ -153,18 +153,18 @@ def predict_arms(df: DataFrame, models: Mapping[int, Model], prefix: str) -> Dat
     return out
 
 
-def proxy_score(df: DataFrame, cate: str, treatment: str, outcome: str, fold: str) -> DataFrame:
-    """Mean squared gap between outcome and cate * treatment, averaged over folds."""
+def proxy_score(df: DataFrame, cate: str, treatment: str, outcome: str, fold: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean squared gap between outcome and cate * treatment, averaged over folds (of each group ``by``)."""
     gap = F.col(outcome).cast("double") - F.col(cate) * F.col(treatment)
-    per_fold = df.groupBy(fold).agg(F.avg(gap * gap).alias("mse"))
-    return per_fold.agg(F.avg("mse").alias("score"))
+    per_fold = df.groupBy(*by, fold).agg(F.avg(gap * gap).alias("mse"))
+    return per_fold.groupBy(*by).agg(F.avg("mse").alias("score"))
 
 
-def residual_score(df: DataFrame, cate: str, fold: str) -> DataFrame:
-    """Orthogonal loss of the effect, averaged over folds."""
+def residual_score(df: DataFrame, cate: str, fold: str, by: Sequence[str] = ()) -> DataFrame:
+    """Orthogonal loss of the effect, averaged over folds (of each group ``by``)."""
     gap = F.col("_target") - F.col(cate)
-    per_fold = df.groupBy(fold).agg((F.sum(F.col("_weight") * gap * gap) / F.count(F.lit(1))).alias("mse"))
-    return per_fold.agg(F.avg("mse").alias("score"))
+    per_fold = df.groupBy(*by, fold).agg((F.sum(F.col("_weight") * gap * gap) / F.count(F.lit(1))).alias("mse"))
+    return per_fold.groupBy(*by).agg(F.avg("mse").alias("score"))
 
 
 def grid_points(grid: Mapping[str, Sequence] = FOREST_GRID) -> list[ForestParams]:
@@ -185,7 +185,8 @@ def tune_forest(
     """Cross-validated score of every grid point, best first.
 
     ``loss`` is 'proxy' (outcome against cate * treatment) or 'residual'.  The
-    targets are staged once, partitioned by fold; every fit is a distributed job.
+    targets are staged once, partitioned by fold; every fit is a distributed job,
+    and one plan scores all points.
     """
     if loss not in ("proxy", "residual"):
         raise ValueError(f"unknown loss {loss!r}")
@@ -198,15 +199,19 @@ def tune_forest(
         for f in range(folds)
     ]
     models = fit_all(jobs)
-    rows = []
-    for number, point in enumerate(points):
-        parts = []
-        for f in range(folds):
-            scored = models[number * folds + f].transform(staged.filter(F.col("_cv") == f))
-            parts.append(scored.select("_cv", "_target", "_weight", treatment, outcome, F.col("prediction").alias("cate")))
-        scored = reduce(DataFrame.unionByName, parts)
-        table = proxy_score(scored, "cate", treatment, outcome, "_cv") if loss == "proxy" else residual_score(scored, "cate", "_cv")
-        rows.append((number, point.num_trees, point.min_leaf, point.max_depth, point.sample_share, table.first()["score"]))
+    parts = []
+    for f in range(folds):
+        scored = staged.filter(F.col("_cv") == f)
+        for number in range(len(points)):
+            scored = models[number * folds + f].setPredictionCol(f"_c{number}").transform(scored)
+        cells = [F.struct(F.lit(number).alias("point"), F.col(f"_c{number}").alias("cate")) for number in range(len(points))]
+        parts.append(scored.select("_cv", "_target", "_weight", treatment, outcome, F.inline(F.array(*cells))))
+    scored = reduce(DataFrame.unionByName, parts)
+    by = ("point",)
+    scores = proxy_score(scored, "cate", treatment, outcome, "_cv", by) if loss == "proxy" else residual_score(scored, "cate", "_cv", by)
+    # As many rows as grid points.
+    found = {r["point"]: r["score"] for r in scores.collect()}
+    rows = [(k, p.num_trees, p.min_leaf, p.max_depth, p.sample_share, found.get(k)) for k, p in enumerate(points)]
     schema = T.StructType(
         [
             T.StructField("point", T.IntegerType()),

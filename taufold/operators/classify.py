@@ -12,7 +12,9 @@ from taufold.functions.labels import binarize, by_arm
 from taufold.sources.stage import stage
 
 
-def outcome_forest(trees: int = 100, depth: int = 10, seed: int = 42, features: str = "features") -> Estimator:
+def outcome_forest(
+    trees: int = 100, depth: int = 10, seed: int = 42, features: str = "features", bootstrap: bool = True, per_split: str = "sqrt"
+) -> Estimator:
     """Probability forest for a 0/1 outcome.
 
     Variance of a 0/1 label is half its Gini impurity, so the splits are those of
@@ -21,7 +23,7 @@ def outcome_forest(trees: int = 100, depth: int = 10, seed: int = 42, features:
     would flatten the probabilities.
     """
     return RandomForestRegressor(
-        featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt"
+        featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap, featureSubsetStrategy=per_split
     )
 
 

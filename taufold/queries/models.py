@@ -1,8 +1,9 @@
 """Fitted models.
 
-Most queries here use one-split trees and a logistic model on a single 0/1
-covariate: their fits have a closed form (group means and shares), so that the
-whole chain of fitting, cross-fitting and scoring can be checked exactly.
+Most queries here use single trees and a logistic model on two 0/1 covariates
+and their product.  Three levels of splits, or three coefficients, tell all four
+cells apart, so the fits have a closed form (cell means and shares) and the whole
+chain of fitting, cross-fitting and scoring can be checked exactly.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from taufold.operators import balance as B
 from taufold.operators.bagging import bagged_tree_errors
 from taufold.operators.cate import EffectForest, ForestParams, dr_learner, predict_arms, residual_targets, t_learner, tune_forest
 from taufold.operators.classify import outcome_forest, score_by_arm
+from taufold.operators.impute import fill, means, modes
 from taufold.operators.metrics import classification_report
 from taufold.operators.split import train_test_split
 from taufold.operators.subgroup import subgroup_table
@@ -28,7 +30,7 @@ from taufold.sources import tables as S
 from taufold.sources.stage import new_stage_path, stage
 
 
-def one_split(depth: int = 1) -> RandomForestRegressor:
+def one_tree(depth: int = 3) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", numTrees=1, maxDepth=depth, bootstrap=False, subsamplingRate=1.0)
 
 
@@ -37,17 +39,34 @@ def shares() -> LogisticRegression:
 
 
 def units(spark, sf):
-    """Units with line items; the covariate says whether there is more than one."""
-    df = scored(spark, sf).dropna(subset=["n_lines"]).withColumns(
-        {"many": (F.col("n_lines") >= 2).cast("double"), "cate2": 0.05 + 0.5 * F.col("cate")}
+    """All units, missing covariates imputed; two 0/1 covariates, their product and the cell they make."""
+    kept = ["unit_id", "treatment", "arm", "outcome", "returned", "fold", "weights", "cate"]
+    df = stage(scored(spark, sf).select(*kept, "n_lines", "price"), "scored-units")
+    df = fill(df, means(df, ["n_lines"], 0) | modes(df, ["returned"]))
+    flags = {"many": (F.col("n_lines") >= 4).cast("double"), "dear": (F.col("price") >= DEAR).cast("double")}
+    df = df.withColumns(flags).withColumns(
+        {
+            "both": F.col("many") * F.col("dear"),
+            "cell": (F.col("many") + 2 * F.col("dear")).cast("int"),
+            "cate2": 0.05 + 0.5 * F.col("cate"),
+        }
     )
-    kept = ["unit_id", "treatment", "arm", "outcome", "returned", "fold", "weights", "many", "cate", "cate2"]
-    return VectorAssembler(inputCols=["many"], outputCol="features").transform(df.select(*kept))
+    cells = VectorAssembler(inputCols=["many", "dear", "both"], outputCol="features").transform(df)
+    return cells.select(*kept, "cate2", "cell", "features")
 
 
-UNITS = f"""{SCORED},
-u AS (SELECT unit_id, treatment, arm, outcome, returned, fold, weights, CASE WHEN n_lines >= 2 THEN 1 ELSE 0 END AS many,
-    cate, 0.05 + 0.5 * cate AS cate2 FROM scored WHERE n_lines IS NOT NULL)"""
+DEAR = 250_000
+
+
+def _units_sql(fold: str = "fold") -> str:
+    return f"""{SCORED},
+u AS (SELECT unit_id, treatment, arm, outcome, {fold} AS fold, weights, cate, 0.05 + 0.5 * cate AS cate2,
+    coalesce(returned, (SELECT returned FROM scored WHERE returned IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS returned,
+    CASE WHEN coalesce(n_lines, (SELECT round_even(avg(n_lines), 0) FROM scored)) >= 4 THEN 1 ELSE 0 END
+      + CASE WHEN price >= {DEAR} THEN 2 ELSE 0 END AS cell FROM scored)"""
+
+
+UNITS = _units_sql()
 
 
 @query(
@@ -86,27 +105,27 @@ def propensity_weights(spark, sf):
 @query(
     "A4",
     "unit_id:i, mu:d",
-    f"WITH {UNITS} SELECT unit_id, avg(outcome) OVER (PARTITION BY many) AS mu FROM u",
+    f"WITH {UNITS} SELECT unit_id, avg(outcome) OVER (PARTITION BY cell) AS mu FROM u",
 )
 def stored_model(spark, sf):
     df = stage(units(spark, sf).select("unit_id", "outcome", "features"), "units")
     path = new_stage_path(spark, "model")
-    S.save_model(one_split().setLabelCol("outcome").fit(df), path)
+    S.save_model(one_tree().setLabelCol("outcome").fit(df), path)
     return S.load_model(path).transform(df).select("unit_id", F.col("prediction").alias("mu"))
 
 
 def _nuisance_sql(rest: str) -> str:
     """Means and shares of all units that satisfy ``rest`` (f: unit scored, o: other unit), and the scores."""
-    return f"""keys AS (SELECT DISTINCT fold AS kf, many AS km FROM u),
+    return f"""keys AS (SELECT DISTINCT fold AS kf, cell AS km FROM u),
     nu AS (SELECT kf, km,
         avg(outcome) FILTER (arm = 0) AS m0, avg(outcome) FILTER (arm = 1) AS m1, avg(outcome) FILTER (arm = 2) AS m2,
         avg(CASE WHEN arm = 0 THEN 1.0 ELSE 0.0 END) AS q0, avg(CASE WHEN arm = 1 THEN 1.0 ELSE 0.0 END) AS q1,
         avg(CASE WHEN arm = 2 THEN 1.0 ELSE 0.0 END) AS q2
-      FROM keys JOIN u ON many = km AND {rest} GROUP BY kf, km),
+      FROM keys JOIN u ON cell = km AND {rest} GROUP BY kf, km),
     sc AS (SELECT u.*, m1 + (CASE WHEN arm = 1 THEN 1 ELSE 0 END) / greatest(q1, 0.01) * (outcome - m1) - base AS dr1,
         m2 + (CASE WHEN arm = 2 THEN 1 ELSE 0 END) / greatest(q2, 0.01) * (outcome - m2) - base AS dr2
       FROM (SELECT u.*, nu.*, m0 + (CASE WHEN arm = 0 THEN 1 ELSE 0 END) / greatest(q0, 0.01) * (outcome - m0) AS base
-        FROM u JOIN nu ON kf = fold AND km = many) u),
+        FROM u JOIN nu ON kf = fold AND km = cell) u),
     long AS (SELECT unit_id, fold, 1 AS arm, cate, dr1 AS dr FROM sc UNION ALL SELECT unit_id, fold, 2, cate2, dr2 FROM sc)"""
 
 
@@ -115,7 +134,7 @@ MEAN_EFFECTS = """SELECT arm, count(dr) AS n, avg(dr) AS ate, stddev_pop(dr) / s
 
 
 def scorer(stratified: bool = False, fold: str | None = None) -> DRScorer:
-    return DRScorer(one_split(), shares(), ("cate", "cate2"), stratified=stratified, fold=fold)
+    return DRScorer(one_tree(), shares(), ("cate", "cate2"), stratified=stratified, fold=fold)
 
 
 @query(
@@ -130,9 +149,7 @@ def cross_fitted_effects(spark, sf):
 @query(
     "K6 K4 K9",
     "arm:i, n:i, ate:d, se_pop:d, se_samp:d",
-    f"""WITH {SCORED}, raw AS (SELECT * FROM scored WHERE n_lines IS NOT NULL),
-    u AS (SELECT unit_id, arm, outcome, CASE WHEN n_lines >= 2 THEN 1 ELSE 0 END AS many, cate, 0.05 + 0.5 * cate AS cate2,
-      (row_number() OVER (PARTITION BY arm ORDER BY {hash32_sql(123, "unit_id")}, unit_id) - 1) % 5 AS fold FROM raw),
+    f"""WITH {_units_sql(f'(row_number() OVER (PARTITION BY arm ORDER BY {hash32_sql(123, "unit_id")}, unit_id) - 1) % 5')},
     {_nuisance_sql('fold <> kf')} {MEAN_EFFECTS}""",
 )
 def stratified_cross_fit(spark, sf):
@@ -157,59 +174,61 @@ def validated_effects(spark, sf):
 def _targets_sql() -> str:
     """Cross-fitted weighted means and shares on three hash folds, then target and weight of each unit."""
     return f"""f3 AS (SELECT *, {hash32_sql(42, "unit_id")} % 3 AS f FROM u),
-    nu AS (SELECT k.f AS kf, k.many AS km, sum(o.outcome * o.weights) / sum(o.weights) AS m, sum(o.treatment * o.weights) / sum(o.weights) AS e
-      FROM (SELECT DISTINCT f, many FROM f3) k JOIN f3 o ON o.many = k.many AND o.f <> k.f GROUP BY k.f, k.many),
-    tg AS (SELECT f3.*, (outcome - m) / (treatment - e) AS t, weights * pow(treatment - e, 2) AS w FROM f3 JOIN nu ON kf = f AND km = many)"""
+    nu AS (SELECT k.f AS kf, k.cell AS km, sum(o.outcome * o.weights) / sum(o.weights) AS m, sum(o.treatment * o.weights) / sum(o.weights) AS e
+      FROM (SELECT DISTINCT f, cell FROM f3) k JOIN f3 o ON o.cell = k.cell AND o.f <> k.f GROUP BY k.f, k.cell),
+    tg AS (SELECT f3.*, (outcome - m) / (treatment - e) AS t, weights * pow(treatment - e, 2) AS w FROM f3 JOIN nu ON kf = f AND km = cell)"""
 
 
 def targets(spark, sf):
-    return residual_targets(units(spark, sf), "unit_id", "treatment", "outcome", one_split(), shares(), weight="weights")
+    return residual_targets(units(spark, sf), "unit_id", "treatment", "outcome", one_tree(), shares(), weight="weights")
 
 
-STUMP = ForestParams(num_trees=1, min_leaf=1, max_depth=1, sample_share=1.0)
+ONE_TREE = ForestParams(num_trees=1, min_leaf=1, max_depth=3, sample_share=1.0)
 
 
 @query(
     "K10",
     "unit_id:i, cate:d",
-    f"WITH {UNITS}, {_targets_sql()} SELECT unit_id, sum(t * w) OVER (PARTITION BY many) / sum(w) OVER (PARTITION BY many) AS cate FROM tg",
+    f"WITH {UNITS}, {_targets_sql()} SELECT unit_id, sum(t * w) OVER (PARTITION BY cell) / sum(w) OVER (PARTITION BY cell) AS cate FROM tg",
 )
 def residual_forest(spark, sf):
     t = stage(targets(spark, sf), "targets")
-    return EffectForest.fit(t, "unit_id", STUMP).effect(t.select("unit_id", "features"))
+    return EffectForest.fit(t, "unit_id", ONE_TREE).effect(t.select("unit_id", "features"))
 
 
 @query(
     "K11",
-    "many:i, cate:d, cate_lower:d, cate_upper:d",
+    "cell:i, cate:d, cate_lower:d, cate_upper:d",
     f"""WITH {UNITS}, {_targets_sql()},
-    full_ AS (SELECT many, sum(t * w) / sum(w) AS cate FROM tg GROUP BY many),
-    half AS (SELECT many, g, sum(t * w) / sum(w) AS c FROM tg, range(4) r(g)
-      WHERE CAST('0x' || substr(md5(CAST(43 + g AS VARCHAR) || ':' || CAST(unit_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 GROUP BY many, g),
-    s AS (SELECT many, stddev_samp(c) AS sd FROM half GROUP BY many)
-    SELECT many, cate, cate - 1.96 * sd AS cate_lower, cate + 1.96 * sd AS cate_upper FROM full_ JOIN s USING (many)""",
+    full_ AS (SELECT cell, sum(t * w) / sum(w) AS cate FROM tg GROUP BY cell),
+    half AS (SELECT cell, g, sum(t * w) / sum(w) AS c FROM tg, range(4) r(g)
+      WHERE CAST('0x' || substr(md5(CAST(43 + g AS VARCHAR) || ':' || CAST(unit_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 GROUP BY cell, g),
+    s AS (SELECT cell, stddev_samp(c) AS sd FROM half GROUP BY cell)
+    SELECT cell, cate, cate - 1.96 * sd AS cate_lower, cate + 1.96 * sd AS cate_upper FROM full_ JOIN s USING (cell)""",
 )
 def forest_limits(spark, sf):
     t = stage(targets(spark, sf), "targets")
-    forest = EffectForest.fit(t, "unit_id", STUMP, groups=4)
-    return forest.effect_interval(t.select("many", "features").distinct())
+    forest = EffectForest.fit(t, "unit_id", ONE_TREE, groups=4)
+    return forest.effect_interval(t.select("cell", "features").distinct())
 
 
 @query(
     "K5 K27 K4",
-    "loss:s, point:i, min_leaf:i, score:d",
+    "loss:s, point:i, max_depth:i, score:d",
     f"""WITH {UNITS}, {_targets_sql()}, c AS (SELECT *, {hash32_sql(43, "unit_id")} % 5 AS cv FROM tg),
-    fit AS (SELECT k.cv AS kc, k.many AS km, sum(o.t * o.w) / sum(o.w) AS cate
-      FROM (SELECT DISTINCT cv, many FROM c) k JOIN c o ON o.many = k.many AND o.cv <> k.cv GROUP BY k.cv, k.many),
-    l AS (SELECT cv, avg(pow(outcome - cate_hat * treatment, 2)) AS proxy, sum(w * pow(t - cate_hat, 2)) / count(*) AS residual
-      FROM (SELECT c.* EXCLUDE (cate), fit.cate AS cate_hat FROM c JOIN fit ON kc = cv AND km = many) x GROUP BY cv),
-    p AS (SELECT unnest([0, 1]) AS point, unnest([3, 5]) AS min_leaf)
-    SELECT 'proxy' AS loss, point, min_leaf, avg(proxy) AS score FROM l, p GROUP BY point, min_leaf
-    UNION ALL SELECT 'residual', point, min_leaf, avg(residual) FROM l, p GROUP BY point, min_leaf""",
+    fit AS (SELECT k.cv AS kc, k.cell AS km, sum(o.t * o.w) / sum(o.w) AS cate
+      FROM (SELECT DISTINCT cv, cell FROM c) k JOIN c o ON o.cell = k.cell AND o.cv <> k.cv GROUP BY k.cv, k.cell),
+    root AS (SELECT k.cv AS kc, sum(o.t * o.w) / sum(o.w) AS cate FROM (SELECT DISTINCT cv FROM c) k JOIN c o ON o.cv <> k.cv GROUP BY k.cv),
+    x AS (SELECT c.* EXCLUDE (cate), 0 AS point, 3 AS max_depth, fit.cate AS cate_hat FROM c JOIN fit ON kc = cv AND km = cell
+      UNION ALL SELECT c.* EXCLUDE (cate), 1, 0, root.cate FROM c JOIN root ON kc = cv),
+    l AS (SELECT point, max_depth, cv, avg(pow(outcome - cate_hat * treatment, 2)) AS proxy, sum(w * pow(t - cate_hat, 2)) / count(*) AS residual
+      FROM x GROUP BY point, max_depth, cv)
+    SELECT 'proxy' AS loss, point, max_depth, avg(proxy) AS score FROM l GROUP BY point, max_depth
+    UNION ALL SELECT 'residual', point, max_depth, avg(residual) FROM l GROUP BY point, max_depth""",
 )
 def forest_tuning(spark, sf):
     t = stage(targets(spark, sf), "targets")
-    grid = [ForestParams(num_trees=1, min_leaf=m, max_depth=1, sample_share=1.0) for m in (3, 5)]
+    grid = [ForestParams(num_trees=1, min_leaf=1, max_depth=d, sample_share=1.0) for d in (3, 0)]
     parts = [
         tune_forest(t, "unit_id", "treatment", "outcome", grid, loss=loss).withColumn("loss", F.lit(loss))
         for loss in ("proxy", "residual")
@@ -221,44 +240,55 @@ def forest_tuning(spark, sf):
     "K10 K12",
     "unit_id:i, t_effect:d, dr_effect:d",
     f"""WITH {UNITS}, {_nuisance_sql('fold <> kf')},
-    m AS (SELECT many, avg(outcome) FILTER (arm = 1) - avg(outcome) FILTER (arm = 0) AS t_effect FROM u GROUP BY many),
-    d AS (SELECT many, avg(dr1) AS dr_effect FROM sc GROUP BY many)
-    SELECT unit_id, t_effect, dr_effect FROM u JOIN m USING (many) JOIN d USING (many)""",
+    m AS (SELECT cell, avg(outcome) FILTER (arm = 1) - avg(outcome) FILTER (arm = 0) AS t_effect FROM u GROUP BY cell),
+    d AS (SELECT cell, avg(dr1) AS dr_effect FROM sc GROUP BY cell)
+    SELECT unit_id, t_effect, dr_effect FROM u JOIN m USING (cell) JOIN d USING (cell)""",
 )
 def learner_effects(spark, sf):
     df = stage(units(spark, sf), "units")
-    by_arm = predict_arms(df.select("unit_id", "features"), t_learner(df, "arm", "outcome", [0, 1], one_split()), "mu")
+    by_arm = predict_arms(df.select("unit_id", "features"), t_learner(df, "arm", "outcome", [0, 1], one_tree()), "mu")
     scores = scorer().fit(df, "unit_id", "arm", "outcome").val.filter("arm = 1")
     long = scores.select("unit_id", "arm", "dr").join(df.select("unit_id", "features"), "unit_id")
-    both = predict_arms(by_arm, dr_learner(long, one_split()), "dr")
+    both = predict_arms(by_arm, dr_learner(long, one_tree()), "dr")
     return both.select("unit_id", (F.col("mu1") - F.col("mu0")).alias("t_effect"), F.col("dr1").alias("dr_effect"))
 
 
+REPORT = """c AS (SELECT count(*) FILTER (outcome = 1 AND score >= 0.5)::DOUBLE AS tp, count(*) FILTER (outcome = 0 AND score >= 0.5) AS fp,
+      count(*) FILTER (outcome = 1 AND score < 0.5) AS fn, count(*) FILTER (outcome = 0 AND score < 0.5) AS tn FROM s)
+    SELECT (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+      2 * tp / (2 * tp + fp + fn) AS f1, roc_auc FROM c, auc"""
+
+
 @query(
     "K28 K29 C24",
     "accuracy:d, precision:d, recall:d, f1:d, roc_auc:d",
-    f"""WITH {UNITS}, s AS (SELECT returned AS outcome, avg(returned) OVER (PARTITION BY treatment, many) AS score FROM u), {AUC},
-    c AS (SELECT count(*) FILTER (outcome = 1 AND score >= 0.5)::DOUBLE AS tp, count(*) FILTER (outcome = 0 AND score >= 0.5) AS fp,
-      count(*) FILTER (outcome = 1 AND score < 0.5) AS fn, count(*) FILTER (outcome = 0 AND score < 0.5) AS tn FROM s)
-    SELECT (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
-      2 * tp / (2 * tp + fp + fn) AS f1, roc_auc FROM c, auc""",
+    f"""WITH {UNITS}, s AS (SELECT returned AS outcome, avg(returned) OVER (PARTITION BY treatment, cell) AS score FROM u), {AUC},
+    {REPORT}""",
 )
 def arm_classifiers(spark, sf):
     df = stage(units(spark, sf).select("unit_id", "treatment", "returned", "features"), "units")
-    scored_units = score_by_arm(df, df, "treatment", "returned", one_split())
+    scored_units = score_by_arm(df, df, "treatment", "returned", one_tree())
     return classification_report(stage(scored_units.select("returned", "score"), "scores"), "returned", "score")
 
 
-@query("K28 K29", "accuracy:d, precision:d, recall:d, f1:d, roc_auc:d")
+@query(
+    "K28 K29",
+    "accuracy:d, precision:d, recall:d, f1:d, roc_auc:d",
+    f"""WITH {UNITS}, h AS (SELECT treatment, cell, returned, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM u),
+    leaf AS (SELECT treatment, cell, avg(returned) AS score FROM h WHERE in_train GROUP BY treatment, cell),
+    s AS (SELECT returned AS outcome, score FROM h JOIN leaf USING (treatment, cell) WHERE NOT in_train), {AUC},
+    {REPORT}""",
+)
 def arm_forests(spark, sf):
-    df = scored(spark, sf).dropna(subset=["n_lines", "qty"])
-    vectors = VectorAssembler(inputCols=["n_lines", "qty", "price", "bal"], outputCol="features").transform(df)
-    staged = stage(vectors.select("unit_id", "treatment", "returned", "features"), "units")
-    train, test = train_test_split(staged, "unit_id")
-    scored_units = score_by_arm(train, test, "treatment", "returned", outcome_forest(trees=20, depth=6))
+    train, test = train_test_split(stage(units(spark, sf), "units"), "unit_id")
+    forest = outcome_forest(trees=1, depth=3, bootstrap=False, per_split="all")
+    scored_units = score_by_arm(train, test, "treatment", "returned", forest)
     return classification_report(stage(scored_units.select("returned", "score"), "scores"), "returned", "score")
 
 
+ROUNDS = 200
+
+
 def _poisson_sql(u: str) -> str:
     total, term, cases = 0.0, 0.0, []
     for k in range(13):
@@ -271,19 +301,19 @@ def _poisson_sql(u: str) -> str:
 @query(
     "K26 E5",
     "round:i, oob_error:d, test_error:d",
-    f"""WITH {UNITS}, s AS (SELECT unit_id, many, returned AS y, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM u),
-    dr_ AS (SELECT s.*, round, {uniform_sql(42, "round || ':' || unit_id")} AS un FROM s, range(1, 11) r(round) WHERE in_train),
+    f"""WITH {UNITS}, s AS (SELECT unit_id, cell, returned AS y, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM u),
+    dr_ AS (SELECT s.*, round, {uniform_sql(42, "round || ':' || unit_id")} AS un FROM s, range(1, {ROUNDS + 1}) r(round) WHERE in_train),
     d AS (SELECT *, {_poisson_sql("un")} AS drawn FROM dr_),
-    leaf AS (SELECT round, many, CASE WHEN 2 * sum(drawn * y) > sum(drawn) THEN 1 ELSE 0 END AS pred FROM d GROUP BY round, many),
-    v AS (SELECT unit_id, round, y, pred FROM d JOIN leaf USING (round, many) WHERE drawn = 0),
+    leaf AS (SELECT round, cell, CASE WHEN 2 * sum(drawn * y) > sum(drawn) THEN 1 ELSE 0 END AS pred FROM d GROUP BY round, cell),
+    v AS (SELECT unit_id, round, y, pred FROM d JOIN leaf USING (round, cell) WHERE drawn = 0),
     c AS (SELECT *, sum(pred) OVER w AS ones, count(*) OVER w AS votes FROM v WINDOW w AS (PARTITION BY unit_id ORDER BY round)),
     oob AS (SELECT round, avg(CASE WHEN (CASE WHEN 2 * ones > votes THEN 1 ELSE 0 END) <> y THEN 1.0 ELSE 0.0 END) AS oob_error FROM c GROUP BY round),
-    t AS (SELECT round, avg(CASE WHEN pred <> y THEN 1.0 ELSE 0.0 END) AS test_error FROM s JOIN leaf USING (many) WHERE NOT in_train GROUP BY round)
+    t AS (SELECT round, avg(CASE WHEN pred <> y THEN 1.0 ELSE 0.0 END) AS test_error FROM s JOIN leaf USING (cell) WHERE NOT in_train GROUP BY round)
     SELECT * FROM oob JOIN t USING (round)""",
 )
 def bagged_trees(spark, sf):
     train, test = train_test_split(stage(units(spark, sf), "units"), "unit_id")
-    return bagged_tree_errors(train, test, "unit_id", "returned", rounds=10, max_depth=1)
+    return bagged_tree_errors(train, test, "unit_id", "returned", rounds=ROUNDS, max_depth=3)
 
 
 @query(

@@ -184,7 +184,7 @@ def text_codes(spark, sf):
 def frequent_terms(spark, sf):
     from taufold.operators.summary import term_counts
 
-    return term_counts(S.spread_scan(table(spark, sf, "documents").select("text")), "text", top=50)
+    return term_counts(table(spark, sf, "documents").select("text"), "text", top=50)
 
 
 @query(

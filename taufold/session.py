@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, memory: str = "16g", name: str = "taufold") -> SparkSession:
-    return (
+def local_session(cores: int = 8, memory: str = "16g", name: str = "taufold", shared: str | None = None) -> SparkSession:
+    """``shared`` is the folder of stage tables; without one, a local run takes a temporary folder when it needs it."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -16,6 +15,7 @@ def local_session(cores: int = 8, memory: str = "16g", name: str = "taufold") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
