@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taufold.llm import words as W
-from taufold.llm.components import connected_components
+from taufold.llm.components import connected_components, merge_components
 from taufold.llm.frequent import most_frequent
 from taufold.sources.stage import stage
 
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alive = shared.select("token", "n", "place", "node").join(homes.select("node"), "node", "left_semi")
     more = stage(cross_links(sets, alive, roots), "more-links")
     if not more.isEmpty():
-        roots = stage(connected_components(links.unionByName(more)), "roots")
+        roots = stage(merge_components(roots, more), "roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stage(rooted.join(lowest, "root").select(*signature, "component_id"), "named")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taufold.llm import chat, decontamination, jaccard, language_id, licenses, lm, packing, quality, token_counts, token_files
 from taufold.llm import encoding as E
-from taufold.llm.components import connected_components
+from taufold.llm.components import connected_components, merge_components
 from taufold.llm.frequent import most_frequent
 from taufold.llm.queries import vocabulary
 from taufold.sources.stage import new_stage_path
@@ -248,6 +248,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_merged_components_equal_those_of_all_edges(spark):
+    draw = random.Random(3)
+    first, more = ([(draw.randint(0, 90), draw.randint(0, 90)) for _ in range(n)] for n in (35, 25))
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    merged = rows_of(merge_components(connected_components(frame(first)), frame(more)))
+    assert merged == rows_of(connected_components(frame(first + more)))
+    assert rows_of(merge_components(connected_components(frame([])), frame(first))) == rows_of(connected_components(frame(first)))
+
+
 def test_most_frequent(spark):
     table = spark.createDataFrame([(k, 2 ** (k % 6)) for k in range(60)], "k long, n long")
     assert sorted(r["n"] for r in most_frequent(table, "n", 25).collect()) == [16] * 10 + [32] * 10
