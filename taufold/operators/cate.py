@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -107,6 +108,11 @@ class EffectForest:
         kept = df.columns
         return self.model.transform(df).select(*kept, F.col("prediction").alias(out))
 
+    def effects(self, df: DataFrame, arms: Sequence) -> DataFrame:
+        if len(arms) != 2:
+            raise ValueError("the forest has one effect; there must be one non-control arm")
+        return self.effect(df, effect_names(arms)[0])
+
     def effect_interval(self, df: DataFrame, out: str = "cate") -> DataFrame:
         """Estimate with lower and upper 95 % limit from the spread between half-sample forests."""
         if len(self.halves) < 2:
@@ -124,6 +130,32 @@ class EffectForest:
         return scored.withColumns(limits).select(*df.columns, out, f"{out}_lower", f"{out}_upper")
 
 
+class EffectEstimator(Protocol):
+    """What the scorer needs of a fitted effect model."""
+
+    def effects(self, df: DataFrame, arms: Sequence) -> DataFrame:
+        """``df`` plus one column of ``effect_names`` per non-control arm; the first arm is control."""
+
+
+def effect_names(arms: Sequence) -> list[str]:
+    return [f"_effect{k}" for k in range(1, len(arms))]
+
+
+@dataclass(frozen=True)
+class ArmModels:
+    """One outcome model per arm (see ``t_learner``); an arm's effect is its prediction less the control's."""
+
+    models: Mapping[object, Model]
+
+    def effects(self, df: DataFrame, arms: Sequence) -> DataFrame:
+        scored = df
+        for k, arm in enumerate(arms):
+            kept = scored.columns
+            scored = self.models[arm].transform(scored).select(*kept, F.col("prediction").alias(f"_outcome{k}"))
+        gains = [(F.col(f"_outcome{k}") - F.col("_outcome0")).alias(name) for k, name in enumerate(effect_names(arms), 1)]
+        return scored.select(*df.columns, *gains)
+
+
 def arm_effect(df: DataFrame, mu: Mapping[int, str], t0: int, t1: int, out: str = "effect") -> DataFrame:
     """Effect of arm t1 against arm t0 from per-arm outcome predictions."""
     return df.withColumn(out, F.col(mu[t1]) - F.col(mu[t0]))

@@ -11,11 +11,15 @@ from taufold.functions.labels import at_least
 from taufold.functions.values import PROPENSITY_FLOOR
 
 
-def arm_positions(df: DataFrame, treatment: str) -> list[int]:
-    """Sorted arms; the lowest is control.  Arms are few: the result is as short as the design."""
-    rows = df.select(treatment).filter(F.col(treatment).isNotNull()).distinct().limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError(f"column {treatment!r} has more than 1000 values; it is not a treatment arm")
+def arm_positions(df: DataFrame, treatment: str, at_most: int = 1000) -> list:
+    """Sorted arms of any sortable type; the lowest is control.
+
+    Arms are few: the result is as short as the design.  A column with more than
+    ``at_most`` values is refused, as it is no treatment.
+    """
+    rows = df.select(treatment).filter(F.col(treatment).isNotNull()).distinct().limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"column {treatment!r} has more than {at_most} values; it is not a treatment arm")
     return sorted(r[0] for r in rows)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taufold.functions.labels import at_least, first_match
 from taufold.functions.numeric import cuts_at_or_below, normal_tail, standard_normal
@@ -45,9 +46,11 @@ def bucket_moments(val: DataFrame, cuts: Mapping[int, Sequence[float]], score: s
         F.count(s).alias("n"), F.sum(s).alias("s1"), F.sum(s * s).alias("s2")
     )
     zeros = [(arm, b, 0, 0.0, 0.0) for arm, arm_cuts in cuts.items() for b in range(len(arm_cuts) + 1)]
-    empty = val.sparkSession.createDataFrame(zeros, "arm int, b int, n bigint, s1 double, s2 double")
+    fields = [T.StructField("arm", val.schema["arm"].dataType), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]
+    fields += [T.StructField(s, T.DoubleType()) for s in ("s1", "s2")]
+    empty = val.sparkSession.createDataFrame(zeros, T.StructType(fields))
     return (
-        found.select(F.col("arm").cast("int").alias("arm"), "b", "n", "s1", "s2")
+        found.select("arm", "b", "n", "s1", "s2")
         .unionByName(empty)
         .filter("b is not null")
         .groupBy("arm", "b")

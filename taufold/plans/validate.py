@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from taufold.functions.labels import round_even
 from taufold.operators.calibration import calibration_groups, calibration_score, group_cuts
+from taufold.operators.cate import EffectEstimator, effect_names
 from taufold.operators.dr import arm_positions, average_effect, dr_long
 from taufold.operators.linear import blp_test
 from taufold.operators.nuisance import cross_fit, e_names, fit_predict, mu_names
@@ -32,7 +33,7 @@ from taufold.sources.stage import stage
 class Validation:
     """Long tables (unit, arm, dr, cate); ``train`` is None without training units."""
 
-    arms: tuple[int, ...]
+    arms: tuple
     val: DataFrame
     train: DataFrame | None = None
 
@@ -96,16 +97,17 @@ class DRScorer:
     """Any pyspark.ml regressor and probabilistic classifier as nuisance models.
 
     ``cate`` names the prediction columns already in the tables, one per
-    non-control arm.  Folds are hash folds, or even within each arm when
+    non-control arm, or is a fitted estimator whose ``effects(df, arms)`` adds
+    them.  Folds are even within each arm, or plain hash folds without
     ``stratified``, or an own column ``fold`` with values 0..folds-1.
     """
 
     regression: Estimator
     propensity: Estimator
-    cate: tuple[str, ...]
+    cate: tuple[str, ...] | EffectEstimator
     folds: int = 5
     seed: int = 123
-    stratified: bool = False
+    stratified: bool = True
     fold: str | None = None
 
     def fit(
@@ -113,7 +115,7 @@ class DRScorer:
     ) -> Validation:
         """Cross-fit within ``val``, or fit on ``train`` and apply to ``val``."""
         arms = arm_positions(val, treatment)
-        if len(self.cate) != len(arms) - 1:
+        if isinstance(self.cate, tuple) and len(self.cate) != len(arms) - 1:
             raise ValueError("need one prediction column per non-control arm")
         if train is None:
             crossed = self._cross(val, unit_id, treatment, outcome, arms)
@@ -126,7 +128,7 @@ class DRScorer:
             self._scores(crossed, unit_id, treatment, outcome, arms),
         )
 
-    def _cross(self, df: DataFrame, unit_id: str, treatment: str, outcome: str, arms: Sequence[int]) -> DataFrame:
+    def _cross(self, df: DataFrame, unit_id: str, treatment: str, outcome: str, arms: Sequence) -> DataFrame:
         if self.fold:
             tagged = df.withColumn("_fold", F.col(self.fold))
         elif self.stratified:
@@ -135,6 +137,9 @@ class DRScorer:
             tagged = with_folds(df, unit_id, self.folds, self.seed, "_fold")
         return cross_fit(tagged, "_fold", self.folds, treatment, outcome, arms, self.regression, self.propensity)
 
-    def _scores(self, df: DataFrame, unit_id: str, treatment: str, outcome: str, arms: Sequence[int]) -> DataFrame:
-        long = dr_long(df, outcome, treatment, arms, mu_names(arms), e_names(arms), self.cate, keep=[unit_id])
+    def _scores(self, df: DataFrame, unit_id: str, treatment: str, outcome: str, arms: Sequence) -> DataFrame:
+        cate = self.cate
+        if not isinstance(cate, tuple):
+            df, cate = cate.effects(df, arms), effect_names(arms)
+        long = dr_long(df, outcome, treatment, arms, mu_names(arms), e_names(arms), cate, keep=[unit_id])
         return stage(long, "dr")

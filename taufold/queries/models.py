@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from taufold.operators import balance as B
 from taufold.operators.bagging import bagged_tree_errors
-from taufold.operators.cate import EffectForest, ForestParams, dr_learner, predict_arms, residual_targets, t_learner, tune_forest
+from taufold.operators.cate import ArmModels, EffectForest, ForestParams, dr_learner, predict_arms, residual_targets, t_learner, tune_forest
 from taufold.operators.classify import outcome_forest, score_by_arm
 from taufold.operators.impute import fill, means, modes
 from taufold.operators.metrics import classification_report
@@ -114,7 +114,7 @@ def stored_model(spark, sf):
     return S.load_model(path).transform(df).select("unit_id", F.col("prediction").alias("mu"))
 
 
-def _nuisance_sql(rest: str) -> str:
+def _nuisance_sql(rest: str, arms: tuple[str, ...] = ("1", "2"), cate: tuple[str, ...] = ("cate", "cate2")) -> str:
     """Means and shares of all units that satisfy ``rest`` (f: unit scored, o: other unit), and the scores."""
     return f"""keys AS (SELECT DISTINCT fold AS kf, cell AS km FROM u),
     nu AS (SELECT kf, km,
@@ -126,15 +126,16 @@ def _nuisance_sql(rest: str) -> str:
         m2 + (CASE WHEN arm = 2 THEN 1 ELSE 0 END) / greatest(q2, 0.01) * (outcome - m2) - base AS dr2
       FROM (SELECT u.*, nu.*, m0 + (CASE WHEN arm = 0 THEN 1 ELSE 0 END) / greatest(q0, 0.01) * (outcome - m0) AS base
         FROM u JOIN nu ON kf = fold AND km = cell) u),
-    long AS (SELECT unit_id, fold, 1 AS arm, cate, dr1 AS dr FROM sc UNION ALL SELECT unit_id, fold, 2, cate2, dr2 FROM sc)"""
+    long AS (SELECT unit_id, fold, {arms[0]} AS arm, {cate[0]} AS cate, dr1 AS dr FROM sc
+      UNION ALL SELECT unit_id, fold, {arms[1]}, {cate[1]}, dr2 FROM sc)"""
 
 
 MEAN_EFFECTS = """SELECT arm, count(dr) AS n, avg(dr) AS ate, stddev_pop(dr) / sqrt(count(dr)) AS se_pop,
       stddev_samp(dr) / sqrt(count(dr)) AS se_samp FROM long GROUP BY arm"""
 
 
-def scorer(stratified: bool = False, fold: str | None = None) -> DRScorer:
-    return DRScorer(one_tree(), shares(), ("cate", "cate2"), stratified=stratified, fold=fold)
+def scorer(fold: str | None = None) -> DRScorer:
+    return DRScorer(one_tree(), shares(), ("cate", "cate2"), fold=fold)
 
 
 @query(
@@ -153,17 +154,24 @@ def cross_fitted_effects(spark, sf):
     {_nuisance_sql('fold <> kf')} {MEAN_EFFECTS}""",
 )
 def stratified_cross_fit(spark, sf):
-    return scorer(stratified=True).fit(units(spark, sf), "unit_id", "arm", "outcome").average_effect()
+    return scorer().fit(units(spark, sf), "unit_id", "arm", "outcome").average_effect()
 
 
-@query(
-    "K7 K9 K24 K16 K19 K20 K21 F3",
-    "treatment:i, blp_est:d, blp_se:d, blp_pval:d, qini_est:d, qini_se:d, qini_pval:d, autoc_est:d, autoc_se:d, autoc_pval:d, cal_r_squared:d",
-    f"""WITH {UNITS}, {_nuisance_sql('fold <> 0')}, {VAL}, {BLP_TWO}, {CAL_TWO}, {_uplift_sql("qini")}, {_uplift_sql("toc")}
+def _tests_sql(nuisances: str) -> str:
+    return f"""WITH {UNITS}, {nuisances}, {VAL}, {BLP_TWO}, {CAL_TWO}, {_uplift_sql("qini")}, {_uplift_sql("toc")}
     SELECT treatment, round_even(blp_est, 3) AS blp_est, round_even(blp_se, 3) AS blp_se, round_even(blp_pval, 3) AS blp_pval,
       round_even(q.est, 3) AS qini_est, round_even(q.se, 3) AS qini_se, round_even(q.pval, 3) AS qini_pval, round_even(t.est, 3) AS autoc_est,
       round_even(t.se, 3) AS autoc_se, round_even(t.pval, 3) AS autoc_pval, round_even(cal_r_squared, 3) AS cal_r_squared
-    FROM blp_p JOIN qini_coef q USING (treatment) JOIN toc_coef t USING (treatment) JOIN cal USING (treatment)""",
+    FROM blp_p JOIN qini_coef q USING (treatment) JOIN toc_coef t USING (treatment) JOIN cal USING (treatment)"""
+
+
+TESTS = "blp_est:d, blp_se:d, blp_pval:d, qini_est:d, qini_se:d, qini_pval:d, autoc_est:d, autoc_se:d, autoc_pval:d, cal_r_squared:d"
+
+
+@query(
+    "K7 K9 K24 K16 K19 K20 K21 F3",
+    f"treatment:i, {TESTS}",
+    _tests_sql(_nuisance_sql("fold <> 0")),
 )
 def validated_effects(spark, sf):
     df = units(spark, sf)
@@ -171,6 +179,19 @@ def validated_effects(spark, sf):
     return scorer().fit(val, "unit_id", "arm", "outcome", train).evaluate_all()
 
 
+@query(
+    "K9 K24 K10 K12 K16 K19 K20 K21",
+    f"treatment:s, {TESTS}",
+    _tests_sql(_nuisance_sql("fold <> 0", ("'arm 1'", "'arm 2'"), ("m1 - m0", "m2 - m0"))),
+)
+def text_arm_tests(spark, sf):
+    """Arms named by text, effects from a fitted estimator."""
+    df = stage(units(spark, sf).withColumn("arm", F.concat(F.lit("arm "), "arm")), "units")
+    train, val = df.filter("fold <> 0"), df.filter("fold = 0")
+    learner = ArmModels(t_learner(train, "arm", "outcome", ["arm 0", "arm 1", "arm 2"], one_tree()))
+    return DRScorer(one_tree(), shares(), learner).fit(val, "unit_id", "arm", "outcome", train).evaluate_all()
+
+
 def _targets_sql() -> str:
     """Cross-fitted weighted means and shares on three hash folds, then target and weight of each unit."""
     return f"""f3 AS (SELECT *, {hash32_sql(42, "unit_id")} % 3 AS f FROM u),
@@ -247,7 +268,7 @@ def forest_tuning(spark, sf):
 def learner_effects(spark, sf):
     df = stage(units(spark, sf), "units")
     by_arm = predict_arms(df.select("unit_id", "features"), t_learner(df, "arm", "outcome", [0, 1], one_tree()), "mu")
-    scores = scorer().fit(df, "unit_id", "arm", "outcome").val.filter("arm = 1")
+    scores = scorer(fold="fold").fit(df, "unit_id", "arm", "outcome").val.filter("arm = 1")
     long = scores.select("unit_id", "arm", "dr").join(df.select("unit_id", "features"), "unit_id")
     both = predict_arms(by_arm, dr_learner(long, one_tree()), "dr")
     return both.select("unit_id", (F.col("mu1") - F.col("mu0")).alias("t_effect"), F.col("dr1").alias("dr_effect"))

@@ -379,7 +379,8 @@ def one_hot_drop_first(spark, sf):
 @query(
     "E6 E7 E8 D3 K3",
     "unit_id:i, num__price:d, num__qty:d, cat__region_AFRICA:d, cat__region_ASIA:d, cat__region_EUROPE:d",
-    f"""WITH {COHORT}, split AS (SELECT *, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM cohort),
+    f"""WITH {COHORT}, flagged AS (SELECT *, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM cohort),
+    split AS (SELECT * REPLACE (CASE WHEN NOT in_train AND bal < 0 THEN 'ELSEWHERE' ELSE region END AS region) FROM flagged),
     f AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(qty) AS mq FROM split WHERE in_train),
     g AS (SELECT stddev_pop(coalesce(qty, mq)) AS sq FROM split, f WHERE in_train)
     SELECT unit_id, (price - mp) / sp AS num__price, (coalesce(qty, mq) - mq) / sq AS num__qty,
@@ -387,8 +388,11 @@ def one_hot_drop_first(spark, sf):
       CASE WHEN region = 'EUROPE' THEN 1 ELSE 0 END AS "cat__region_EUROPE" FROM split, f, g WHERE NOT in_train""",
 )
 def fitted_preprocessor(spark, sf):
-    df = cohort(spark, sf).select("unit_id", "price", "qty", "region")
-    train, test = df.filter(train_flag(F.col("unit_id"))), df.filter(~train_flag(F.col("unit_id")))
+    in_train = train_flag(F.col("unit_id"))
+    # A level that only test units have.
+    region = F.when(~in_train & (F.col("bal") < 0), "ELSEWHERE").otherwise(F.col("region")).alias("region")
+    df = cohort(spark, sf).select("unit_id", "price", "qty", region)
+    train, test = df.filter(in_train), df.filter(~in_train)
     path = new_stage_path(spark, "preprocessor")
     E.Preprocessor.fit(train, ["price", "qty"], ["region"]).save(spark, path)
     return E.Preprocessor.load(spark, path).transform(test, keep=["unit_id"])
