@@ -308,6 +308,8 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     The weight is one over the least number of prefix shingles that any partner
     of the tile would have to share: over the tiles of a linked set it adds up to 1 or more.
+    That number grows with smaller partners' sizes.  With larger ones it falls by 16/45 a step, up to
+    rounding: among those it is least at the largest, or at a size that is smaller by 1 or 2.
     """
     for columns in _runs(batches, 4):
         token, n, place, node = columns
@@ -318,7 +320,10 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         key = tile * span + n
         low = np.searchsorted(key, tile * span + (4 * n + 4) // 5)
         high = np.searchsorted(key, tile * span + 5 * n // 4, "right")
-        least = np.minimum(least_shared(n, n[low]), least_shared(n, n[high - 1]))
+        least = least_shared(n, n[low])
+        for less in range(3):
+            at = np.searchsorted(key, key[high - 1] - less, "right") - 1
+            least = np.minimum(least, least_shared(n, n[np.maximum(at, low)]))
         keep = high - low > 1
         out = [token[keep], n[keep], place[keep], node[keep], sets[keep], 1.0 / least[keep]]
         yield pa.record_batch([pa.array(c) for c in out], ["token", "n", "place", "node", "sets", "weight"])

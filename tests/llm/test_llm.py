@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from taufold.llm import chat, decontamination, jaccard, language_id, licenses, lm, packing, quality, token_counts, token_files
 from taufold.llm import encoding as E
+from taufold.llm import words as W
 from taufold.llm.components import connected_components, merge_components
 from taufold.llm.frequent import most_frequent
 from taufold.llm.queries import vocabulary
@@ -241,6 +242,29 @@ def test_near_duplicates_of_many_edits(spark):
     assert rows_of(jaccard.near_duplicates(table).select("id", "n", "component_id")) == sorted(components(table), key=str)
 
 
+def test_near_duplicates_link_sizes_between_those_of_a_tile(spark):
+    first = lambda w: jaccard.distinct_shingles(W.find_words(*W.text_bytes(pa.array([w])), W.LOWER), 1)[0][0]
+    words = sorted((f"w{k}" for k in range(40)), key=first)
+    shared, own, others = words[2:14], words[14], words[15:29]  # of 13 and 14 words, 12 in common: 0.8; a set of 15 has their one shared prefix word
+    sets = [[*shared, own], [*words[:2], *shared], [shared[0], *others]]
+    table = spark.createDataFrame([(k, " ".join(s)) for k, s in enumerate(sets)], "doc_id long, text string")
+    found = jaccard.near_duplicates(table, size=1).select("id", "n", "component_id")
+    assert rows_of(found) == [(0, 13, 0), (1, 14, 0), (2, 15, 2)]
+
+
+def test_weights_allow_for_every_size_of_a_tile():
+    draw = np.random.default_rng(8)
+    for top in (20, 60, 300):
+        token = np.sort(draw.integers(0, 12, 200))
+        n = draw.integers(1, top, 200)
+        n = n[np.lexsort((n, token))]
+        batch = pa.record_batch([pa.array(c) for c in (token, n, np.zeros(200, np.int64), np.arange(200))], ["token", "n", "place", "node"])
+        found = {row["node"]: row["weight"] for part in jaccard._shared_tokens(iter([batch])) for row in part.to_pylist()}
+        for node, weight in found.items():
+            fits = n[(token == token[node]) & (5 * n >= 4 * n[node]) & (4 * n <= 5 * n[node])]
+            assert weight == 1 / jaccard.least_shared(n[node], fits).min()
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, b) for b in range(101, 140)] + [(139, 200), (7, 7)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
