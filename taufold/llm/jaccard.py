@@ -385,10 +385,11 @@ def cross_links(sets: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(key, id, tie, n, component_id) of every row; ``key`` is unique, ``tie`` a hash of the text.
+    """(key, id, tie, n, component_id, root) of every row; ``key`` is unique, ``tie`` a hash of the text.
 
     ``n`` is the size of the row's set, ``component_id`` the smallest id that is
-    reachable over links.  NULL, empty and wordless texts have an empty set, are
+    reachable over links, ``root`` the key that stands for the component: components
+    may have the same smallest id, or NULL, but never the same root.  NULL, empty and wordless texts have an empty set, are
     linked with nothing and keep their own id, NULL included.  Rows of equal id
     are rows of their own.  Other columns are not read.
     """
@@ -413,9 +414,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = stage(merge_components(roots, more), "roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stage(rooted.join(lowest, "root").select(*signature, "component_id"), "named")
+    named = stage(rooted.join(lowest, "root").select(*signature, "component_id", "root"), "named")
     found = rows.select("key", "id", "tie", *signature).join(named, signature, "left")
-    return found.select("key", "id", "tie", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    return found.select("key", "id", "tie", "n", component, F.coalesce("root", "key").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -424,7 +426,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows without words stay.
     """
     found = near_duplicates(docs, doc_id, text, size).withColumn("_lost", F.col("id").isNull())
-    leads = found.filter("n > 0").groupBy("component_id").agg(F.min(F.struct("_lost", "id", "key")).alias("first"))
+    leads = found.filter("n > 0").groupBy("root").agg(F.min(F.struct("_lost", "id", "key")).alias("first"))
     stays = found.filter("n > 0").select("key", "id", "tie").join(leads.select(F.col("first.key").alias("key")), "key")
     stays = stays.select("id", "tie", F.lit(True).alias("_one")).unionByName(found.filter("n = 0").select("id", "tie", F.lit(False).alias("_one")))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))

@@ -265,6 +265,14 @@ def test_weights_allow_for_every_size_of_a_tile():
             assert weight == 1 / jaccard.least_shared(n[node], fits).min()
 
 
+def test_near_copies_are_dropped_by_component_not_by_id(spark):
+    one, two, three, four = (prose(40) for _ in range(4))
+    rows = [(None, one, 1), (None, two, 2), (None, two, 3), (7, three, 4), (7, four, 5), (7, four, 6), (8, three.upper(), 7), (9, four + " more", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted(r["row"] for r in jaccard.drop_near_duplicates(table).collect())
+    assert kept[0] == 1 and kept[1] in (2, 3) and kept[2] == 4 and kept[3] in (5, 6) and len(kept) == 4
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, b) for b in range(101, 140)] + [(139, 200), (7, 7)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
