@@ -9,6 +9,7 @@ and gives the share of the template that is there and its span in the text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,39 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
 }
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS '
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_2 = (
+    TEMPLATES["bsd"] + " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+#: Whole texts of those of which the templates above are the beginning: more matched words win, so a whole or shortened text is
+#: reported by these names and its share of the whole; one cut to less than ``COVERAGE`` by its beginning's.
+TEMPLATES |= {
+    "mit-text": TEMPLATES["mit"] + " " + _AS_IS + "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-text": _BSD_2 + _BSD_END,
+    "bsd-3-text": _BSD_2 + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission." + _BSD_END,
+    "isc-text": TEMPLATES["isc"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+    "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+    "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "unlicense-text": TEMPLATES["unlicense"] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+    "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+    "laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act "
+    "of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS + "BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+    "USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
 
 
 def winnowed(grams: np.ndarray, inside: np.ndarray, keep: int = KEEP) -> np.ndarray:
@@ -149,7 +183,7 @@ def align(text: list[int], template: list[int], low: int, high: int) -> tuple[in
 
 
 def _proposals(words: W.Words, index: _Index) -> np.ndarray:
-    """(text, template, shift) of equal fingerprints, sorted; winnowing is over each text by itself."""
+    """(text, template, first word, shift) of equal fingerprints, sorted; winnowing is over each text by itself."""
     found = []
     doc_of = words.texts()
     for size in index.sizes:
@@ -166,36 +200,54 @@ def _proposals(words: W.Words, index: _Index) -> np.ndarray:
         times = index.count[number]
         entry = np.repeat(index.first[number], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         at = np.repeat(at, times)
-        found.append(np.stack([doc[at], index.template[entry], at - words.first[doc[at]] - index.place[entry]]))
-    out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        own = at - words.first[doc[at]]
+        found.append(np.stack([doc[at], index.template[entry], own, own - index.place[entry]]))
+    out = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
     return out[:, np.lexsort(out[::-1])]
 
 
+def _spans(text: np.ndarray, template: int, want: np.ndarray, at: list[int], shift: np.ndarray, coverage: float, known: dict) -> Iterator[tuple[int, int, int]]:
+    """(matches, start, end) of a template's spans, none overlapping, until every proposal (at, shift) is in one or fits none."""
+    order = np.argsort(shift, kind="stable")
+    ranked, place = shift[order], np.argsort(order, kind="stable")
+    run = np.concatenate([[0], np.cumsum(np.diff(ranked) > BAND)])  # shifts that lie close together
+    starts, ends = [], []  # of the spans found, in order
+    for k, word in enumerate(at):
+        while True:
+            near = bisect_right(starts, word)
+            if near and word < ends[near - 1]:
+                break
+            # More added words than twice the template's would cost more than all matches are worth.
+            own = ranked[(run == run[place[k]]) & (np.abs(ranked - shift[k]) <= 2 * len(want))]
+            low, high = int(own[0]) - BAND, int(own[-1]) + BAND
+            a = max(ends[near - 1] if near else 0, low)
+            b = min(starts[near] if near < len(starts) else len(text), len(want) + high)
+            part = text[a:b]
+            key = (template, low - a, high - a, part.tobytes())
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = align(part.tolist(), want.tolist(), low - a, high - a)
+            _, matches, start, stop = known[key]
+            if matches < coverage * len(want) or not matches:
+                break
+            yield matches, a + start, a + stop
+            spot = bisect_right(starts, a + start)
+            starts.insert(spot, a + start)
+            ends.insert(spot, a + stop)
+
+
 def _matches(words: W.Words, index: _Index, coverage: float, known: dict) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, template, matches, first word, end word), the best of overlapping spans only."""
     proposed = _proposals(words, index)
     by_text: dict[int, list[tuple[int, int, int, int]]] = {}
-    at = 0
-    while at < proposed.shape[1]:
-        doc, template, low = proposed[:, at].tolist()
-        end, high = at + 1, low
-        while end < proposed.shape[1] and proposed[0, end] == doc and proposed[1, end] == template and proposed[2, end] <= high + BAND:
-            high = int(proposed[2, end])
-            end += 1
-        at = end
-        first, size = int(words.first[doc]), int(words.first[doc + 1] - words.first[doc])
-        want = index.words[template]
-        low, high = low - BAND, high + BAND
-        a, b = max(0, low), min(size, len(want) + high)
-        part = words.hashes[first + a : first + b]
-        key = (template, low - a, high - a, part.tobytes())
-        if key not in known:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[key] = align(part.tolist(), want.tolist(), low - a, high - a)
-        _, matches, start, stop = known[key]
-        if matches >= coverage * len(want):
-            by_text.setdefault(doc, []).append((matches, template, a + start, a + stop))
+    changes = np.flatnonzero((proposed[:2, 1:] != proposed[:2, :-1]).any(axis=0)) + 1
+    edges = [0, *changes.tolist(), proposed.shape[1]] if proposed.shape[1] else [0]
+    for at, end in zip(edges[:-1], edges[1:]):
+        doc, template = proposed[:2, at].tolist()
+        text = words.hashes[int(words.first[doc]) : int(words.first[doc + 1])]
+        own = _spans(text, template, index.words[template], proposed[2, at:end].tolist(), proposed[3, at:end], coverage, known)
+        by_text.setdefault(doc, []).extend((matches, template, start, stop) for matches, start, stop in own)
     for doc, spans in sorted(by_text.items()):
         chosen: list[tuple[int, int]] = []
         for matches, template, start, stop in sorted(set(spans), key=lambda s: (-s[0], -s[0] / len(index.words[s[1]]), s[2], s[1])):

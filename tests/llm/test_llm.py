@@ -460,6 +460,19 @@ def test_license_scan_finds_edited_texts(spark):
     assert all(r["coverage"] > 0.85 and 45 <= r["start_word"] <= 55 for r in found)
 
 
+def test_license_scan_gives_a_row_for_each_repeated_notice(spark):
+    short = [name for name, text in licenses.TEMPLATES.items() if len(text.split()) < 13]
+    rows = [(k, "\n".join([licenses.TEMPLATES[name]] * 40 + ["so it is"] + [licenses.TEMPLATES[name]] * 5)) for k, name in enumerate(short)]
+    found = collections.Counter((r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {(k, name): 45 for k, name in enumerate(short)}
+
+
+def test_license_scan_measures_a_text_that_is_cut(spark):
+    whole = licenses.TEMPLATES["mit"] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE'
+    found = licenses.scan_licenses(spark.createDataFrame([(1, whole)], "doc_id long, text string")).collect()
+    assert len(found) == 1 and 0.7 <= found[0]["coverage"] < 0.9 and found[0]["end_byte"] == len(whole)
+
+
 def test_pipeline_stages_keep_columns_and_drop_what_they_decide(spark, docs, tmp_path):
     import corpus_pipeline
 
