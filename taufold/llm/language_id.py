@@ -26,7 +26,7 @@ TRAIN_BYTES = 40_000
 TRAIN_BYTES_ALL = 800_000
 #: Labelled rows per language from which training text is taken, the lowest hash of each of so many salts.
 TRAIN_ROWS = 128
-#: Only rows of at most so many characters are sampled, so one row can't be a language's text alone.
+#: Longer rows give so many characters from a hashed place on, so one row can't be a language's text alone.
 TRAIN_ROW_CHARS = 4_096
 SYMBOLS = 64
 #: Texts are parsed in stretches of so many symbols, side by side.
@@ -162,9 +162,16 @@ def _letters(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def training_text(rows: DataFrame, key: str, text: str, lang: str) -> dict[str, bytes]:
-    """Bounded training text of each language: rows with the lowest hash of their salt, joined in hash order."""
-    usable = rows.filter(F.col(lang).isNotNull() & (F.length(text) > 0) & (F.length(text) <= TRAIN_ROW_CHARS))
+    """Bounded training text of each language: rows with the lowest hash of their salt, joined in hash order.
+
+    Every labelled row with a text may be chosen, whatever its length: a long
+    one gives a stretch of ``TRAIN_ROW_CHARS`` characters.
+    """
+    usable = rows.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
     hashed = usable.select(F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_h"), F.col(text).alias("_text"))
+    spare = F.greatest(F.length("_text") - F.lit(TRAIN_ROW_CHARS), F.lit(0))
+    place = F.pmod(F.xxhash64("_h"), spare + 1).cast("int") + 1
+    hashed = hashed.select("_lang", "_h", F.substring("_text", place, F.lit(TRAIN_ROW_CHARS)).alias("_text"))
     salt = F.pmod("_h", F.lit(TRAIN_ROWS))
     lowest = [r["h"] for r in hashed.groupBy("_lang", salt.alias("salt")).agg(F.min("_h").alias("h")).collect()]
     if not lowest:

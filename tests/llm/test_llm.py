@@ -340,6 +340,15 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, samples).collect() == []
 
 
+def test_language_id_learns_from_long_rows(spark):
+    rows = [(k, prose(80), "en") for k in range(20)] + [(k, prose(2000, DE), "de") for k in range(20, 24)]
+    table = spark.createDataFrame([*rows, (30, prose(40, DE), None)], "doc_id long, text string, lang string")
+    samples = language_id.training_text(table, "doc_id", "text", "lang")
+    assert set(samples) == {"de", "en"} and len(samples["de"].decode()) % (language_id.TRAIN_ROW_CHARS + 1) == 0
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(table, samples).select("row.doc_id", "lang_pred").collect()}
+    assert all(found[k] == ("en" if k < 20 else "de") for k in found)
+
+
 def test_cross_parsing_counts_longest_phrases():
     parser = language_id.CrossParser({"x": b"abracadabra", "y": b"zzyzx"})
     text = b"cadabraqabr zyz"
