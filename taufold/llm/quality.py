@@ -26,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of all words
-#: Texts of fewer tokens are too short to be judged by their tokens.
+#: Texts of fewer tokens are not held against an entropy, and their limits are wider by the root of what they lack.
 LEAST_TOKENS = 64
 #: Longer texts share the band of texts of 2 ** 12 tokens and more; below, bands are by powers of two.
 TOP_CLASS = 12
@@ -36,8 +36,10 @@ SHORTFALL = 4.0
 LEAST_RANGE = 0.02
 #: ... or when its byte-fallback share is beyond the upper quartile by more than this.
 BYTE_EXCESS = 0.10
-#: Size classes with fewer different texts take their language's band over all sizes; where that has fewer too, nothing is rejected.
+#: Bands of fewer different texts are passed over: first for the language's over all sizes, then for those of the script and of all
+#: texts.  Where all texts are fewer, their limits are wider by the root of what they lack.
 LEAST_TEXTS = 50
+ALL_TEXTS = "all"
 ALL_SIZES = -1
 #: Measures are compared in steps of this size, so that counting gives exact quartiles.
 STEP = 0.001
@@ -117,7 +119,7 @@ def script_of(text: str) -> str:
 
 
 def measure(docs: DataFrame, path: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Each row of ``docs`` as the struct ``row``, with its band's name, counts and token entropy."""
+    """Each row of ``docs`` as the struct ``row``, with its band's name, that of its script, counts and token entropy."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(PieceEncoder, path)
@@ -128,13 +130,16 @@ def measure(docs: DataFrame, path: str, text: str = "text", lang: str = "lang")
                 own = data[int(offsets[low]) : int(offsets[high])]
                 found = word_counts(own, offsets[low : high + 1] - offsets[low]) | token_measures(encoder, ids, cuts)
                 band = langs.slice(low, high - low).to_pylist()
-                band = ["lang " + b if b is not None else "script " + script_of(column[low + k].as_py() or "") for k, b in enumerate(band)]
+                scripts = [script_of(column[low + k].as_py() or "") for k in range(high - low)]
+                band = ["lang " + b if b is not None else "script " + s for b, s in zip(band, scripts)]
+                scripts = ["any " + s for s in scripts]
                 counts = [pa.array(found[c].astype(np.int64)) for c in COUNTS]
                 rows = batch.column(0).slice(low, high - low)
-                yield pa.record_batch([rows, pa.array(band, pa.string()), *counts, pa.array(found["entropy"])], ["row", "band", *COUNTS, "entropy"])
+                columns = [rows, pa.array(band, pa.string()), pa.array(scripts, pa.string()), *counts, pa.array(found["entropy"])]
+                yield pa.record_batch(columns, ["row", "band", "script", *COUNTS, "entropy"])
 
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    schema = f"row {source.schema['row'].dataType.simpleString()}, band string, {', '.join(f'{c} long' for c in COUNTS)}, entropy double"
+    schema = f"row {source.schema['row'].dataType.simpleString()}, band string, script string, {', '.join(f'{c} long' for c in COUNTS)}, entropy double"
     return source.mapInArrow(scan, schema)
 
 
@@ -149,46 +154,72 @@ def with_measures(measured: DataFrame) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Quartiles of each measure by (band, size_class), over the different texts that pass the base rules.
+    """Quartiles of each measure by (band, size_class), over the different texts that pass the base rules, and their number.
+
+    Bands are those of the languages, of the scripts and of all texts.
 
     Copies count once, or one text with many copies would be the band.  Values
     are counted by step, so what is sorted is a histogram of bounded length.
     """
-    judged = measured.filter(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS))
-    once = judged.groupBy("band", "size_class", "word_chars", "n_tokens", "entropy", "byte_share", "chars_per_token").agg(F.lit(1).alias("one"))
+    judged = measured.filter(~F.col("base_failed"))
+    once = judged.groupBy("band", "script", "size_class", "word_chars", "n_tokens", "entropy", "byte_share", "chars_per_token").agg(F.lit(1).alias("one"))
+    once = once.withColumn("band", F.explode(F.array("band", "script", F.lit(ALL_TEXTS))))
+    sizes = F.when(F.col("n_tokens") >= LEAST_TOKENS, F.array("size_class", F.lit(ALL_SIZES))).otherwise(F.array("size_class"))
+    once = once.withColumn("size_class", F.explode(sizes))
     steps = [f"'{c}', round({c} / {STEP})" for c in MEASURES]
-    once = once.withColumn("size_class", F.explode(F.array("size_class", F.lit(ALL_SIZES))))
     long = once.select("band", "size_class", F.expr(f"stack({len(MEASURES)}, {', '.join(steps)}) AS (measure, step)"))
     counted = long.groupBy("band", "size_class", "measure", "step").agg(F.count("*").alias("n"))
     group = Window.partitionBy("band", "size_class", "measure")
     ranked = counted.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("total", F.sum("n").over(group))
     at = [F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("step") * STEP)).alias(f"q{k}") for k, share in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    table = ranked.groupBy("band", "size_class").pivot("measure", list(MEASURES)).agg(*at, F.max("total").alias("n"))
-    return table.filter(F.col("entropy_n") >= LEAST_TEXTS)
+    return ranked.groupBy("band", "size_class").pivot("measure", list(MEASURES)).agg(*at, F.max("total").alias("n"))
 
 
 def _shortfall(measure: str) -> Column:
     spread = F.greatest(F.col(f"{measure}_q3") - F.col(f"{measure}_q1"), LEAST_RANGE * F.col(f"{measure}_q2"))
     below = (F.col(f"{measure}_q2") - F.col(measure)) / F.greatest(spread, F.lit(STEP))
-    return F.when(below.isNotNull(), F.greatest(F.lit(0.0), below))
+    return F.when(below.isNotNull(), F.greatest(F.lit(0.0), below / _width(measure)))
+
+
+def _width(measure: str) -> Column:
+    """How much wider limits are as the band has few texts or the text few tokens."""
+    lack = F.greatest(F.lit(1.0), LEAST_TEXTS / F.col(f"{measure}_n")) * F.greatest(F.lit(1.0), LEAST_TOKENS / F.greatest("n_tokens", F.lit(1)))
+    return F.sqrt(lack)
+
+
+def with_bands(measured: DataFrame, table: DataFrame) -> DataFrame:
+    """Each measured text with the limits of the first band that has enough texts, or else of all texts."""
+    limits = [c for c in table.columns if c not in ("band", "size_class")]
+    enough = F.col("chars_per_token_n") >= LEAST_TEXTS
+    sized = [c for c in limits if c.startswith("entropy")]  # entropy grows with the size: it is only held against texts of the size
+    steps = [(band, size, enough) for band in ("band", "script", None) for size in ("size_class", None)]
+    steps += [(None, None, F.lit(True)), (None, "size_class", F.lit(True))]
+    joined = measured
+    for k, (band, size, wanted) in enumerate(steps):
+        rows = table.filter(wanted)
+        rows = rows if band else rows.filter(F.col("band") == ALL_TEXTS)
+        rows = rows.filter(F.col("size_class") != ALL_SIZES) if size else rows.filter(F.col("size_class") == ALL_SIZES)
+        keys = [F.col("band").alias("_band"), F.col("size_class").alias("_size")]
+        rows = rows.select(*keys, *[F.col(c).alias(f"_{k}_{c}") for c in limits])
+        on = F.col("_band") == (F.col(band) if band else F.lit(ALL_TEXTS))
+        rows = rows if band == "band" else F.broadcast(rows)  # scripts are few, languages may be many
+        joined = joined.join(rows, on & (F.col("_size") == (F.col(size) if size else F.lit(ALL_SIZES))), "left").drop("_band", "_size")
+    tried = lambda c: [k for k, (_, size, _) in enumerate(steps) if size or c not in sized]
+    found = {c: F.coalesce(*[F.col(f"_{k}_{c}") for k in tried(c)]) for c in limits}
+    return joined.withColumns(found).drop(*[f"_{k}_{c}" for k in range(len(steps)) for c in limits])
 
 
 def judge(docs: DataFrame, path: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """Each row of ``docs`` as the struct ``row``, with counts, measures, base_failed and kept.
 
     NULL and empty texts have no words and fail the base rules.  A NULL language
-    is replaced by the script of most letters.  Texts of few tokens and texts of
-    groups without a band are kept if they pass the base rules.  An empty table
-    gives an empty result; copies and equal ids are rows of their own.
+    is replaced by the script of most letters.  Languages and sizes of few texts
+    are judged by their script's or all texts.  An empty table gives an empty
+    result; copies and equal ids are rows of their own.
     """
     measured = with_measures(stage(measure(docs, path, text, lang), "measures"))
-    table = stage(bands(measured), "bands")
-    limits = [c for c in table.columns if c not in ("band", "size_class")]
-    whole = table.filter(F.col("size_class") == ALL_SIZES).select("band", *[F.col(c).alias(f"all_{c}") for c in limits])
-    joined = measured.join(table, ["band", "size_class"], "left").join(whole, "band", "left")
-    # Entropy grows with the size, so without a band for the size only the other measures are held against one.
-    joined = joined.withColumns({c: F.coalesce(c, f"all_{c}") for c in limits if not c.startswith("entropy")})
-    short = _shortfall("chars_per_token") + F.coalesce(_shortfall("entropy"), F.lit(0.0))
-    odd = (short > SHORTFALL) | (F.col("byte_share") > F.col("byte_share_q3") + BYTE_EXCESS)
-    rejected = (F.col("n_tokens") >= LEAST_TOKENS) & F.coalesce(odd, F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    joined = with_bands(measured, stage(bands(measured), "bands"))
+    entropy = F.when(F.col("n_tokens") >= LEAST_TOKENS, _shortfall("entropy"))
+    short = _shortfall("chars_per_token") + F.coalesce(entropy, F.lit(0.0))
+    odd = (short > SHORTFALL) | (F.col("byte_share") > F.col("byte_share_q3") + BYTE_EXCESS * _width("byte_share"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))

@@ -441,6 +441,20 @@ def test_quality_bands_reject_noise(spark):
     assert all(kept[k] for k, _, _ in clean) and not any(kept[k] for k, _, _ in noise)
 
 
+def test_quality_judges_rare_languages_small_tables_and_short_texts(spark):
+    draw = random.Random(9)
+    clean = [(k, " ".join(draw.choice(WORDS) for _ in range(150)), "en") for k in range(200)]
+    bytes_only = [chr(draw.randrange(0x1400, 0x1600)) for _ in range(40)]
+    garbage = lambda n: " ".join("".join(draw.choice(bytes_only) for _ in range(6)) for _ in range(n))
+    noise = lambda n: " ".join("".join(draw.choice("qxzjkvw#") for _ in range(6)) for _ in range(n))
+    odd = [(300, noise(150), "xx"), (301, garbage(150), "xx"), (302, garbage(12), "en"), (303, garbage(12), None)]
+    rare = [(400, " ".join(draw.choice(WORDS) for _ in range(150)), "yy"), (401, " ".join(draw.choice(WORDS) for _ in range(14)), "en")]
+    for good in (clean, clean[:20]):
+        found = quality.judge(spark.createDataFrame(good + odd + rare, "doc_id long, text string, lang string"), vocabulary("piece_bpe_32k.model"))
+        kept = {r["doc_id"]: r["kept"] for r in found.select("row.doc_id", "kept").collect()}
+        assert all(kept[k] for k, _, _ in good + rare) and not any(kept[k] for k, _, _ in odd)
+
+
 def test_license_scan(docs, empty):
     found = licenses.scan_licenses(docs).collect()
     by = collections.defaultdict(set)
