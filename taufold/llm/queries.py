@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taufold.llm import chat, decontamination, jaccard, language_id, licenses, lm, packing, quality, token_counts, token_files
+from taufold.llm import (
+    chat,
+    decontamination,
+    exact_copies,
+    importance,
+    jaccard,
+    language_id,
+    licenses,
+    lm,
+    packing,
+    quality,
+    token_counts,
+    token_files,
+    whitening,
+)
 from taufold.sources.stage import new_stage_path, stage
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -103,6 +117,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_copies.find_copies(table(spark, sf_dir, "documents"), keep="largest")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return importance.draw(weighed).select("row.doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    whitener = whitening.fit(vectors, components=8)
+    error = whitening.identity_error(vectors, whitener)
+    found = whitening.whiten(vectors, whitener).select("row.vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.lit((whitener.values / whitener.trace).tolist() if whitener.trace else [0.0])
+    return found.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(whitener.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.element_at(explained, F.col("k") + 1).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op3_benchmark_decontamination"] = rf"""
@@ -134,6 +178,39 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.low) AS compon
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
+ORACLE["op11_exact_dedup"] = f"""
+WITH t AS (SELECT doc_id, coalesce({LOWERED}, '') AS s FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+       row_number() OVER (PARTITION BY s ORDER BY doc_id DESC) = 1 AS kept, sha256(s) AS text_sha256
+FROM t
+"""
+
+# CRC-32 byte by byte, over a table that the polynomial gives.
+ORACLE["op12_importance_resampling"] = rf"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                    ORDER BY i) AS t FROM range(256) AS r(i)),
+words AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM words)),
+coded AS (SELECT w, list_prepend(4294967295, list_transform(range(1, length(x), 2),
+    lambda i: 16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1)) AS bytes FROM hexed),
+bucketed AS (SELECT w, xor(list_reduce(bytes, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM coded, crc),
+n AS (SELECT side, doc_id, bucket, count(*) AS n FROM words JOIN bucketed USING (w) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM n WHERE side = 'd' GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM n WHERE side = 'b' GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+        / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+      FROM n JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+weighed AS (SELECT doc_id, coalesce(n_features, 0) AS n_features,
+        coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+        CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM documents LEFT JOIN f USING (doc_id)),
+scored AS (SELECT doc_id, n_features AS n_words, n_features, weight,
+        weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT scored.*, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
