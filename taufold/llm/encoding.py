@@ -248,10 +248,9 @@ class PieceEncoder(ChunkEncoder):
         self.space = [self.processor.piece_to_id("▁")]
 
     def _chunk_hashes(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
-        hashes = super()._chunk_hashes(text, starts, ends, first)
-        at = np.unique(first[:-1][first[:-1] < first[1:]])
-        hashes[at] = self.codes[32] + hashes[at] * W.BASE
-        return hashes
+        lead = np.zeros(len(starts), bool)
+        lead[first[:-1][first[:-1] < first[1:]]] = True
+        return W.span_hashes(self.codes[text], starts, ends, lead, int(self.codes[32]))
 
     def encode_chunks(self, chunks: list[bytes], is_first: np.ndarray) -> list:
         texts = [c.decode() if f else c[1:].decode() for c, f in zip(chunks, is_first)]

@@ -1,12 +1,15 @@
 """Words of whole texts as 64-bit hashes, taken from Arrow buffers without a Python object per word.
 
-A word is a maximal run of word bytes.  Its hash is a polynomial over a random
-byte table, mixed at the end; two different words meet with a chance of about
-2**-64.  Sequences of words (shingles) are hashed over the word hashes.
+A word is a maximal run of word bytes.  Its hash is a sum over its bytes: the
+byte's random number times the random number of its place, plus the length, mixed
+at the end.  Places have numbers of their own, not powers of a base, so texts of a
+regular structure meet as rarely as others, with a chance of about 2**-62.
+Sequences of words (shingles) are hashed over the word hashes.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +21,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; a single longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
-BASE = np.uint64(0x9E3779B97F4A7C15)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -42,7 +45,7 @@ ALNUM = Alphabet(True, bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <
 
 @lru_cache
 def _table(lower: bool, separators: bytes) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    codes = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
     if lower:
         codes[65:91] = codes[97:123]
     inside = np.ones(256, bool)
@@ -50,18 +53,17 @@ def _table(lower: bool, separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     return codes, inside
 
 
-_powers: dict[int, np.ndarray] = {}
+_places: list[np.ndarray] = []
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        found = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        found[0] = 1
-        found = np.cumprod(found, dtype=np.uint64)
-        if n <= 4 * SLICE_BYTES:
-            _powers[base] = found
-    return found[:n]
+def _place_numbers(n: int) -> np.ndarray:
+    """Random odd numbers of the places 0, 1, ..., n - 1 in a span."""
+    found = _places[0] if _places else np.zeros(0, np.uint64)
+    if len(found) < n:
+        found = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+        if n <= SLICE_BYTES:
+            _places[:] = [found]
+    return found
 
 
 _resident: dict = {}
@@ -71,11 +73,20 @@ def resident(key: object, build: Callable[[], object]) -> object:
     """The one large object that this Python worker keeps between tasks; asking for another lets it go first."""
     if key not in _resident:
         _resident.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
         _resident[key] = build()
+        release_memory()
     return _resident[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(32))
@@ -140,14 +151,26 @@ def find_spans(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of ``codes[start:end]``, not yet mixed."""
-    sums = np.empty(len(codes) + 1, np.uint64)
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray | None = None, lead_code: int = 0) -> np.ndarray:
+    """Hashes of ``codes[start:end]``, not yet mixed; spans are in order and don't overlap.
+
+    Spans with ``lead`` are hashed as if one more byte of ``lead_code`` stood before them.
+    """
+    n = len(codes)
+    more = np.zeros(len(starts), np.int64) if lead is None else lead.astype(np.int64)
+    place = np.zeros(n + 1, np.int64)
+    place[starts] = starts - more
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n + 1), place, out=place)
+    sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.multiply(codes, _power_table(int(BASE), len(codes)), out=sums[1:])
+    np.take(_place_numbers(int(place.max()) + 1), place[:-1], out=sums[1:])
+    sums[1:] *= codes
     np.cumsum(sums, out=sums)
     hashes = sums[ends] - sums[starts]
-    hashes *= _power_table(_inverse(int(BASE)), len(codes) + 1)[starts]
+    hashes += (ends - starts + more).astype(np.uint64) * GOLDEN
+    if lead is not None:
+        hashes += more.astype(np.uint64) * np.uint64(lead_code) * _place_numbers(1)[:1]
     return hashes
 
 
@@ -161,11 +184,6 @@ def find_words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Wor
     return Words(hashes, starts + low, ends + low, np.searchsorted(starts, edges))
 
 
-@lru_cache
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, over text borders too: callers drop those with ``inside_text``."""
     n = len(hashes) - size + 1
