@@ -6,18 +6,24 @@
    each, so sets that share such a shingle form a tile.  Within a tile, sets are
    sorted by size, and only sizes within a ratio of 0.8 (a band) are compared.
 3. Bounds.  Bits of hashed bitmaps that one set has and the other lacks bound the
-   overlap from above; only pairs that pass are intersected exactly.
-4. Classes.  Each set is first compared with the leaders of one tile, which links
-   almost all similar sets; afterwards every pair of a tile whose sets are still
+   overlap from above; bitmaps grow with the sets.  Only pairs that pass are
+   intersected exactly.
+4. Classes.  Each set is first compared with the leaders of its largest tile and with
+   the sets just before it there, then, among tiles whose sets are in different
+   components, again.  This links almost all similar sets; afterwards every pair of a tile whose sets are still
    in different components is compared, so no link between components is missed.
+   Shingles that stand in the same sets make one tile, and a large tile is dealt
+   out as pairs of blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +35,9 @@ from taufold.sources.stage import stage
 
 SHINGLE = 5
 #: Similarity of 80 per cent: 100 * overlap >= 80 * union, or 9 * overlap >= 4 * (size + size).
-BITS = 1024
+#: Bits of a bitmap per shingle of the set (rounded up to a power of two), and at least; a first test uses the least.
+SHINGLE_BITS = 8
+LEAST_BITS = 1024
 #: Shingles of a task that are counted together when common ones are looked for.
 COUNTED = 1 << 22
 #: A shingle is common when so many texts are seen to have it; at most so many are broadcast, commonest first.
@@ -38,6 +46,12 @@ COMMON_TEXTS = 32
 COMMON_ENTRIES = 1_000_000
 #: Sets that are compared in one tile; larger tiles are dealt out and their leaders compared in the next round.
 TILE_SETS = 4_096
+#: A set is also compared with so many sets before it in its tile, where they aren't known to be of its component yet.
+NEARBY = 64
+#: Shingles that so many texts are seen to have are not looked up tile by tile: their sets count as having a partner.
+HOT_TEXTS = 1_000_000
+#: Sets of one block of a tile; larger tiles are dealt out as pairs of blocks, each a group of its own.
+BLOCK_SETS = 4_096
 #: Bits of the filter by which the scan for candidates' sets skips other documents; more candidates than it
 #: can tell apart make it skip less.
 FILTER_BITS = 1 << 26
@@ -73,8 +87,8 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
 
 
-def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Hashes of shingles that many texts share, rarer ones first.
+def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts share, rarer ones first, and how many texts are seen to have them.
 
     Tasks report what repeats among their own texts; reports are added up.
     """
@@ -104,7 +118,8 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
     counted = docs.select(text).mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     rows = most_frequent(stage(counted.filter(F.col("n") >= COMMON_TEXTS), "common-shingles"), "n", COMMON_ENTRIES).toArrow()
     shingles, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    return shingles[np.lexsort((shingles, n))].astype(np.int64).view(np.uint64)
+    order = np.lexsort((shingles, n))
+    return shingles[order].astype(np.int64).view(np.uint64), n[order]
 
 
 def shingle_sets(docs: DataFrame, common: np.ndarray, doc_id: str, text: str, size: int) -> DataFrame:
@@ -157,11 +172,21 @@ def _filter_words(slots: DataFrame) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles >> np.uint64(20)).astype(np.int64) % BITS] = True
+    """Hashed bits of a set; a bitmap of half the width is the two halves put together."""
+    width = max(LEAST_BITS, 1 << (SHINGLE_BITS * len(shingles) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) % width] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def narrowed(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows, words) in a smaller width."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """(tile, node, n, bits, shingles) of the sets of ``wanted`` (node, tile, id, sig_a, sig_b, n), by one more scan of the texts."""
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(FILTER_BITS)).cast("long")
@@ -199,32 +224,84 @@ def _linked(one: np.ndarray, other: np.ndarray) -> bool:
     return bool(_enough(np.int64((other[at] == one).sum()), len(one), len(other)))
 
 
+def _may_link(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What one bitmap has and the other lacks is in one set alone: whether the overlap can be large enough."""
+    ours = n - np.bitwise_count(bits & ~others).sum(1, dtype=np.int64)
+    theirs = m - np.bitwise_count(others & ~bits).sum(1, dtype=np.int64)
+    return _enough(np.minimum(ours, theirs), n, m)
+
+
 class _Leaders:
-    """Sets of a tile that no earlier set of the tile is linked with, smallest first."""
+    """Sets of a tile that no earlier leader of the tile is linked with, smallest first, and the sets that came last."""
 
     def __init__(self):
         self.keys: list[int] = []
         self.sets: list[np.ndarray] = []
         self.n = np.zeros(64, np.int64)
-        self.bits = np.zeros((64, BITS // 64), np.uint64)
-
-    def take(self, key: int, n: int, bits: np.ndarray, shingles: np.ndarray) -> list[int]:
-        """Leaders linked with a set that is no smaller than any before; without one it becomes a leader."""
+        #: Bitmaps of each width, with the number of the first leader of that width.
+        self.bits: dict[int, tuple[int, np.ndarray]] = {}
+        #: What is known of components: a number for each leader and for each of the last sets (0: no set yet).
+        self.roots = np.zeros(64, np.int64)
+        self.last_roots = np.zeros(NEARBY, np.int64)
+        self.last_keys, self.last_n = np.zeros(NEARBY, np.int64), np.zeros(NEARBY, np.int64)
+        self.last_bits = np.zeros((NEARBY, LEAST_BITS // 64), np.uint64)
+        self.last_sets: list[np.ndarray | None] = [None] * NEARBY
+        self.taken = 0
+
+    def _likely(self, low: int, n: int, bits: np.ndarray) -> Iterator[int]:
+        """Leaders from ``low`` on that may be linked; sizes in the band differ by one width at most."""
+        k = len(self.keys)
+        for width, (start, held) in self.bits.items():
+            end = min([s for w, (s, _) in self.bits.items() if w > width], default=k)
+            a, b = max(low, start), end
+            if a < b:
+                words = min(width, len(bits))
+                own = narrowed(bits[None], words)
+                yield from (a + np.flatnonzero(_may_link(self.n[a:b], narrowed(held[a - start : b - start], words), n, own))).tolist()
+
+    def _join(self, root: int, other: int) -> None:
+        self.roots[self.roots == other] = root
+        self.last_roots[self.last_roots == other] = root
+
+    def take(self, key: int, n: int, bits: np.ndarray, shingles: np.ndarray) -> tuple[list[int], bool]:
+        """Sets linked with one that is no smaller than any before; whether it became a leader, as no leader is."""
         k = len(self.keys)
         low = int(np.searchsorted(self.n[:k], -(-4 * n // 5)))  # smaller sets are out of the band
-        there = self.bits[low:k]
-        theirs = self.n[low:k] - np.bitwise_count(there & ~bits).sum(1, dtype=np.int64)
-        ours = n - np.bitwise_count(bits & ~there).sum(1, dtype=np.int64)
-        likely = np.flatnonzero(_enough(np.minimum(theirs, ours), self.n[low:k], n)) + low
-        found = [self.keys[j] for j in likely.tolist() if _linked(self.sets[j], shingles)]
-        if not found:
+        leaders = [j for j in self._likely(low, n, bits) if _linked(self.sets[j], shingles)]
+        found = [self.keys[j] for j in leaders]
+        self.taken += 1
+        root = self.taken
+        for j in leaders:
+            self._join(root, int(self.roots[j]))
+        found += self._nearby(n, narrowed(bits[None], LEAST_BITS // 64), shingles, root)
+        if not leaders:
+            start, held = self.bits.get(len(bits), (k, np.zeros((16, len(bits)), np.uint64)))
             if k == len(self.n):
-                self.n, self.bits = np.concatenate([self.n, self.n]), np.concatenate([self.bits, self.bits])
+                self.n, self.roots = np.concatenate([self.n, self.n]), np.concatenate([self.roots, self.roots])
+            if k - start == len(held):
+                held = np.concatenate([held, held])
+            held[k - start] = bits
+            self.bits[len(bits)] = (start, held)
             self.keys.append(key)
             self.sets.append(shingles)
-            self.n[k], self.bits[k] = n, bits
+            self.n[k], self.roots[k] = n, root
             for j in range(low):
                 self.sets[j] = None  # out of every later band
+        at = self.taken % NEARBY
+        self.last_keys[at], self.last_n[at], self.last_roots[at], self.last_sets[at] = key, n, root, shingles
+        self.last_bits[at] = narrowed(bits[None], LEAST_BITS // 64)[0]
+        return found, not leaders
+
+    def _nearby(self, n: int, narrow: np.ndarray, shingles: np.ndarray, root: int) -> list[int]:
+        """Those of the last sets that are linked, one of each component that isn't the set's own."""
+        found = []
+        near = np.flatnonzero((self.last_roots != root) & (self.last_roots > 0) & (5 * self.last_n >= 4 * n))
+        if len(near):
+            near = near[_may_link(self.last_n[near], self.last_bits[near], n, narrow)]
+        for j in near.tolist():
+            if self.last_roots[j] != root and _linked(self.last_sets[j], shingles):
+                found.append(int(self.last_keys[j]))
+                self._join(root, int(self.last_roots[j]))
         return found
 
 
@@ -238,9 +315,9 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (tile, deal) != current:
                 current, leaders = (tile, deal), _Leaders()
             bits, shingles = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (4, 5))
-            found = leaders.take(node, n, bits, shingles)
-            out_a += found or [node]
-            out_b += [node] * len(found) or [None]
+            found, leads = leaders.take(node, n, bits, shingles)
+            out_a += found + [node] * leads
+            out_b += [node] * len(found) + [None] * leads
         yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
@@ -280,8 +357,8 @@ def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(1, overlap - (4 * np.maximum(n, m) + 4) // 5 + 1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n_columns: int, bits: bool = False) -> Iterator[np.ndarray]:
-    """Columns of rows sorted by their first, in pieces that hold all rows of a key; bitmaps become further columns.
+def _runs(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[np.ndarray]:
+    """Columns of rows sorted by their first, in pieces that hold all rows of a key.
 
     A key's rows are held together only while they are next to each other in the
     stream: as many as the largest tile has.
@@ -291,9 +368,6 @@ def _runs(batches: Iterator[pa.RecordBatch], n_columns: int, bits: bool = False)
         if not batch.num_rows:
             continue
         columns = np.stack([batch.column(c).to_numpy() for c in range(n_columns)])
-        if bits:
-            own = np.frombuffer(b"".join(batch.column(n_columns).to_pylist()), np.int64).reshape(-1, BITS // 64)
-            columns = np.concatenate([columns, own.T])
         cut = int(np.searchsorted(columns[0], columns[0, -1]))
         if cut or (rest and rest[0][0, 0] != columns[0, 0]):
             yield np.concatenate([*rest, columns[:, :cut]], axis=1)
@@ -329,39 +403,106 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(c) for c in out], ["token", "n", "place", "node", "sets", "weight"])
 
 
+@dataclass
+class _Sets:
+    """Rows of whole cells, sorted by cell and size; cells are numbered 0, 1, ... within ``keys``."""
+
+    keys: np.ndarray  # (token, low, high) as columns
+    block: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+    node: np.ndarray
+    root: np.ndarray
+    times: np.ndarray
+    first: np.ndarray  # word number of each bitmap
+    words: np.ndarray
+    pool: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Sets:
+        column = lambda name: table.column(name).to_numpy()
+        bits = table.column("bits").combine_chunks()
+        bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
+        words = pc.binary_length(bits).to_numpy().astype(np.int64) // 8
+        start = np.frombuffer(bits.buffers()[1], np.int32, len(bits) + 1, bits.offset * 4)
+        pool = np.frombuffer(bits.buffers()[2].slice(int(start[0]), int(start[-1] - start[0])).to_pybytes(), np.uint64)
+        keys = np.stack([column(k) for k in ("token", "low", "high")])
+        return cls(keys, *map(column, ("block", "n", "place", "node", "root", "times")), np.cumsum(words) - words, words, pool)
+
+    def bitmaps(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of rows of one width, in a width of ``words``."""
+        own = int(self.words[rows[0]])
+        return narrowed(self.pool[self.first[rows][:, None] + np.arange(own)], words)
+
+    def narrow(self) -> np.ndarray:
+        out = np.empty((len(self.n), LEAST_BITS // 64), np.uint64)
+        for own in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == own)
+            for low in range(0, len(rows), 1 << 12):
+                out[rows[low : low + (1 << 12)]] = self.bitmaps(rows[low : low + (1 << 12)], out.shape[1])
+        return out
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, place, node, root, bits) sorted by (token, n): pairs of different roots that may be linked."""
-    for columns in _runs(batches, 5, bits=True):
-        yield from _pairs_of(columns)
+    """Rows sorted by (token, low, high, n): pairs of different roots that may be linked."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        cut = batch.num_rows - int(np.argmin((keys == keys[:, -1:]).all(axis=0)[::-1])) if (keys != keys[:, -1:]).any() else 0
+        if cut or (rest and any(rest[0].column(c)[0] != batch.column(c)[0] for c in range(3))):
+            yield from _pairs_of(_Sets.of(pa.Table.from_batches([*rest, batch.slice(0, cut)])))
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield from _pairs_of(_Sets.of(pa.Table.from_batches(rest)))
 
 
-def _pairs_of(columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    token, n, place, node, root = columns[:5]
-    bits = np.ascontiguousarray(columns[5:].T).view(np.uint64)
-    alive = np.arange(len(token))
+def _pairs_of(sets: _Sets) -> Iterator[pa.RecordBatch]:
+    n, place, root, small = sets.n, sets.place, sets.root, sets.narrow()
+    cell = np.concatenate([[0], np.cumsum((sets.keys[:, 1:] != sets.keys[:, :-1]).any(axis=0))])
+    one_block = sets.keys[1] == sets.keys[2]
+    alive = np.arange(len(n))
     back = 1
-    while len(alive := alive[alive + back < len(token)]):
+    while len(alive := alive[alive + back < len(n)]):
         other = alive + back
-        near = (token[alive] == token[other]) & (5 * n[alive] >= 4 * n[other])
+        near = (cell[alive] == cell[other]) & (5 * n[alive] >= 4 * n[other])
         alive, other = alive[near], other[near]  # rows are sorted: what is out of reach now stays so
         before = np.minimum(place[alive], place[other])
         behind = np.minimum(n[alive] - place[alive], n[other] - place[other])
         keep = (root[alive] != root[other]) & _enough(before + behind, n[alive], n[other])
+        keep &= one_block[alive] | (sets.block[alive] != sets.block[other])
         one, two = alive[keep], other[keep]
-        for low in range(0, len(one), 1 << 15):  # what one bitmap has and the other lacks is in one set alone
-            x, y = one[low : low + (1 << 15)], two[low : low + (1 << 15)]
-            ours = n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64)
-            theirs = n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64)
-            keep = _enough(np.minimum(ours, theirs), n[x], n[y])
-            one[low : low + (1 << 15)] = np.where(keep, x, -1)
-        one, two = one[one >= 0], two[one >= 0]
-        if len(one):
-            swap = node[one] > node[two]
+        found = []
+        for low in range(0, len(one), 1 << 14):
+            x, y = one[low : low + (1 << 14)], two[low : low + (1 << 14)]
+            likely = _may_link(n[x], small[x], n[y], small[y])
+            found += _by_full_bitmaps(sets, x[likely], y[likely])
+        if found:
+            one, two = (np.concatenate(side) for side in zip(*found))
+            swap = sets.node[one] > sets.node[two]
             one, two = np.where(swap, two, one), np.where(swap, one, two)
-            yield pa.record_batch([pa.array(c) for c in (node[one], node[two], n[one], n[two])], ["a", "b", "n", "m"])
+            columns = (sets.node[one], sets.node[two], n[one], n[two], sets.times[one])
+            yield pa.record_batch([pa.array(c) for c in columns], ["a", "b", "n", "m", "times"])
         back += 1
 
 
+def _by_full_bitmaps(sets: _Sets, one: np.ndarray, two: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that pass the test at the smaller width of the two bitmaps."""
+    found = []
+    widths = np.stack([sets.words[one], sets.words[two]])
+    for a, b in np.unique(widths, axis=1).T.tolist():
+        which = np.flatnonzero((widths[0] == a) & (widths[1] == b))
+        step = max(1, (1 << 19) // max(a, b))
+        for low in range(0, len(which), step):
+            x, y = one[which[low : low + step]], two[which[low : low + step]]
+            keep = _may_link(sets.n[x], sets.bitmaps(x, min(a, b)), sets.n[y], sets.bitmaps(y, min(a, b)))
+            if keep.any():
+                found.append((x[keep], y[keep]))
+    return found
+
+
 def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, shingles, shingles) that are linked."""
     for batch in batches:
@@ -369,13 +510,46 @@ def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
 
 
+def _with_roots(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    return tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def second_homes(sets: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sets`` with the largest tile of each that holds more than one component; without those that have none."""
+    rooted = _with_roots(tokens, roots)
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    found = rooted.join(mixed.filter("low < high").select("token", "size"), "token")
+    homes = found.groupBy("node").agg(F.max(F.struct("size", "token")).alias("home")).select("node", F.col("home.token").alias("tile"))
+    return sets.drop("tile").join(homes, "node").select(*sets.columns)
+
+
 def cross_links(sets: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """All links (a, b) between sets of one tile whose roots differ."""
-    rooted = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rows = rooted.join(mixed, "token").join(sets.select("node", "bits"), "node").select("token", "n", "place", "node", "root", "bits")
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    met = rows.mapInArrow(_tile_pairs, "a long, b long, n long, m long").groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    """All links (a, b) between sets of one tile whose roots differ.
+
+    Near copies share many prefix shingles, each a tile of the same sets: such
+    tiles become one, which counts ``times``.  Equal tiles are told by their
+    number of sets and two 64-bit sums of hashes.
+    """
+    rooted = stage(_with_roots(tokens, roots), "rooted")
+    tiles = rooted.groupBy("token").agg(
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit("other"))).alias("other"),
+    )
+    tiles = tiles.filter("low < high").groupBy("size", "one", "other").agg(F.min("token").alias("token"), F.count("*").alias("times"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK_SETS)).cast("long").alias("blocks")
+    dealt = rooted.join(tiles.select("token", "times", blocks), "token")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = [F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")]
+    rows = dealt.select("token", *cell, "block", "n", "place", "node", "root", "times").join(sets.select("node", "bits"), "node")
+    rows = rows.select("token", "low", "high", "block", "n", "place", "node", "root", "times", "bits")
+    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node")
+    met = rows.mapInArrow(_tile_pairs, "a long, b long, n long, m long, times long")
+    # A pair of a dealt tile meets in one cell: that of its two blocks.
+    met = met.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("shared"))
     # The same bound as least_shared: pairs with fewer common prefix shingles can't be linked.
     bound = F.expr("(4 * (n + m) + 8) div 9 - (4 * greatest(n, m) + 4) div 5 + 1")
     pairs = stage(met.filter(F.col("shared") >= bound).select("a", "b"), "pairs")
@@ -393,15 +567,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked with nothing and keep their own id, NULL included.  Rows of equal id
     are rows of their own.  Other columns are not read.
     """
-    rows = stage(shingle_sets(docs, common_shingles(docs, text, size), doc_id, text, size), "shingle-sets")
+    common, seen = common_shingles(docs, text, size)
+    rows = stage(shingle_sets(docs, common, doc_id, text, size), "shingle-sets")
     signature = ["sig_a", "sig_b", "n"]
     classes = rows.filter("n > 0").groupBy(*signature).agg(F.min("key").alias("node"), F.min("id").alias("low"))
     classes = stage(classes, "classes")
     firsts = rows.join(classes.select(F.col("node").alias("key")), "key")
     tokens = firsts.select(F.posexplode("prefix").alias("place", "token"), "n", F.col("key").alias("node"))
     tokens = tokens.select("token", "n", F.col("place").cast("long").alias("place"), "node")
+    hot = seen >= HOT_TEXTS
+    if hot.any():
+        # At most COMMON_ENTRIES rows.
+        known = pa.table({"token": common[hot].view(np.int64), "sets": seen[hot]})
+        known = F.broadcast(docs.sparkSession.createDataFrame(known))
+        sure = tokens.join(known, "token").select("token", "n", "place", "node", "sets", F.lit(1.0).alias("weight"))
+        tokens = tokens.join(known, "token", "left_anti")
     ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "node")
-    shared = stage(ordered.mapInArrow(_shared_tokens, "token long, n long, place long, node long, sets long, weight double"), "tokens")
+    shared = ordered.mapInArrow(_shared_tokens, "token long, n long, place long, node long, sets long, weight double")
+    shared = stage(shared.unionByName(sure) if hot.any() else shared, "tokens")
     homes = shared.groupBy("node").agg(F.max(F.struct("sets", "token")).alias("home"), F.sum("weight").alias("weight"))
     homes = stage(homes.filter("weight > 0.999999").select("node", F.col("home.token").alias("tile")), "homes")
     wanted = stage(rows.select(F.col("key").alias("node"), "id", *signature).join(homes, "node"), "wanted")
@@ -409,9 +592,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = stage(tile_links(sets), "links")
     roots = stage(connected_components(links), "roots")
     alive = shared.select("token", "n", "place", "node").join(homes.select("node"), "node", "left_semi")
-    more = stage(cross_links(sets, alive, roots), "more-links")
-    if not more.isEmpty():
-        roots = stage(merge_components(roots, more), "roots")
+    for further in (lambda: tile_links(stage(second_homes(sets, alive, roots), "second-homes")), lambda: cross_links(sets, alive, roots)):
+        more = stage(further(), "more-links")
+        if not more.isEmpty():
+            roots = stage(merge_components(roots, more), "roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stage(rooted.join(lowest, "root").select(*signature, "component_id", "root"), "named")
