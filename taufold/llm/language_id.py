@@ -12,6 +12,7 @@ end of a phrase marked in the lowest bit, so many texts take one step together.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from taufold.llm import words as W
 
-#: Training text per language in bytes, and over all languages together; both bound the table (about 360 bytes a byte).
+#: Training text per language in bytes, and over all languages together; both bound the table (about 1.5 states of 4 bytes a symbol each).
 TRAIN_BYTES = 40_000
 TRAIN_BYTES_ALL = 800_000
 #: Labelled rows per language from which training text is taken, the lowest hash of each of so many salts.
@@ -41,7 +42,7 @@ def symbol_table(texts: list[bytes]) -> np.ndarray:
     seen = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)[128:]
     order = np.argsort(-seen, kind="stable")
     table[128:] = 0
-    own = SYMBOLS - 28
+    own = min(SYMBOLS - 28, int((seen > 0).sum()))
     table[128 + order[:own]] = 28 + np.arange(own)
     return table
 
@@ -55,58 +56,67 @@ def symbols(text: np.ndarray, edges: np.ndarray, table: np.ndarray) -> tuple[np.
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence; -1 where there is none."""
-    steps: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
+def automaton(text: np.ndarray, table: np.ndarray) -> int:
+    """Writes the transitions of the suffix automaton of a symbol sequence into the first rows of ``table``; -1 where there is none.
+
+    ``table`` is (states, symbols) int32 with room for twice as many states as
+    symbols in ``text``; the number of states is returned.  Rows beyond are not touched.
+    """
+    width = table.shape[1]
+    steps = memoryview(table.reshape(-1))
+    none = array("i", [-1]) * width
+    link, length = array("i", [-1]), array("i", [0])
+    steps[:width] = none
     last = 0
     for symbol in text.tolist():
-        state = len(steps)
-        steps.append({})
+        state = len(link)
+        steps[state * width : (state + 1) * width] = none
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and symbol not in steps[at]:
-            steps[at][symbol] = state
+        while at >= 0 and steps[at * width + symbol] < 0:
+            steps[at * width + symbol] = state
             at = link[at]
         if at >= 0:
-            following = steps[at][symbol]
+            following = steps[at * width + symbol]
             if length[following] == length[at] + 1:
                 link[state] = following
             else:
-                copy = len(steps)
-                steps.append(dict(steps[following]))
+                copy = len(link)
+                steps[copy * width : (copy + 1) * width] = steps[following * width : (following + 1) * width]
                 length.append(length[at] + 1)
                 link.append(link[following])
                 link[following] = link[state] = copy
-                while at >= 0 and steps[at].get(symbol) == following:
-                    steps[at][symbol] = copy
+                while at >= 0 and steps[at * width + symbol] == following:
+                    steps[at * width + symbol] = copy
                     at = link[at]
         last = state
-    table = np.full((len(steps), SYMBOLS), -1, np.int64)
-    for state, own in enumerate(steps):
-        table[state, list(own)] = list(own.values())
-    return table
+    return len(link)
 
 
 class CrossParser:
-    """The automata of all languages in one table."""
+    """The automata of all languages in one table, which they are built in."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         self.table = symbol_table([samples[k] for k in self.languages])
-        parts, self.roots, self.bits, base = [], [], [], 0
-        for name in self.languages:
-            raw = np.frombuffer(samples[name], np.uint8)
-            codes, _ = symbols(raw, np.array([0, len(raw)]), self.table)
-            own = automaton(codes)
-            start = np.where(own[0] >= 0, own[0], 0)  # behind the end of a phrase; an unknown symbol is a phrase by itself
-            following = np.where(own >= 0, own, start)
-            parts.append((((following + base) * SYMBOLS) << 1 | (own < 0)).astype(np.int32))
-            self.roots.append((base * SYMBOLS) << 1)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += len(own)
-        self.steps = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32)
+        raw = [np.frombuffer(samples[name], np.uint8) for name in self.languages]
+        codes = [symbols(r, np.array([0, len(r)]), self.table)[0] for r in raw]
+        self.width = width = int(self.table.max()) + 1
+        # Memory of rows that are never written is never taken.
+        steps = np.empty((sum(2 * len(c) + 2 for c in codes), width), np.int32)
+        self.roots, self.bits, base = [], [], 0
+        for own in codes:
+            states = automaton(own, steps[base:])
+            start = np.maximum(steps[base], 0)  # behind the end of a phrase; an unknown symbol is a phrase by itself
+            for low in range(base, base + states, 1 << 12):
+                rows = steps[low : min(low + (1 << 12), base + states)]
+                ends = rows < 0
+                rows[:] = (np.where(ends, start, rows) + base) * (2 * width) + ends
+            self.roots.append(base * width * 2)
+            self.bits.append(np.log2(max(2, len(own))))
+            base += states
+        self.steps = steps[:base].reshape(-1)
 
     def phrases(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each text: (languages, texts)."""
