@@ -58,14 +58,19 @@ def standard_normal(seed: int, *keys: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * uniform(seed, *keys, F.lit("t")))
 
 
-def poisson_one(uniform_column: str) -> Column:
-    """Poisson(1) draw by inversion of a column of uniforms."""
+def poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1): a uniform's draw is the number of steps at or below it."""
     steps, total, term = [], 0.0, math.exp(-1.0)
     for k in range(13):
         term = term if k == 0 else term / k
         total += term
         steps.append(total)
-    return cuts_at_or_below(uniform_column, steps)
+    return steps
+
+
+def poisson_one(uniform_column: str) -> Column:
+    """Poisson(1) draw by inversion of a column of uniforms."""
+    return cuts_at_or_below(uniform_column, poisson_steps())
 
 
 def normal_tail(z: Column) -> Column:

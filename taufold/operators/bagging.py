@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taufold.functions.labels import first_match
-from taufold.functions.numeric import poisson_one, uniform
-from taufold.operators.fitting import fit_all
+from taufold.functions.numeric import poisson_steps
+from taufold.operators.histogram_trees import MAX_BINS, TreeSpec, binned, entries, feature_cuts, grow, row_slices
+from taufold.operators.split import with_draws
 from taufold.sources.stage import stage
 
-
-def with_draws(df: DataFrame, unit_id: str, rounds: int, seed: int) -> DataFrame:
-    """Adds _d1.._dB: how often a unit is drawn in each round.
-
-    Poisson(1) is the large-sample law of a bootstrap count, and a hash of the
-    key gives the same draw on every layout and rerun.
-    """
-    uniforms = {f"_u{b}": uniform(seed, F.lit(b), F.col(unit_id)) for b in range(1, rounds + 1)}
-    draws = [poisson_one(f"_u{b}").cast("tinyint").alias(f"_d{b}") for b in range(1, rounds + 1)]
-    return df.withColumns(uniforms).select(*df.columns, *draws)
+#: Class labels that a classifier takes.
+MAX_CLASSES = 1_000
 
 
 def out_of_bag(df: DataFrame, sampled: DataFrame, unit_id: str) -> DataFrame:
@@ -48,19 +43,18 @@ def vote_errors(votes: DataFrame, classes: Sequence[int], unit_id: str = "unit_i
     return counted.groupBy("round").agg(F.avg(wrong).alias("error"))
 
 
-def running_majority(votes: Column, classes: Sequence[float]) -> Column:
-    """Majority class after each vote of an array; NULL votes don't count and give NULL, ties go to the smallest class."""
-    known = F.array(*[F.lit(float(c)) for c in classes])
-    start = F.struct(F.array_repeat(F.lit(0), len(classes)).alias("counts"), F.array().cast("array<double>").alias("majority"))
+def running_majority(votes: np.ndarray, known: np.ndarray, n_classes: int) -> np.ndarray:
+    """Majority class after each of a row's votes (rows, rounds); those not ``known`` don't count; ties go to the smallest class."""
+    counts = np.stack([np.cumsum((votes == c) & known, axis=1) for c in range(n_classes)])
+    return counts.argmax(axis=0)
 
-    def count(state: Column, vote: Column) -> Column:
-        place = F.array_position(known, vote)
-        counts = F.transform(state["counts"], lambda n, i: n + F.coalesce((i + 1 == place).cast("int"), F.lit(0)))
-        leader = F.element_at(known, F.array_position(counts, F.array_max(counts)).cast("int"))
-        majority = F.concat(state["majority"], F.array(F.when(vote.isNotNull(), leader)))
-        return F.struct(counts.alias("counts"), majority.alias("majority"))
 
-    return F.aggregate(votes, start, count)["majority"]
+def _classes(df: DataFrame, label: str) -> list[float]:
+    """The labels, which must be few."""
+    found = sorted(r[0] for r in df.select(label).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"column {label!r} has more than {MAX_CLASSES} values; it is no class label")
+    return found
 
 
 def bagged_tree_errors(
@@ -72,36 +66,55 @@ def bagged_tree_errors(
     seed: int = 42,
     max_depth: int = 10,
     features: str = "features",
-    parallel: int = 8,
+    max_bins: int = MAX_BINS,
 ) -> DataFrame:
     """(round, oob_error, test_error) for rounds 1..B.
 
-    All predictions of a unit are columns of its row, and the running majority is
-    folded there.  What is exploded goes straight into one average per round, so
-    no row per unit and round is shuffled.
+    The trees of all rounds grow together, one job a level.  One more scan each
+    of the training and the test units lets every row vote in all rounds, folds
+    its running majority, and adds up wrong and all votes per round in its task:
+    no row per unit and round leaves a task.  A round whose test error or
+    out-of-bag error has no units has none.
     """
-    labelled = train.select(unit_id, features, F.col(label).cast("double").alias("label"))
-    # One small column per round: each fit reads only its own.
-    base = stage(with_draws(labelled, unit_id, rounds, seed), "bag-train")
-    held = stage(test.select(unit_id, features, F.col(label).cast("double").alias("label")), "bag-test")
-    jobs = []
-    for b in range(1, rounds + 1):
-        drawn = base.select(features, "label", F.col(f"_d{b}").cast("double").alias("_drawn")).filter("_drawn > 0")
-        tree = DecisionTreeClassifier(
-            featuresCol=features, labelCol="label", weightCol="_drawn", rawPredictionCol="", probabilityCol="", seed=b, maxDepth=max_depth
-        )
-        jobs.append((tree, drawn))
-    models = fit_all(jobs, parallel)
-
-    def errors(df: DataFrame, name: str, vote: Callable[[int], Column], decide: Callable[[Column], Column]) -> DataFrame:
-        for i, model in enumerate(models):
-            df = model.setPredictionCol(f"_p{i}").transform(df)
-        decided = df.select("label", decide(F.array(*[vote(i) for i in range(rounds)])).alias("decided"))
-        long = decided.select("label", F.posexplode("decided").alias("position", "decision"))
-        wrong = (F.col("decision") != F.col("label")).cast("double")
-        return long.groupBy((F.col("position") + 1).alias("round")).agg(F.avg(wrong).alias(name))
-
-    classes = sorted(r["label"] for r in base.select("label").distinct().collect())
-    oob = errors(base, "oob_error", lambda i: F.when(F.col(f"_d{i + 1}") == 0, F.col(f"_p{i}")), lambda votes: running_majority(votes, classes))
-    tested = errors(held, "test_error", lambda i: F.col(f"_p{i}"), lambda votes: votes)
+    kind = dict(train.dtypes)[features]
+    values = F.col(features) if kind.startswith("array") else vector_to_array(F.col(features))
+    prepared = [df.select(unit_id, values.alias("_features"), F.col(label).cast("double").alias("label")).filter("label IS NOT NULL") for df in (train, test)]
+    # Every unit is drawn, binned and sent down in each round: worth spreading its few columns first.
+    spread = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = stage(prepared[0].repartition(spread, unit_id), "bag-train")
+    classes = _classes(base, "label")
+    cuts = feature_cuts(base, "_features", max_bins)
+    place = first_match((F.col("label") == c, k) for k, c in enumerate(classes)).cast("int")
+    one_hot = F.array(*[(F.col("label") == c).cast("double") for c in classes])
+    # Poisson(1) is the large-sample law of a bootstrap count, and a hash of the key draws alike on every layout.
+    steps = np.array(poisson_steps())
+    drawn = with_draws(base, unit_id, seed, range(1, rounds + 1), lambda u: np.searchsorted(steps, u, "right"))
+    trained = drawn.withColumns({"folds": F.array().cast("array<int>"), "den": F.array(F.lit(1.0)), "num": one_hot, "place": place})
+    table = stage(binned(trained, "_features", cuts, ["draws", "folds", "den", "num", "place"]), "bag-bins")
+    specs = [TreeSpec(draw=b, max_depth=max_depth) for b in range(rounds)]
+    trees = grow(table, specs, cuts, len(classes))
+    shared = train.sparkSession.sparkContext.broadcast(trees)
+
+    def errors(df: DataFrame, name: str, out_of_bag: bool) -> DataFrame:
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            best = own.value.argmax(axis=1)  # ties go to the smallest class
+            wrong, units = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64)
+            for bins, part in row_slices(batches, len(cuts), rounds):
+                votes, truth = best[own.leaves(bins)], part.column(1).to_numpy(zero_copy_only=False)[:, None]
+                known = np.ones(votes.shape, bool)
+                if out_of_bag:
+                    known = entries(part.column(2), np.int64) == 0
+                    votes = running_majority(votes, known, len(classes))
+                wrong += ((votes != truth) & known).sum(axis=0)
+                units += known.sum(axis=0)
+            yield pa.record_batch([pa.array(np.arange(1, rounds + 1)), pa.array(wrong), pa.array(units)], ["round", "wrong", "units"])
+
+        summed = df.mapInArrow(vote, "round long, wrong long, units long").groupBy("round").agg(F.sum("wrong").alias("wrong"), F.sum("units").alias("units"))
+        return summed.select(F.col("round").cast("int").alias("round"), F.try_divide("wrong", "units").alias(name))
+
+    # A class that was never trained is a class of its own, so every vote on it is wrong.
+    held = prepared[1].repartition(spread, unit_id).withColumn("place", F.coalesce(place, F.lit(-1)))
+    oob = errors(table.select("bins", "place", "draws"), "oob_error", True)
+    tested = errors(binned(held, "_features", cuts, ["place"]), "test_error", False)
     return oob.join(tested, "round").orderBy("round")

@@ -6,6 +6,11 @@ a rerun after a lost executor puts every unit in the same part.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +47,36 @@ def with_stratified_folds(
     shuffled = df.withColumn("_shuffle", hash32(seed, F.col(unit_id)))
     ranked = distributed_rank(shuffled, [F.col("_shuffle"), F.col(unit_id)], by=[treatment], rank="_rank")
     return ranked.withColumn(fold, (F.col("_rank") - 1) % folds).drop("_shuffle", "_rank")
+
+
+def with_draws(
+    df: DataFrame, unit_id: str, seed: int, keys: Sequence[object], decide: Callable[[np.ndarray], np.ndarray], width: int | None = None
+) -> DataFrame:
+    """Adds ``draws``, an array of small whole numbers: ``decide`` of a unit's uniforms, one for each key.
+
+    ``width`` is the length of what ``decide`` returns, by default that of ``keys``.
+
+    The uniforms are those of ``numeric.uniform``, so they do not depend on the
+    layout; a list of hundreds of md5 columns takes eight times as long.
+    """
+    heads = [f"{seed}:{key}" for key in keys]
+    width = width or len(heads)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = [hashlib.md5(h.encode()) for h in heads]
+        for batch in batches:
+            out = np.empty((batch.num_rows, width), np.int8)
+            for k, unit in enumerate(batch.column(0).to_pylist()):
+                tail, raw = b"" if unit is None else b":" + unit.encode(), []
+                for start in started:
+                    own = start.copy()
+                    own.update(tail)
+                    raw.append(own.digest()[:4])
+                out[k] = decide((np.frombuffer(b"".join(raw), ">u4") + 0.5) / 2**32)
+            cuts = np.arange(batch.num_rows + 1, dtype=np.int32) * width
+            draws = pa.ListArray.from_arrays(pa.array(cuts), pa.array(out.reshape(-1)))
+            yield pa.record_batch([*batch.columns[1:], draws], [*batch.schema.names[1:], "draws"])
+
+    source = df.select(F.col(unit_id).cast("string").alias("_unit"), *df.columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return source.mapInArrow(draw, f"{kinds}, draws array<tinyint>")

@@ -2,8 +2,9 @@
 
 Thresholds come from the training predictions.  Every validation unit falls in
 bucket b = number of thresholds at or below its prediction, and the whole
-analysis needs only count, sum and sum of squares of the score per bucket: one
-aggregation, whatever the number of units.  Everything after it works on
+analysis needs only count, sum and the squares about the bucket's own mean: one
+aggregation, whatever the number of units, whose partial moments are merged
+pairwise, so a large mean costs no digits.  Everything after it works on
 (number of thresholds + 1) rows per arm.
 """
 
@@ -36,25 +37,25 @@ def _check_metric(metric: str) -> None:
 
 
 def bucket_moments(val: DataFrame, cuts: Mapping[int, Sequence[float]], score: str = "dr", cate: str = "cate") -> DataFrame:
-    """(arm, b, n, s1, s2) for every arm and bucket, empty buckets included."""
+    """(arm, b, n, s1, m2) for every arm and bucket, empty buckets included; ``m2`` sums squares about the bucket's mean."""
     bucket = first_match((F.col("arm") == arm, cuts_at_or_below(cate, arm_cuts)) for arm, arm_cuts in cuts.items())
     s = F.col(score)
     lost = F.col(score).isNotNull() & (F.col(cate).isNull() | ~F.col("arm").isin(*cuts))
     if stray := val.filter(lost).select("arm", cate).limit(1).collect():
         raise ValueError(f"a unit of arm {stray[0]['arm']!r} has no effect estimate or its arm no thresholds")
     found = val.groupBy("arm", bucket.alias("b")).agg(
-        F.count(s).alias("n"), F.sum(s).alias("s1"), F.sum(s * s).alias("s2")
+        F.count(s).alias("n"), F.sum(s).alias("s1"), (F.var_pop(s) * F.count(s)).alias("m2")
     )
     zeros = [(arm, b, 0, 0.0, 0.0) for arm, arm_cuts in cuts.items() for b in range(len(arm_cuts) + 1)]
     fields = [T.StructField("arm", val.schema["arm"].dataType), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]
-    fields += [T.StructField(s, T.DoubleType()) for s in ("s1", "s2")]
+    fields += [T.StructField(s, T.DoubleType()) for s in ("s1", "m2")]
     empty = val.sparkSession.createDataFrame(zeros, T.StructType(fields))
     return (
-        found.select("arm", "b", "n", "s1", "s2")
+        found.select("arm", "b", "n", "s1", "m2")
         .unionByName(empty)
         .filter("b is not null")
         .groupBy("arm", "b")
-        .agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        .agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("m2").alias("m2"))
     )
 
 
@@ -75,7 +76,7 @@ def _analysis(moments: DataFrame, percentiles: Sequence[float], metric: str) ->
         moments.withColumn("total", n_all)
         .withColumn("ate", F.try_divide(F.sum("s1").over(arm), F.col("total")))
         .withColumn("c1", F.col("s1") - F.col("n") * F.col("ate"))
-        .withColumn("c2", F.col("s2") - 2 * F.col("ate") * F.col("s1") + F.col("n") * F.pow("ate", F.lit(2)))
+        .withColumn("c2", F.col("m2") + F.coalesce(F.try_divide(F.col("c1") * F.col("c1"), F.col("n")), F.lit(0.0)))
     )
     above = centred.withColumns(
         {
@@ -153,12 +154,12 @@ def uniform_bands(
     have the same law: replicates * (thresholds + 1) rows, whatever the number of
     units.  Draws are hashes of (seed, arm, replicate, bucket).
     """
-    rows = _analysis(moments, percentiles, metric).select("arm", "b", "n", "c1", "c2", "value", "err", "hi", "lo", "total")
+    rows = _analysis(moments, percentiles, metric).select("arm", "b", "n", "c1", "m2", "value", "err", "hi", "lo", "total")
     drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     root = F.sqrt(F.col("n").cast("double"))
     keys = (F.col("arm"), F.col("r"), F.col("b"))
     z1, z2 = standard_normal(seed, *keys, F.lit("1")), standard_normal(seed, *keys, F.lit("2"))
-    spare = F.sqrt(F.greatest(F.col("c2") - F.coalesce(F.try_divide(F.pow("c1", F.lit(2)), F.col("n")), F.lit(0.0)), F.lit(0.0)))
+    spare = F.sqrt(F.greatest("m2", F.lit(0.0)))
     sums = drawn.withColumns({"_z1": z1, "_z2": z2}).withColumns(
         {"w0": root * F.col("_z1"), "w1": F.coalesce(F.try_divide(F.col("c1"), root), F.lit(0.0)) * F.col("_z1") + spare * F.col("_z2")}
     )

@@ -8,15 +8,29 @@ chain of fitting, cross-fitting and scoring can be checked exactly.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from taufold.operators import balance as B
 from taufold.operators.bagging import bagged_tree_errors
-from taufold.operators.cate import ArmModels, EffectForest, ForestParams, dr_learner, predict_arms, residual_targets, t_learner, tune_forest
+from taufold.operators.cate import (
+    ArmModels,
+    EffectForest,
+    ForestParams,
+    dr_learner,
+    grid_points,
+    predict_arms,
+    residual_targets,
+    t_learner,
+    tune_forest,
+)
 from taufold.operators.classify import outcome_forest, score_by_arm
+from taufold.operators.effect_trees import NuisanceTrees, tune_nested
 from taufold.operators.impute import fill, means, modes
 from taufold.operators.metrics import classification_report
 from taufold.operators.split import train_test_split
@@ -257,6 +271,34 @@ def forest_tuning(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+#: Trees of a forest; the grid's own number is 1,000, which SQL would have to draw unit by unit.
+GRID_TREES = 4
+
+
+@query(
+    "K5 K6 K10 K27 K4",
+    "point:i, num_trees:i, min_leaf:i, max_depth:i, sample_share:d, score:d",
+    f"""WITH {UNITS}, c AS (SELECT unit_id, cell, treatment AS t, outcome AS y,
+      {hash32_sql(43, "unit_id")} % 5 AS cv, {hash32_sql(44, "unit_id")} % 3 AS nf FROM u),
+    f AS (SELECT unnest(range(5)) AS f),
+    nu AS (SELECT f, g, cell, avg(y) AS m, avg(t) AS e FROM c, f, (SELECT unnest(range(3)) AS g) WHERE cv <> f AND nf <> g GROUP BY f, g, cell),
+    r AS (SELECT c.*, f, y - m AS ry, t - e AS rt FROM c JOIN nu ON g = nf AND nu.cell = c.cell WHERE cv <> f),
+    d AS (SELECT r.*, share, j FROM r, (SELECT unnest([0.3, 0.5]) AS share), (SELECT unnest(range({GRID_TREES})) AS j)
+      WHERE {uniform_sql(42, "'e' || j || ':' || unit_id")} < share),
+    leaf AS (SELECT share, f, j, cell, sum(ry * rt) / sum(rt * rt) AS effect FROM d GROUP BY share, f, j, cell),
+    forest AS (SELECT share, f, cell, avg(effect) AS effect FROM leaf GROUP BY share, f, cell),
+    l AS (SELECT share, cv, avg(pow(y - effect * t, 2)) AS mse FROM c JOIN forest ON f = cv AND forest.cell = c.cell GROUP BY share, cv),
+    s AS (SELECT share, avg(mse) AS score FROM l GROUP BY share)
+    SELECT row_number() OVER (ORDER BY min_leaf, max_depth, share) - 1 AS point, {GRID_TREES} AS num_trees, min_leaf, max_depth, share AS sample_share, score
+    FROM s, (SELECT unnest([3, 5, 9]) AS min_leaf), (SELECT unnest([2, 3, 5]) AS max_depth)""",
+)
+def forest_grid(spark, sf):
+    """All points of the grid, nuisances refitted in every tuning fold; two 0/1 covariates, so two levels tell all cells apart."""
+    df = units(spark, sf).withColumn("flags", F.slice(vector_to_array("features"), 1, 2))
+    points = [replace(p, num_trees=GRID_TREES) for p in grid_points()]
+    return tune_nested(df, "unit_id", "treatment", "outcome", points, features="flags", nuisance=NuisanceTrees(1, 3, 1))
+
+
 @query(
     "K10 K12",
     "unit_id:i, t_effect:d, dr_effect:d",

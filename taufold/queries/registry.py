@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taufold.session import reach_workers
+
 # Output kinds: i integer, d number to 6 digits (by the same operations in both engines), s text, b boolean.
 SPARK_CAST = {
     "i": lambda c: F.col(f"`{c}`").cast("bigint"),
@@ -44,6 +46,7 @@ def query(operators: str, spec: str, sql: str | None = None):
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reach_workers(spark)
             found = fn(spark, sf_dir)
             return found.select(*[SPARK_CAST[kind](c).alias(c) for c, kind in columns])
 
