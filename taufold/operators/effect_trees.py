@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taufold.functions.numeric import poisson_steps
+from taufold.functions.values import Z95
 from taufold.operators.cate import ForestParams
 from taufold.operators.histogram_trees import MAX_BINS, Trees, TreeSpec, binned, entries, feature_cuts, grow, row_slices
 from taufold.operators.split import fold_of, with_draws
@@ -173,3 +175,104 @@ def tune_nested(
     rows = [(k, p.num_trees, p.min_leaf, p.max_depth, p.sample_share) for k, p in enumerate(points)]
     grid = spark.createDataFrame(rows, "point int, num_trees int, min_leaf int, max_depth int, sample_share double")
     return grid.join(scores, "point", "left").orderBy(F.asc_nulls_last("score"), "point")
+
+
+def bag_spread(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sampling variance of predictions (rows, groups, trees of a group).
+
+    The variance between groups, less what a group's few trees add to it, and at least 0.
+    """
+    means = values.mean(axis=2)
+    spread = means.var(axis=1, ddof=1)
+    if values.shape[2] > 1:
+        spread = np.maximum(spread - values.var(axis=2, ddof=1).mean(axis=1) / values.shape[2], 0.0)
+    return means.mean(axis=1), spread
+
+
+@dataclass(frozen=True)
+class EffectBags:
+    """An effect forest in little bags: each group of trees shares a half-sample of the units.
+
+    Halves are drawn without replacement, so the variance between the groups'
+    means is that of the estimate plus the noise of a group's few trees; the
+    latter is estimated within the groups and taken off, down to zero.
+    """
+
+    trees: Trees
+    groups: int
+    size: int
+
+    def _scored(self, df: DataFrame, features: str, names: Sequence[str]) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+        groups, size = self.groups, self.size
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            step = max(16, (1 << 20) // (groups * size))
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    bins = own.binned(entries(part.column(0), np.float64))
+                    values = own.value[own.leaves(bins), 0].reshape(part.num_rows, groups, size)
+                    effect, spread = bag_spread(values)
+                    reach = Z95 * np.sqrt(spread)
+                    found = (effect, effect - reach, effect + reach)
+                    yield pa.record_batch([*part.columns[1:], *map(pa.array, found)], [*part.schema.names[1:], *names])
+
+        kind = dict(df.dtypes)[features]
+        values = F.col(features) if kind.startswith("array") else vector_to_array(F.col(features))
+        source = df.select(values.alias("_values"), *[c for c in df.columns if c != features])
+        return source.mapInArrow(scan, T.StructType([*source.schema.fields[1:], *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+    def effect_interval(self, df: DataFrame, features: str = "features", out: str = "cate") -> DataFrame:
+        """The columns of ``df`` but ``features``, with the effect and its 95 % limits."""
+        return self._scored(df, features, (out, f"{out}_lower", f"{out}_upper"))
+
+
+def fit_effect_bags(
+    df: DataFrame,
+    unit_id: str,
+    treatment: str,
+    outcome: str,
+    params: ForestParams,
+    size: int = 4,
+    features: str = "features",
+    weight: str | None = None,
+    nuisance: NuisanceTrees = NuisanceTrees(),
+    nuisance_folds: int = 3,
+    max_bins: int = MAX_BINS,
+) -> EffectBags:
+    """An effect forest of ``params.num_trees`` trees in groups of ``size``, from cross-fitted residuals.
+
+    A tree draws ``params.sample_share`` of all units, at most half, from its
+    group's half-sample.  Units without outcome, treatment, features or a
+    positive weight are left out.
+    """
+    groups = params.num_trees // size
+    if groups < 2 or params.sample_share > 0.5:
+        raise ValueError("little bags need two groups of trees at least, and samples of half the units at most")
+    base = _prepared(df, unit_id, treatment, outcome, features, weight, 1, nuisance_folds, params.seed).filter("features IS NOT NULL")
+    base = stage(base, "effect-units")
+    cuts = feature_cuts(base, "features", max_bins)
+    steps, bootstrap = np.array(poisson_steps()), nuisance.num_trees > 1
+
+    def decide(u: np.ndarray) -> np.ndarray:
+        own, halves, trees = np.split(u, [nuisance.num_trees, nuisance.num_trees + groups])
+        counts = np.searchsorted(steps, own, "right") if bootstrap else np.ones(1, np.int64)
+        return np.concatenate([counts, np.repeat(halves < 0.5, size) & (trees < 2 * params.sample_share)])
+
+    keys = [f"{kind}{j}" for kind, n in (("n", nuisance.num_trees), ("g", groups), ("e", groups * size)) for j in range(n)]
+    drawn = with_draws(base, "unit", params.seed, keys, decide, width=nuisance.num_trees + groups * size)
+    w = F.col("w")
+    drawn = drawn.withColumns({"den": F.array(w, w), "num": F.array(w * F.col("y"), w * F.col("t"))})
+    table = stage(binned(drawn, "features", cuts, ["draws", "folds", "den", "num", "y", "t", "w"]), "effect-bins")
+    lattice = [
+        TreeSpec(j, kind, nuisance.max_depth, nuisance.min_leaf, (-1, g))
+        for g in range(nuisance_folds)
+        for kind in range(2)
+        for j in range(nuisance.num_trees)
+    ]
+    residuals = residual_moments(table, grow(table, lattice, cuts), 1, nuisance_folds, nuisance.num_trees)
+    residuals = stage(residuals, "effect-residuals")
+    specs = [TreeSpec(nuisance.num_trees + j, 0, params.max_depth, params.min_leaf) for j in range(groups * size)]
+    return EffectBags(grow(residuals, specs, cuts), groups, size)

@@ -36,13 +36,14 @@ LEAST_GAIN = 1e-12
 
 @dataclass(frozen=True)
 class TreeSpec:
-    """One tree: which draw weighs its rows, which moments it fits, and the folds it must not see (-1: none)."""
+    """One tree: which draw weighs its rows, which moments it fits, the folds it must not see and those it sees alone (-1: any)."""
 
     draw: int = 0
     target: int = 0
     max_depth: int = 5
     min_leaf: int = 1
     skip: tuple[int, ...] = ()
+    only: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,9 @@ def _weights(draws: np.ndarray, folds: np.ndarray, specs: Sequence[TreeSpec]) ->
     weight = draws[:, [s.draw for s in specs]]
     for j in range(folds.shape[1]):
         skip = np.array([s.skip[j] if j < len(s.skip) else -1 for s in specs])
-        weight = np.where(folds[:, j : j + 1] == skip, 0, weight)
+        only = np.array([s.only[j] if j < len(s.only) else -1 for s in specs])
+        own = folds[:, j : j + 1]
+        weight = np.where((own == skip) | ((only >= 0) & (own != only)), 0, weight)
     return weight
 
 

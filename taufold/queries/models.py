@@ -29,8 +29,8 @@ from taufold.operators.cate import (
     t_learner,
     tune_forest,
 )
-from taufold.operators.classify import outcome_forest, score_by_arm
-from taufold.operators.effect_trees import NuisanceTrees, tune_nested
+from taufold.operators.classify import forest_scores_by_arm, outcome_forest, score_by_arm
+from taufold.operators.effect_trees import NuisanceTrees, fit_effect_bags, tune_nested
 from taufold.operators.impute import fill, means, modes
 from taufold.operators.metrics import classification_report
 from taufold.operators.split import train_test_split
@@ -349,9 +349,6 @@ def arm_forests(spark, sf):
     return classification_report(stage(scored_units.select("returned", "score"), "scores"), "returned", "score")
 
 
-ROUNDS = 200
-
-
 def _poisson_sql(u: str) -> str:
     total, term, cases = 0.0, 0.0, []
     for k in range(13):
@@ -361,6 +358,53 @@ def _poisson_sql(u: str) -> str:
     return " + ".join(cases)
 
 
+FOREST_TREES = 10
+
+
+@query(
+    "K28 K29 C24",
+    "accuracy:d, precision:d, recall:d, f1:d, roc_auc:d",
+    f"""WITH {UNITS}, h AS (SELECT unit_id, treatment, cell, returned, {uniform_sql(42, "unit_id")} >= 0.2 AS in_train FROM u),
+    dr_ AS (SELECT h.*, j, {uniform_sql(42, "j || ':' || unit_id")} AS un FROM h, (SELECT unnest(range({FOREST_TREES})) AS j) WHERE in_train),
+    d AS (SELECT *, {_poisson_sql("un")} AS drawn FROM dr_),
+    leaf AS (SELECT treatment, cell, j, sum(drawn * returned) / sum(drawn) AS p FROM d GROUP BY treatment, cell, j),
+    forest AS (SELECT treatment, cell, avg(p) AS score FROM leaf GROUP BY treatment, cell),
+    s AS (SELECT returned AS outcome, score FROM h JOIN forest USING (treatment, cell) WHERE NOT in_train), {AUC},
+    {REPORT}""",
+)
+def bootstrapped_arm_forests(spark, sf):
+    df = stage(units(spark, sf).withColumn("flags", F.slice(vector_to_array("features"), 1, 2)).drop("features"), "units")
+    train, test = train_test_split(df, "unit_id")
+    found = forest_scores_by_arm(train, test, "unit_id", "treatment", "returned", trees=FOREST_TREES, depth=2, features="flags")
+    return classification_report(stage(found.select("returned", "score"), "scores"), "returned", "score")
+
+
+BAGS, BAG_SIZE = 20, 2
+
+
+@query(
+    "K10 K11 K12",
+    "unit_id:i, cate:d, cate_lower:d, cate_upper:d",
+    f"""WITH {UNITS}, c AS (SELECT unit_id, cell, treatment AS t, outcome AS y, {hash32_sql(44, "unit_id")} % 3 AS nf FROM u),
+    nu AS (SELECT g, cell, avg(y) AS m, avg(t) AS e FROM c, (SELECT unnest(range(3)) AS g) WHERE nf <> g GROUP BY g, cell),
+    r AS (SELECT c.*, y - m AS ry, t - e AS rt FROM c JOIN nu ON g = nf AND nu.cell = c.cell),
+    d AS (SELECT r.*, j, j // {BAG_SIZE} AS bag FROM r, (SELECT unnest(range({BAGS * BAG_SIZE})) AS j)
+      WHERE {uniform_sql(42, f"'g' || (j // {BAG_SIZE}) || ':' || unit_id")} < 0.5 AND {uniform_sql(42, "'e' || j || ':' || unit_id")} < 0.8),
+    leaf AS (SELECT cell, bag, j, sum(ry * rt) / sum(rt * rt) AS effect FROM d GROUP BY cell, bag, j),
+    b AS (SELECT cell, bag, avg(effect) AS mean, var_samp(effect) AS noise FROM leaf GROUP BY cell, bag),
+    f AS (SELECT cell, avg(mean) AS cate, 1.96 * sqrt(greatest(var_samp(mean) - avg(noise) / {BAG_SIZE}, 0)) AS reach FROM b GROUP BY cell)
+    SELECT unit_id, f.cate AS cate, f.cate - reach AS cate_lower, f.cate + reach AS cate_upper FROM u JOIN f USING (cell)""",
+)
+def little_bag_limits(spark, sf):
+    df = units(spark, sf).select("unit_id", "treatment", "outcome", F.slice(vector_to_array("features"), 1, 2).alias("features"))
+    params = ForestParams(num_trees=BAGS * BAG_SIZE, min_leaf=1, max_depth=2, sample_share=0.4)
+    bags = fit_effect_bags(df, "unit_id", "treatment", "outcome", params, BAG_SIZE, nuisance=NuisanceTrees(1, 3, 1))
+    return bags.effect_interval(df)
+
+
+ROUNDS = 200
+
+
 @query(
     "K26 E5",
     "round:i, oob_error:d, test_error:d",

@@ -14,7 +14,8 @@ from taufold.operators import histogram_trees as H
 from taufold.operators import uplift as U
 from taufold.operators.bagging import bagged_tree_errors, running_majority
 from taufold.operators.cate import ForestParams
-from taufold.operators.effect_trees import NuisanceTrees, tune_nested
+from taufold.operators.classify import forest_scores_by_arm
+from taufold.operators.effect_trees import NuisanceTrees, bag_spread, fit_effect_bags, tune_nested
 from taufold.operators.split import with_draws
 from taufold.sources.stage import stage
 
@@ -203,3 +204,61 @@ def test_uplift_errors_do_not_depend_on_the_mean(spark):
             errors = [r["err"] for r in U.uplift_curve(moments, metric=metric).orderBy("pct_treated").collect()]
             found.append([row["est"], row["se"], *errors])
         assert found[1] == pytest.approx(found[0], rel=1e-6)
+
+
+def test_little_bags_cover_planted_effects(spark):
+    """200 simulated outcomes are 200 targets of one table; all their forests grow in one pass."""
+    sims, n, groups, size = 200, 400, 30, 2
+    draw = np.random.default_rng(17)
+    x = draw.integers(0, 2, n).astype(float)
+    gap = draw.choice([-0.5, 0.5], n)
+    effect = 1.0 + x
+    rest = effect * gap + draw.normal(0, 1, (sims, n))
+    half = draw.random((groups, n)) < 0.5
+    trees = (draw.random((groups, size, n)) < 0.8) & half[:, None]
+    rows = [
+        ([float(x[k])], trees[:, :, k].reshape(-1).astype(int).tolist(), [], [float(gap[k] ** 2)] * sims, (rest[:, k] * gap[k]).tolist()) for k in range(n)
+    ]
+    df = spark.createDataFrame(rows, "x array<double>, draws array<tinyint>, folds array<int>, den array<double>, num array<double>").repartition(4)
+    table = stage(H.binned(df, "x", ((0.0,),), ["draws", "folds", "den", "num"]), "simulated")
+    specs = [H.TreeSpec(draw=j, target=s, max_depth=1) for s in range(sims) for j in range(groups * size)]
+    grown = H.grow(table, specs, ((0.0,),))
+    values = grown.value[grown.leaves(np.array([[0], [1]])), 0].reshape(2 * sims, groups, size)
+    mean, spread = bag_spread(values)
+    truth = np.repeat([1.0, 2.0], sims)
+    covered = (np.abs(mean - truth) <= 1.96 * np.sqrt(spread)).mean()
+    assert 0.90 <= covered <= 0.98
+    assert mean.reshape(2, sims).mean(axis=1) == pytest.approx([1.0, 2.0], abs=0.05)
+
+
+def test_bag_spread_is_not_negative():
+    values = np.array([[[0.0, 2.0], [2.0, 0.0]], [[0.0, 0.0], [4.0, 4.0]]])
+    mean, spread = bag_spread(values)
+    assert mean.tolist() == [1.0, 2.0] and spread.tolist() == [0.0, 8.0]
+
+
+def test_effect_bags_of_a_table(spark):
+    draw = np.random.default_rng(8)
+    n = 3000
+    x = draw.integers(0, 3, (n, 2)).astype(float)
+    t = (draw.random(n) < 0.3 + 0.2 * (x[:, 1] > 1)).astype(float)
+    y = x[:, 1] + t * x[:, 0] + draw.normal(0, 0.5, n)
+    rows = [(k, x[k].tolist(), float(t[k]), float(y[k]), "kept") for k in range(n)] + [(None, [0.0, 0.0], None, 1.0, "kept")]
+    df = spark.createDataFrame(rows, "unit_id long, features array<double>, t double, y double, extra string")
+    bags = fit_effect_bags(df, "unit_id", "t", "y", ForestParams(num_trees=40, min_leaf=5, max_depth=3, sample_share=0.5), nuisance=NuisanceTrees(3, 4, 5))
+    found = bags.effect_interval(df.withColumn("x0", F.col("features")[0])).toPandas()
+    assert len(found) == n + 1 and "features" not in found and set(found["extra"]) == {"kept"}
+    means = found.groupby("x0")[["cate", "cate_lower", "cate_upper"]].mean()
+    assert means["cate"].to_list() == pytest.approx([0.0, 1.0, 2.0], abs=0.15)
+    assert (means["cate_lower"] < means["cate"]).all() and (means["cate_upper"] - means["cate_lower"] < 0.5).all()
+    with pytest.raises(ValueError, match="little bags"):
+        fit_effect_bags(df, "unit_id", "t", "y", ForestParams(num_trees=4, sample_share=0.5))
+
+
+def test_arm_forests_see_their_own_arm(spark, units):
+    ours = units.withColumn("arm", (F.col("t") > 0).cast("int")).withColumn("hit", F.when(F.col("arm") == 1, F.col("x")[2]).otherwise(1 - F.col("x")[2]))
+    found = forest_scores_by_arm(ours, ours, "unit_id", "arm", "hit", trees=6, depth=2, features="x").toPandas()
+    assert (found["score"] == found["hit"]).all() and (found["predicted"] == found["hit"]).all()
+    assert (found["mu1"] + found["mu0"]).to_numpy() == pytest.approx(1.0)
+    one = forest_scores_by_arm(ours.filter("arm = 1"), ours, "unit_id", "arm", "hit", trees=2, depth=2, features="x")
+    assert one.filter("mu0 IS NOT NULL").count() == 0 and one.filter("mu1 IS NULL").count() == 0
