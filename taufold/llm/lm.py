@@ -15,6 +15,7 @@ never leave Spark, but for a bounded table of the commonest.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,7 +207,7 @@ def train(counts: DataFrame, updates: int = UPDATES) -> np.ndarray:
     return weights
 
 
-def _worker_table(number: int, words: np.ndarray) -> W.HashTable:
+def _worker_table(number: str, words: np.ndarray) -> W.HashTable:
     """The broadcast words' lookup table, built once in each worker."""
 
     def build() -> W.HashTable:
@@ -258,7 +259,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     seen = seen.select(F.expr(f"key div {OUTCOMES}").alias("history"), F.expr(f"key % {OUTCOMES}").alias("outcome"), "n")
     weights = train(stage(seen, "histories"))
     shared = spark.sparkContext.broadcast((words, times, weights))
-    number = id(shared)
+    number = uuid.uuid4().hex  # an address could be used again
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, times, weights = shared.value
