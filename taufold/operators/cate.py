@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from taufold.functions.numeric import hash32
 from taufold.functions.values import FOREST_GRID, Z95
+from taufold.operators.dr import arm_positions
 from taufold.operators.fitting import fit_all
 from taufold.operators.split import fold_of
 from taufold.sources.stage import stage
@@ -171,7 +172,7 @@ def t_learner(df: DataFrame, treatment: str, outcome: str, arms: Sequence[int],
 def dr_learner(long: DataFrame, regression: Estimator, score: str = "dr") -> dict[int, Model]:
     """One regression of the doubly-robust score on the features per non-control arm."""
     staged = stage(long, "dr-learner")
-    arms = sorted(r["arm"] for r in staged.select("arm").distinct().collect())
+    arms = arm_positions(staged, "arm")
     model = regression.copy({regression.labelCol: score})
     return dict(zip(arms, fit_all([(model, staged.filter(F.col("arm") == a)) for a in arms])))
 
