@@ -3,14 +3,17 @@
 Tokens are white-space words and one end per text.  The commonest words and one
 outcome for all others are the model's outcomes, in classes of like frequency:
 P(outcome | history) = P(class | history) * P(outcome | class, history).  Both
-factors are log-linear in hashed features of the history: a bias, the word
-before, the two words before, and the word before that one (a skip).  A word
-behind the shared outcome has its smoothed share of all such words.
-
-Training statistics are counts (history, outcome) over all training texts.  Each
-gradient update adds up what the model expects over the distributed counts, whose
-number is bounded by the outcomes, not by the corpus.  Word counts of the whole corpus
-never leave Spark, but for a bounded table of the commonest.
+factors are log-linear in hashed features of the history: a bias, the word before, the
+two words before, and the word before that one (a skip); words are any words of
+the texts, not outcomes only.  A word behind the shared outcome has its smoothed share
+of all such words.  Outcomes and feature slots grow with the distinct words.
+
+Training is by gradient updates: in each round every task goes once through its
+share of the round's texts in small batches, and the tasks' weights are averaged
+by how often each task met a slot.  The rounds share all training texts between
+them.  Word counts of the whole corpus never leave Spark, but for a bounded table
+of the commonest.  A text is worked on alone and whole: a very long one needs
+memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ from taufold.llm import words as W
 from taufold.llm.frequent import most_frequent
 from taufold.sources.stage import stage
 
-CLASSES = 16
-MEMBERS = 16
-OUTCOMES = CLASSES * MEMBERS
-BEGIN = OUTCOMES
-#: Hashed feature rows; the first is the bias.
-ROWS = 2048
-FEATURES = 4
-UPDATES = 8
-PRIOR = 2.0
-#: Tasks that add up feature counts; what they read is bounded by OUTCOMES, and each sends ROWS rows in blocks.
-SUM_TASKS = 4
-BLOCKS = 16
+#: Hashed features of a history beside the bias.
+FEATURES = 3
+#: Slots for each class; a slot is one row of weights, as wide as there are classes.
+SLOTS = 2048
+#: Rounds of gradient updates; each is over its own share of the training texts.
+ROUNDS = 4
+#: Tokens of one gradient update.
+BATCH = 8192
+RATE = 0.3
+#: Weights travel in parts of so many bytes, summed by SUM_TASKS tasks one after the other.
+PART_BYTES = 1 << 15
+SUM_TASKS = 32
 #: Words of a task that are counted together before they are sent.
 COUNTED = 1 << 22
 #: Commonest words whose counts are broadcast, at 16 bytes each; counts of other words meet them in a join.
@@ -84,33 +87,44 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(scan, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def side_of(n_words: int) -> int:
+    """Classes, and outcomes of each: 2 to 4 times the fourth root of the distinct words, a power of two from 16 on.
+
+    The weights are SLOTS * side**2 numbers, so they grow with the square root of the
+    words: 8 MB at 60,000, 34 MB at a million, 537 MB at 250 million.
+    """
+    side = 16
+    while side**4 < 16 * n_words:
+        side *= 2
+    return side
+
+
 def outcome_table(head: np.ndarray) -> W.HashTable:
-    """Outcomes of the head words, by their place; whatever is not found is the outcome at the head's 0."""
-    table = W.HashTable(12)
+    """Outcomes of the head words, by their place; whatever is not found is the outcome behind the head."""
+    table = W.HashTable(max(4, (2 * len(head)).bit_length()))
     table.add(head, 0)
     return table
 
 
-def histories(tokens: np.ndarray, first: np.ndarray, table: W.HashTable, other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Outcome of each token and its history, the two outcomes before it as one number."""
-    outcome = table.find(tokens).astype(np.int64)
-    outcome[outcome < 0] = other
-    one, two = np.empty_like(outcome), np.empty_like(outcome)
-    one[1:], two[2:] = outcome[:-1], outcome[:-2]
+def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(tokens, FEATURES) hashed features of each token's history inside its text."""
+    one, two = np.empty_like(tokens), np.empty_like(tokens)
+    one[1:], two[2:] = tokens[:-1], tokens[:-2]
     starts = first[:-1]
-    one[starts] = BEGIN
-    two[starts] = BEGIN
+    one[starts] = two[starts] = END
     seconds = starts + 1
-    two[seconds[seconds < first[1:]]] = BEGIN
-    return outcome, two * (OUTCOMES + 1) + one
+    two[seconds[seconds < first[1:]]] = END
+    return np.stack([W.mix(one + np.uint64(1)), W.mix(W.mix(two) + one), W.mix(two + np.uint64(2))], axis=1)
 
 
-def feature_rows(history: np.ndarray) -> np.ndarray:
-    """(histories, FEATURES) rows of the weights."""
-    two, one = np.divmod(history, OUTCOMES + 1)
-    parts = [one, (two + 1) * 1_000_003 + one, two]
-    hashed = [W.mix((p + (k + 1) * 7_919_000_017).astype(np.uint64)) % np.uint64(ROWS - 1) for k, p in enumerate(parts)]
-    return np.stack([np.zeros(len(history), np.int64), *[1 + h.astype(np.int64) for h in hashed]], axis=1)
+def slots(features: np.ndarray, node: np.ndarray, side: int) -> np.ndarray:
+    """Rows of the weights for a decision: node 0 picks the class, node 1 + c the outcome inside class c.
+
+    The first ``side + 1`` rows are the nodes' biases.
+    """
+    hashed = W.mix(features + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+    rest = np.uint64(SLOTS * side - side - 1)
+    return np.concatenate([node[:, None], (hashed % rest).astype(np.int64) + side + 1], axis=1)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -119,91 +133,114 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def factors(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the classes, and of the members within each class."""
+def decisions(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of every choice of some decisions."""
     total = weights[rows[:, 0]]
-    for k in range(1, FEATURES):
+    for k in range(1, rows.shape[1]):
         total += weights[rows[:, k]]
-    return _log_softmax(total[:, :CLASSES]), _log_softmax(total[:, CLASSES:].reshape(-1, CLASSES, MEMBERS))
-
-
-def log_probabilities(history: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(histories, OUTCOMES) natural log probabilities."""
-    groups, members = factors(feature_rows(history), weights)
-    return (groups[:, :, None] + members).reshape(-1, OUTCOMES)
-
-
-def feature_counts(history: np.ndarray, outcome: np.ndarray, n: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
-    """How often each feature meets each class and member, as the weights are laid out.
-
-    Without ``weights`` as observed; with them as the model expects it, classes
-    from the histories' totals and members from the observed classes.  The
-    gradient of the negative log likelihood is the expected less the observed.
-    """
-    out = np.zeros((ROWS, CLASSES + OUTCOMES))
-    for low in range(0, len(history), 1 << 16):
-        part = slice(low, low + (1 << 16))
-        own, where = np.unique(history[part], return_inverse=True)
-        for start in range(0, len(own), 4096):
-            inside = (where >= start) & (where < start + 4096)
-            some = own[start : start + 4096]
-            seen = np.zeros((len(some), OUTCOMES))
-            np.add.at(seen, (where[inside] - start, outcome[part][inside]), n[part][inside])
-            rows = feature_rows(some)
-            by_class = seen.reshape(-1, CLASSES, MEMBERS).sum(-1)
-            if weights is None:
-                counts = np.concatenate([by_class, seen], 1)
-            else:
-                groups, members = factors(rows, weights)
-                counts = np.concatenate([by_class.sum(-1, keepdims=True) * np.exp(groups), (by_class[:, :, None] * np.exp(members)).reshape(-1, OUTCOMES)], 1)
-            out[0] += counts.sum(0)
-            for k in range(1, FEATURES):
-                order = np.argsort(rows[:, k], kind="stable")
-                row, first = np.unique(rows[order, k], return_index=True)
-                out[row] += np.add.reduceat(counts[order], first, axis=0)
+    return _log_softmax(total)
+
+
+def log_probabilities(features: np.ndarray, outcome: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural log probability of each outcome after its history."""
+    side = weights.shape[1]
+    out = np.empty(len(outcome))
+    for low in range(0, len(outcome), BATCH):
+        part = slice(low, low + BATCH)
+        group, member = np.divmod(outcome[part], side)
+        at = np.arange(len(group))
+        classes = decisions(weights, slots(features[part], np.zeros_like(group), side))
+        members = decisions(weights, slots(features[part], 1 + group, side))
+        out[part] = classes[at, group].astype(np.float64) + members[at, member]
     return out
 
 
-def summed_counts(counts: DataFrame, weights: np.ndarray | None) -> np.ndarray:
-    """``feature_counts`` of a distributed count table, added up block by block."""
-    shared = counts.sparkSession.sparkContext.broadcast(weights)
-    width = ROWS // BLOCKS
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((ROWS, CLASSES + OUTCOMES))
-        for batch in batches:
-            total += feature_counts(*(batch.column(c).to_numpy() for c in range(3)), shared.value)
-        blocks = [total[k * width : (k + 1) * width].astype(np.float32).tobytes() for k in range(BLOCKS)]
-        yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sum"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column(1))
-        return pa.table({"block": table.column(0).slice(0, 1), "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    parts = counts.select("history", "outcome", "n").coalesce(SUM_TASKS).mapInArrow(part, "block int, sum binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block int, sum binary").collect()
-    shared.unpersist()
-    if not rows:
-        return np.zeros((ROWS, CLASSES + OUTCOMES))
-    return np.concatenate([np.frombuffer(r["sum"], np.float32).astype(np.float64).reshape(width, -1) for r in sorted(rows, key=lambda r: r["block"])])
+def gradients(weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots that some decisions meet, how often, and the gradient of the negative log likelihood there."""
+    error = np.exp(decisions(weights, rows))
+    error[np.arange(len(chosen)), chosen] -= 1
+    flat = rows.ravel()
+    order = np.argsort(flat)
+    own = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.diff(np.append(first, len(own))), np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
+
+
+class Learner:
+    """Weights that one task moves: steps shrink with the squares of the gradients a slot has seen."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.copy()
+        self.squares = np.ones(len(weights), np.float32)
+        self.times = np.zeros(len(weights), np.float32)
+
+    def learn(self, features: np.ndarray, outcome: np.ndarray) -> None:
+        side = self.weights.shape[1]
+        for low in range(0, len(outcome), BATCH):
+            part = slice(low, low + BATCH)
+            group, member = np.divmod(outcome[part], side)
+            for node, chosen in ((np.zeros_like(group), group), (1 + group, member)):
+                row, times, step = gradients(self.weights, slots(features[part], node, side), chosen)
+                self.squares[row] += (step * step).max(axis=1)
+                self.times[row] += times
+                self.weights[row] -= RATE * step / np.sqrt(self.squares[row])[:, None]
+
+
+def start_weights(times: np.ndarray, side: int) -> np.ndarray:
+    """Biases from the outcomes' frequencies, zero elsewhere."""
+    weights = np.zeros((SLOTS * side, side), np.float32)
+    share = np.ones(side * side)
+    share[: len(times)] += times
+    share = share.reshape(side, side)
+    weights[0] = np.log(share.sum(1) / share.sum())
+    weights[1 : side + 1] = np.log(share / share.sum(1, keepdims=True))
+    return weights
 
 
-def train(counts: DataFrame, updates: int = UPDATES) -> np.ndarray:
-    """Weights (ROWS, CLASSES + OUTCOMES) fitted to counts (history, outcome, n).
+def train(training: DataFrame, text: str, head: np.ndarray, times: np.ndarray, side: int) -> np.ndarray:
+    """Weights (SLOTS * side, side) fitted to all training texts; ``times`` counts the head's outcomes and the shared one."""
+    spark = training.sparkSession
+    weights = start_weights(times, side)
+    width = PART_BYTES // weights[0].nbytes
+    blocks = len(weights) // width
+    turn = F.pmod(F.xxhash64(text), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(weights)
 
-    They start from the outcomes' frequencies.  Each update moves every weight by
-    its share of the log ratio of observed to expected counts, the gradient's
-    direction with steps that can't overshoot; ``PRIOR`` counts on either side
-    keep rare features near zero.
-    """
-    weights = np.zeros((ROWS, CLASSES + OUTCOMES), np.float32)
-    observed = summed_counts(counts, None)
-    totals = observed[0, CLASSES:] + 1.0
-    weights[0, :CLASSES] = np.log(totals.reshape(CLASSES, MEMBERS).sum(1) / totals.sum())
-    weights[0, CLASSES:] = np.log(totals)
-    for _ in range(updates):
-        expected = summed_counts(counts, weights)
-        weights += (np.log((observed + PRIOR) / (expected + PRIOR)) / FEATURES).astype(np.float32)
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, learner = outcome_table(head), None
+            for batch in batches:
+                for _, _, tokens, first in _token_slices(batch.column(0)):
+                    outcome = table.find(tokens).astype(np.int64)
+                    outcome[outcome < 0] = len(head)
+                    learner = learner or Learner(shared.value)
+                    learner.learn(contexts(tokens, first), outcome)
+            if learner is None:
+                return
+            for b in range(blocks):
+                part = slice(b * width, (b + 1) * width)
+                times = learner.times[part]
+                moved = (learner.weights[part] - shared.value[part]) * times[:, None]
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([moved.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], ["block", "moved", "times"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for b, *parts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    parts = [np.frombuffer(x, np.float32) for x in parts]
+                    sums[b] = [x + y for x, y in zip(sums[b], parts)] if b in sums else parts
+            for b, parts in sums.items():
+                yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["block", "moved", "times"])
+
+        schema = "block int, moved binary, times binary"
+        # One task for each core: every task sends its weights, whatever the number of its texts.
+        texts = training.filter(F.coalesce(turn, F.lit(0)) == k).select(text).coalesce(spark.sparkContext.defaultParallelism)
+        rows = texts.mapInArrow(learn, schema).repartition(SUM_TASKS, "block").mapInArrow(add, schema).collect()
+        for r in rows:
+            part = slice(r["block"] * width, (r["block"] + 1) * width)
+            met = np.maximum(np.frombuffer(r["times"], np.float32), 1.0)[:, None]
+            weights[part] += np.frombuffer(r["moved"], np.float32).reshape(width, side) / met
+        shared.unpersist()
     return weights
 
 
@@ -237,27 +274,14 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     words, times = (top.column(c).to_numpy().astype(np.int64) for c in (0, 1))
     order = np.lexsort((words, -times))
     words, times = words[order].view(np.uint64), times[order]
-    head = words[: OUTCOMES - 1]
+    side = side_of(n_words)
+    head = words[: side * side - 1]
     # All other words share one outcome; its smoothed words include one that stands for any unknown.
     other = len(head)
     rest_total = n_train - int(times[: len(head)].sum())
     rest_words = n_words - len(head)
     rest_size = float(rest_total + rest_words + 1)
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = outcome_table(head)
-
-        def keys() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for _, _, tokens, first in _token_slices(batch.column(0)):
-                    outcome, history = histories(tokens, first, table, other)
-                    yield history * OUTCOMES + outcome
-
-        yield from _counted(keys(), ["key", "n"])
-
-    seen = training.select(text).mapInArrow(contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    seen = seen.select(F.expr(f"key div {OUTCOMES}").alias("history"), F.expr(f"key % {OUTCOMES}").alias("outcome"), "n")
-    weights = train(stage(seen, "histories"))
+    weights = train(training, text, head, np.append(times[: len(head)], rest_total), side)
     shared = spark.sparkContext.broadcast((words, times, weights))
     number = uuid.uuid4().hex  # an address could be used again
 
@@ -272,15 +296,9 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
                 known = place >= 0
                 base = np.zeros(len(tokens))
                 base[known] = logs[place[known]]
-                outcome, history = histories(tokens, first, outcomes, other)
-                own, where = np.unique(history, return_inverse=True)
-                score = np.empty(len(tokens))
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(0, len(own) + 4096, 4096))
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    some = order[a:b]
-                    table = log_probabilities(own[4096 * k : 4096 * (k + 1)], weights)
-                    score[some] = table[where[some] - 4096 * k, outcome[some]]
+                outcome = outcomes.find(tokens).astype(np.int64)
+                outcome[outcome < 0] = other
+                score = log_probabilities(contexts(tokens, first), outcome, weights)
                 score /= np.log(10.0)
                 shares = outcome == other
                 score[shares] += base[shares] - np.log10(rest_size)

@@ -465,17 +465,41 @@ def test_lm_scores(docs, empty):
 
 def test_lm_probabilities_add_up_and_gradient_is_exact():
     draw = np.random.default_rng(3)
-    weights = draw.normal(size=(lm.ROWS, lm.CLASSES + lm.OUTCOMES)).astype(np.float32)
-    history = draw.integers(0, (lm.OUTCOMES + 1) ** 2, 40)
-    assert np.allclose(np.exp(lm.log_probabilities(history, weights)).sum(1), 1, atol=1e-4)
-    outcome, n = draw.integers(0, lm.OUTCOMES, 40), draw.integers(1, 9, 40)
-    weights = weights.astype(np.float64)
-    loss = lambda w: -(lm.log_probabilities(history, w)[np.arange(40), outcome] * n).sum()
-    step = lm.feature_counts(history, outcome, n, weights) - lm.feature_counts(history, outcome, n, None)
-    for row, column in [(0, 3), (0, 100), *zip(lm.feature_rows(history)[:5, 2], [1, 40, 80, 200, 270])]:
-        moved = weights.copy()
-        moved[row, column] += 1e-4
-        assert abs((loss(moved) - loss(weights)) / 1e-4 - step[row, column]) < 1e-2 * (1 + abs(step[row, column]))
+    side = 16
+    weights = draw.normal(size=(lm.SLOTS * side, side))
+    features = draw.integers(0, 1 << 60, (40, lm.FEATURES)).astype(np.uint64)
+    every = np.arange(side * side)
+    for f in features[:3]:
+        total = np.exp(lm.log_probabilities(np.tile(f, (side * side, 1)), every, weights)).sum()
+        assert abs(total - 1) < 1e-9
+    outcome = draw.integers(0, side * side, 40)
+    loss = lambda w: -lm.log_probabilities(features, outcome, w).sum()
+    for node, chosen in ((np.zeros(40, np.int64), outcome // side), (1 + outcome // side, outcome % side)):
+        row, times, step = lm.gradients(weights, lm.slots(features, node, side), chosen)
+        assert times.sum() == 40 * (lm.FEATURES + 1)
+        for k in (0, len(row) // 2, len(row) - 1):
+            moved = weights.copy()
+            moved[row[k], 5] += 1e-5
+            assert abs((loss(moved) - loss(weights)) / 1e-5 - step[k, 5]) < 1e-3
+
+
+def test_lm_histories_stay_inside_their_text():
+    tokens = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
+    found = lm.contexts(tokens, np.array([0, 3, 4, 7]))
+    alone = [lm.contexts(tokens[a:b], np.array([0, b - a])) for a, b in ((0, 3), (3, 4), (4, 7))]
+    assert np.array_equal(found, np.concatenate(alone))
+
+
+def test_lm_size_grows_with_the_words():
+    assert [lm.side_of(n) for n in (0, 4096, 4097, 60_000, 1_000_000)] == [16, 16, 32, 32, 64]
+
+
+def test_lm_learns_which_word_follows(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[(k + j) % 40] for j in range(200)) for k in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    total = lm.score_texts(docs, F.col("doc_id") % 5 == 0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert total[0] > 0.25 * total[1]
 
 
 def test_chat_round_trip(spark):
