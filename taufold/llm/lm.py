@@ -34,7 +34,7 @@ from taufold.sources.stage import stage
 #: Hashed features of a history beside the bias.
 FEATURES = 3
 #: Slots for each class; a slot is one row of weights, as wide as there are classes.
-SLOTS = 1024
+SLOTS = 2048
 #: Rounds of gradient updates; each is over its own share of the training texts.
 ROUNDS = 4
 #: Tokens of one gradient update.
@@ -42,7 +42,7 @@ BATCH = 8192
 RATE = 0.3
 #: Weights travel in parts of so many bytes (changes at half precision), summed by SUM_TASKS tasks one after the other.
 PART_BYTES = 1 << 15
-SUM_TASKS = 32
+SUM_TASKS = 8
 #: Words of a task that are counted together before they are sent.
 COUNTED = 1 << 22
 #: Commonest words whose counts are broadcast, at 16 bytes each; counts of other words meet them in a join.
@@ -88,13 +88,13 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def side_of(n_words: int) -> int:
-    """Classes, and outcomes of each: 2 to 4 times the fourth root of the distinct words, a power of two from 16 on.
+    """Classes, and outcomes of each: the fourth root of the distinct words, or up to twice that; a power of two from 16 on.
 
     The weights are SLOTS * side**2 numbers, so they grow with the square root of the
-    words: 4 MB at 60,000, 17 MB at a million, 268 MB at 250 million.
+    words: 2 MB at 60,000, 8 MB at a million, 134 MB at 250 million.
     """
     side = 16
-    while side**4 < 16 * n_words:
+    while side**4 < n_words:
         side *= 2
     return side
 
@@ -133,12 +133,29 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def decisions(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of every choice of some decisions."""
+def _totals_of(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     total = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         total += weights[rows[:, k]]
-    return _log_softmax(total)
+    return total
+
+
+def decisions(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of every choice of some decisions."""
+    return _log_softmax(_totals_of(weights, rows))
+
+
+def _segment_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` over segments that start at ``first`` and are ``times`` long; most are short."""
+    out = values[at[first]]
+    for k in range(1, 4):
+        longer = np.flatnonzero((times > k) & (times <= 4))
+        out[longer] += values[at[first[longer] + k]]
+    long = times > 4
+    if long.any():
+        sizes = times[long]
+        out[long] = np.add.reduceat(values[at[np.repeat(long, times)]], np.cumsum(sizes) - sizes, axis=0)
+    return out
 
 
 def log_probabilities(features: np.ndarray, outcome: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -157,13 +174,17 @@ def log_probabilities(features: np.ndarray, outcome: np.ndarray, weights: np.nda
 
 def gradients(weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots that some decisions meet, how often, and the gradient of the negative log likelihood there."""
-    error = np.exp(decisions(weights, rows))
+    error = _totals_of(weights, rows)
+    error -= error.max(-1, keepdims=True)
+    np.exp(error, out=error)
+    error /= error.sum(-1, keepdims=True)
     error[np.arange(len(chosen)), chosen] -= 1
     flat = rows.ravel()
     order = np.argsort(flat)
     own = flat[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[first], np.diff(np.append(first, len(own))), np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
+    times = np.diff(np.append(first, len(own)))
+    return own[first], times, _segment_sums(error, order // rows.shape[1], first, times)
 
 
 class Learner:
@@ -183,7 +204,8 @@ class Learner:
                 row, times, step = gradients(self.weights, slots(features[part], node, side), chosen)
                 self.squares[row] += (step * step).max(axis=1)
                 self.times[row] += times
-                self.weights[row] -= RATE * step / np.sqrt(self.squares[row])[:, None]
+                step *= (RATE / np.sqrt(self.squares[row]))[:, None]
+                self.weights[row] -= step
 
 
 def start_weights(times: np.ndarray, side: int) -> np.ndarray:

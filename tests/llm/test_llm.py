@@ -491,7 +491,7 @@ def test_lm_histories_stay_inside_their_text():
 
 
 def test_lm_size_grows_with_the_words():
-    assert [lm.side_of(n) for n in (0, 4096, 4097, 60_000, 1_000_000)] == [16, 16, 32, 32, 64]
+    assert [lm.side_of(n) for n in (0, 65_536, 65_537, 1_000_000, 2_000_000)] == [16, 16, 32, 32, 64]
 
 
 def test_lm_learns_which_word_follows(spark):
