@@ -8,6 +8,7 @@ from taufold.functions import labels as L
 from taufold.functions import text as X
 from taufold.operators import encode as E
 from taufold.operators import impute as I
+from taufold.operators import merge as M
 from taufold.operators.split import fold_of, train_flag, with_stratified_folds
 from taufold.plans import prepare as P
 from taufold.queries.fixtures import (
@@ -365,6 +366,21 @@ def merge_on_key(spark, sf):
     return P.merge_keep_right(left, df.select("unit_id", "weights", "arm"), "unit_id")
 
 
+@query(
+    "F1",
+    "unit_id:i, n_rows:i, quantity:i, weighted:i",
+    """SELECT o.o_orderkey AS unit_id, count(*) AS n_rows, sum(l.l_quantity) AS quantity, sum(l.l_quantity * r.l_linenumber) AS weighted
+    FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN lineitem r ON r.l_orderkey = l.l_orderkey GROUP BY 1""",
+)
+def merge_on_repeated_key(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "unit_id")
+    units = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"))
+    left = M.merge_fan_out(units, lines.select("unit_id", "l_quantity", F.lit(0).alias("l_linenumber")), "unit_id")
+    merged = M.merge_fan_out(left, lines.select("unit_id", "l_linenumber"), "unit_id")
+    weighted = F.sum(F.col("l_quantity") * F.col("l_linenumber"))
+    return merged.groupBy("unit_id").agg(F.count("*").alias("n_rows"), F.sum("l_quantity").alias("quantity"), weighted.alias("weighted"))
+
+
 @query(
     "E5",
     "key:i, l_returnflag_N:i, l_returnflag_R:i",
