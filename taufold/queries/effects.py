@@ -405,29 +405,39 @@ def projection_summary(spark, sf):
     return O.projection_by_covariate(fit.table(df, digits=5), pre.bases)
 
 
+def _level_fit_sql(name: str, first: str) -> str:
+    """Terms of a regression on one covariate's flags without the first: differences of group means, with HC3 errors."""
+    return f"""{name}_g AS (SELECT {name} AS level, count(*)::DOUBLE AS n, avg(cate) AS m FROM x GROUP BY 1),
+    {name}_v AS (SELECT level, any_value(m) AS m, sum(pow((cate - m) / (1 - 1 / n), 2)) / (any_value(n) * any_value(n)) AS v
+      FROM x JOIN {name}_g ON {name} = level GROUP BY level),
+    {name}_t AS (SELECT '{name}' AS covariate, l.m - f.m AS estimate, sqrt(l.v + f.v) AS std_error
+      FROM {name}_v l, {name}_v f WHERE l.level <> '{first}' AND f.level = '{first}')"""
+
+
+# Each covariate's own projection, so that every term has a closed form.
 @query(
     "G18 K17 E10 C21",
     "covariate:s, estimate:d, std_error:d, min_p:d, stars:s",
-    """WITH t AS (SELECT r_name AS covariate, n_nationkey / 10.0 AS estimate, (n_nationkey + 1) / 20.0 AS std_error,
-        exp(-n_nationkey / 3.0) AS p FROM nation JOIN region ON n_regionkey = r_regionkey),
+    f"""WITH {SCORED}, x AS (SELECT cate, segment, CASE WHEN bal < 2000 THEN 'a' WHEN bal < 5000 THEN 'b' ELSE 'c' END AS balance FROM scored),
+    {_level_fit_sql("segment", "AUTOMOBILE")}, {_level_fit_sql("balance", "a")},
+    t AS (SELECT *, 2 * {tail_sql("(estimate / std_error)")} AS p FROM (SELECT * FROM segment_t UNION ALL SELECT * FROM balance_t) u),
     g AS (SELECT covariate, avg(estimate) AS estimate, avg(std_error) AS std_error, min(p) AS min_p FROM t GROUP BY covariate)
     SELECT *, CASE WHEN min_p < 0.001 THEN '***' WHEN min_p < 0.01 THEN '**' WHEN min_p < 0.05 THEN '*' WHEN min_p < 0.1 THEN '.' ELSE '' END AS stars
     FROM g WHERE min_p < 0.05""",
 )
 def significant_covariates(spark, sf):
-    from taufold.operators.encode import base_of
-
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    named = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    table_ = named.select(
-        F.concat_ws("_", "r_name", "n_name").alias("term"),
-        (F.col("n_nationkey") / 10).alias("estimate"),
-        ((F.col("n_nationkey") + 1) / 20).alias("std_error"),
-        F.exp(-F.col("n_nationkey") / 3).alias("p_value"),
-    )
-    bases = [r["r_name"] for r in region.collect()]
-    terms = {r["term"]: base_of(r["term"], bases) for r in table_.select("term").collect()}
-    return O.significant_only(O.projection_by_covariate(table_, terms))
+    from taufold.operators.encode import base_of, levels, one_hot_columns, one_hot_names
+
+    balance = F.when(F.col("bal") < 2000, "a").when(F.col("bal") < 5000, "b").otherwise("c").alias("balance")
+    data = stage(scored(spark, sf).select("cate", "segment", balance), "significant")
+    known = levels(data, ["segment", "balance"])
+    tables = []
+    for base in known:
+        flags = one_hot_names({base: known[base]}, drop_first=True)
+        wide = data.select("cate", *one_hot_columns({base: known[base]}, drop_first=True))
+        tables.append(O.fit_ols(wide, "cate", list(flags)).table(data))
+    terms = one_hot_names(known, drop_first=True)
+    return O.significant_only(O.projection_by_covariate(tables[0].unionByName(tables[1]), {t: base_of(t, list(known)) for t in terms}))
 
 
 @query(
