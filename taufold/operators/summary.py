@@ -140,3 +140,17 @@ def term_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame
     counted = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
     ordered = counted.orderBy(F.desc("frequency"), "term")
     return ordered.limit(top) if top else ordered
+
+
+def distinct_sketches(df: DataFrame, column: str, by: Sequence[str], log_size: int = 12) -> DataFrame:
+    """(by..., sketch): a mergeable sketch of each group's distinct values, of 2**log_size registers at most.
+
+    Store it once and merge it with later ones; the rows are not read again.
+    NULL is not counted.  The relative error is about 1.04 / sqrt(2**log_size).
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, log_size).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., estimate): distinct values of the union of stored sketches."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

@@ -11,6 +11,7 @@ from taufold.plans.prepare import group_records, label_records
 from taufold.functions.values import AGE_LABELS
 from taufold.queries.fixtures import AS_OF, COHORT, GROUPS, SCORED, cohort, records, scored, table
 from taufold.queries.registry import query
+from taufold.sources.stage import stage
 
 AGE_LABEL_SQL = ", ".join(f"'{v}'" for v in AGE_LABELS)
 
@@ -247,3 +248,18 @@ def top_tenth_subgroups(spark, sf):
 )
 def highest_prices(spark, sf):
     return cohort(spark, sf).select("unit_id", "price").orderBy(F.desc("price"), "unit_id").limit(20)
+
+
+# Sketches of (status, priority) are stored, then merged by status; four standard errors around the exact count.
+@query(
+    "G5",
+    "status:s, n_distinct:i, within:b",
+    "SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS n_distinct, true AS within FROM orders GROUP BY 1",
+)
+def merged_distinct_counts(spark, sf):
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status")
+    stored = stage(G.distinct_sketches(orders, "o_custkey", ["status", "o_orderpriority"]), "sketches")
+    exact = orders.groupBy("status").agg(F.count_distinct("o_custkey").alias("n_distinct"))
+    found = exact.join(G.merged_distinct(stored, ["status"]), "status")
+    gap = F.abs(F.col("estimate") - F.col("n_distinct"))
+    return found.select("status", "n_distinct", (gap <= 4 * 1.04 / 64 * F.col("n_distinct")).alias("within"))

@@ -452,3 +452,14 @@ def test_least_squares_matches_numpy_for_large_means(spark):
     beta, squared = np.linalg.lstsq(design, y - 1e8, rcond=None)[:2]
     assert fit.estimate == pytest.approx(beta + [1e8, 0, 0], rel=1e-6)
     assert fit.r_squared == pytest.approx(1 - squared[0] / ((y - y.mean()) ** 2).sum(), rel=1e-6)
+
+
+def test_merged_sketches_equal_one_sketch_of_all(spark):
+    from taufold.operators.summary import distinct_sketches, merged_distinct
+
+    rows = [(k % 3, k % 700 if k % 11 else None) for k in range(5000)]
+    df = spark.createDataFrame(rows, "part int, v int")
+    merged = merged_distinct(distinct_sketches(df, "v", ["part"]), []).first()[0]
+    assert abs(merged - 700) <= 4 * 1.04 / 64 * 700
+    assert merged == merged_distinct(distinct_sketches(df, "v", []), []).first()[0]
+    assert merged_distinct(distinct_sketches(df.filter("v IS NULL"), "v", []), []).first()[0] == 0
