@@ -1,9 +1,9 @@
-"""Least squares on any number of units: the cross products are the only thing collected."""
+"""Least squares on any number of units: one triangular factor is the only thing collected."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,129 +16,154 @@ from taufold.functions.labels import at_least, is_finite, round_even, stars
 from taufold.functions.numeric import student_two_sided, two_sided_p
 from taufold.functions.values import SIGNIFICANCE
 
-MAX_TERMS = 2000
+#: Scaled singular values below this share of the largest count as zero.
+RANK_LIMIT = 1e-9
+#: Factors merged by one task of the last level.
+LAST_FAN = 32
 
 
-def _cross_products(df: DataFrame, columns: Sequence[str], rows_to_product) -> np.ndarray:
-    """Sum over all batches of ``rows_to_product(matrix)``, added up by Spark.
+def _factor(width: int, rows_of: Callable[[np.ndarray], np.ndarray]):
+    """A task's work: the triangular factor of all rows it sees, batch after batch, as rows of numbers."""
 
-    Each task sends one k x k matrix as rows (i, j, v); k is the number of
-    covariates, so neither the shuffle nor the collected result grows with units.
-    """
-    k_out: list[int] = []
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = None
         for batch in batches:
-            matrix = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            part = rows_to_product(matrix)
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.triu_indices(len(total))  # products are symmetric: one triangle is enough
-            total = total[i, j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())],
-                names=["i", "j", "v"],
-            )
-
-    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{n}") for n, c in enumerate(columns)])
-    summed = doubles.mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    found = summed.collect()
-    if not found:
-        raise ValueError("no units for the regression")
-    k_out = [max(r["i"] for r in found) + 1, max(r["j"] for r in found) + 1]
-    out = np.zeros(k_out)
-    found = [*found, *({"i": r["j"], "j": r["i"], "v": r["v"]} for r in found)]
-    for r in found:
-        out[r["i"], r["j"]] = r["v"]
-    return out
+            if batch.num_rows == 0:
+                continue
+            matrix = rows_of(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width))
+            factor = np.linalg.qr(matrix if factor is None else np.vstack([factor, matrix]), mode="r")
+        if factor is not None:
+            offsets = pa.array(np.arange(len(factor) + 1) * factor.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(factor.ravel(), pa.float64()))], names=["row"])
+
+    return run
 
 
-def _pseudo_inverse(gram: np.ndarray) -> np.ndarray:
-    """Inverse of X'X, or the minimum-norm pseudo-inverse where columns are dependent.
+def _triangular_factor(df: DataFrame, columns: Sequence[str], rows_of: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """R of the QR factorisation of the matrix that ``rows_of`` makes of all rows of ``columns``.
 
-    The rank is judged on columns scaled to length 1, so that units of
-    measurement do not matter.
+    R has ``width`` columns, however many units there are.  Each task sends its
+    own factor, at most ``width`` rows; factors are stacked and factored again
+    along a tree, so a task holds one factor and one batch.  The driver gets one.
     """
-    length = np.sqrt(np.maximum(np.diag(gram), 0.0))
-    length[length == 0.0] = 1.0
-    scaled = gram / np.outer(length, length)
-    eigen = np.linalg.eigvalsh(scaled)
-    rank = int(np.sum(eigen > 1e-11 * eigen.max()))
-    if rank == len(gram):
-        return np.linalg.inv(scaled) / np.outer(length, length)
-    values, vectors = np.linalg.eigh(gram)
-    kept = np.argsort(values)[::-1][:rank]
-    return (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
+    rows = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("row"))
+    found = rows.mapInArrow(_factor(len(columns), rows_of), "row array<double>")
+    merge = _factor(width, lambda stacked: stacked)
+    part = F.spark_partition_id()
+    for key in (part, part % LAST_FAN, F.lit(0)):
+        dealt = found.withColumn("part", key)
+        found = dealt.repartition("part").select("row").mapInArrow(merge, "row array<double>")
+    factor = np.array([r["row"] for r in found.collect()])
+    if not len(factor):
+        raise ValueError("no units for the regression")
+    return np.vstack([factor, np.zeros((width - len(factor), width))])
 
 
 @dataclass(frozen=True)
 class LinearFit:
+    """``undetermined``: directions (columns) along which the terms may move without changing any fitted value."""
+
     terms: tuple[str, ...]
     estimate: np.ndarray
     std_error: np.ndarray
     n: int
     r_squared: float
+    covariance: np.ndarray
+    undetermined: np.ndarray
 
     def table(self, df: DataFrame, digits: int | None = None) -> DataFrame:
         """(term, estimate, std_error, z_value, p_value, stars): one row per term."""
+        found = zip(self.terms, self.estimate, self.std_error)
+        return self._rows(df, "term", ((name, float(b), float(s)) for name, b, s in found), digits)
+
+    def contrasts(self, df: DataFrame, wanted: Mapping[str, Mapping[str, float]], digits: int | None = None) -> DataFrame:
+        """(contrast, estimate, std_error, z_value, p_value, stars): weighted sums of terms, one row per name.
+
+        All but the name is NULL where dependent columns leave the sum open.
+        """
+        place = {term: k for k, term in enumerate(self.terms)}
         rows = []
-        for name, b, s in zip(self.terms, self.estimate, self.std_error):
-            z = b / s if s > 0 else float("nan")
-            rows.append((name, float(b), float(s), float(z), math.erfc(abs(z) / math.sqrt(2.0))))
-        out = df.sparkSession.createDataFrame(
-            rows, "term string, estimate double, std_error double, z_value double, p_value double"
-        )
+        for name, weights in wanted.items():
+            w = np.zeros(len(self.terms))
+            for term, weight in weights.items():
+                w[place[term]] += weight
+            if np.linalg.norm(w @ self.undetermined) > 1e-7 * np.linalg.norm(w):
+                rows.append((name, None, None))
+            else:
+                rows.append((name, float(w @ self.estimate), float(math.sqrt(max(w @ self.covariance @ w, 0.0)))))
+        return self._rows(df, "contrast", rows, digits)
+
+    def _rows(self, df: DataFrame, label: str, found: Iterable[tuple], digits: int | None) -> DataFrame:
+        rows = []
+        for name, b, s in found:
+            z = None if b is None else b / s if s > 0 else float("nan")
+            rows.append((name, b, s, z, None if z is None else math.erfc(abs(z) / math.sqrt(2.0))))
+        out = df.sparkSession.createDataFrame(rows, f"{label} string, estimate double, std_error double, z_value double, p_value double")
         if digits is not None:
             out = out.withColumns({c: round_even(F.col(c), digits) for c in ("estimate", "std_error", "z_value", "p_value")})
-        return out.withColumn("stars", stars(F.col("p_value")))
+        return out.withColumn("stars", F.when(F.col("p_value").isNotNull(), stars(F.col("p_value"))))
+
+
+def level_contrasts(bases: Mapping[str, str]) -> dict[str, dict[str, float]]:
+    """Each flag of a covariate against the covariate's first flag; ``bases`` gives the covariate of a flag."""
+    first: dict[str, str] = {}
+    wanted = {}
+    for term, covariate in bases.items():
+        if first.setdefault(covariate, term) != term:
+            wanted[f"{term} - {first[covariate]}"] = {term: 1.0, first[covariate]: -1.0}
+    return wanted
 
 
 def fit_ols(df: DataFrame, y: str, x: Sequence[str], robust: str = "HC3") -> LinearFit:
     """OLS of y on a constant and x with HC1, HC3 or plain standard errors.
 
-    Two scans: cross products, then the weighted cross products of the residuals.
+    Two scans: the triangular factor of the design and the outcome, then that of
+    the design weighted by the residuals.  No cross products are formed, so the
+    rank is judged at full precision.  With dependent columns the estimates are
+    the shortest solution; ``contrasts`` gives what the data do tell.  The driver
+    holds a few matrices of terms x terms.
     """
-    if len(x) + 1 > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
     data = df.select(y, *x).dropna()
     # Sums are taken around the mean, or they would cancel where it is large against the spread.
     centre = data.agg(F.avg(y)).first()[0] or 0.0
-    with_one = lambda m: np.column_stack([np.ones(len(m)), m[:, 1:], m[:, 0] - centre])
-    all_products = _cross_products(data, [y, *x], lambda m: with_one(m).T @ with_one(m))
-    gram, moment = all_products[:-1, :-1], all_products[:-1, -1]
-    n = int(round(gram[0, 0]))
-    inverse = _pseudo_inverse(gram)
-    rank = int(round(np.trace(inverse @ gram)))
+    k = len(x) + 1
+
+    def design(m: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(m)), m[:, 1:]])
+
+    factor = _triangular_factor(data, [y, *x], lambda m: np.column_stack([design(m), m[:, 0] - centre]), k + 1)
+    on_x, on_y = factor[:k, :k], factor[:k, k]
+    n = int(round(on_x[0, 0] ** 2))
+    # Rank is judged on columns of length 1, so that units of measurement do not matter.
+    length = np.linalg.norm(on_x, axis=0)
+    scaled = np.linalg.svd(on_x / np.where(length > 0, length, 1.0), compute_uv=False)
+    rank = int(np.sum(scaled > RANK_LIMIT * scaled[0]))
+    left, size, right = np.linalg.svd(on_x)
+    root = right[:rank].T / size[:rank]
     # A singular design's shortest solution depends on the outcome's own level.
-    shift = centre if rank == len(gram) else 0.0
-    beta = inverse @ (moment + (centre - shift) * gram[0])
-
-    def residual_products(m: np.ndarray) -> np.ndarray:
-        design = np.column_stack([np.ones(len(m)), m[:, 1:]])
-        residual = m[:, 0] - shift - design @ beta
-        leverage = ((design @ inverse) * design).sum(1) if robust == "HC3" else 0.0
-        weight = (residual / np.maximum(1.0 - leverage, 1e-12)) ** 2
-        meat = (design * weight[:, None]).T @ design
-        return np.pad(meat, ((0, 1), (0, 1))) + _corner(len(beta), residual)
-
-    products = _cross_products(data, [y, *x], residual_products)
-    meat, squared = products[:-1, :-1], products[-1, -1]
+    shift = centre if rank == k else 0.0
+    beta = root @ (left[:, :rank].T @ (on_y + (centre - shift) * on_x[:, 0]))
+
+    def weighted(m: np.ndarray) -> np.ndarray:
+        own = design(m)
+        residual = m[:, 0] - shift - own @ beta
+        leverage = ((own @ root) ** 2).sum(1) if robust == "HC3" else 0.0
+        weight = residual / np.maximum(1.0 - leverage, 1e-12)
+        return np.column_stack([own * weight[:, None], residual])
+
+    spread = _triangular_factor(data, [y, *x], weighted, k + 1)
     if robust in ("HC1", "HC3"):
         scale = n / (n - rank) if robust == "HC1" else 1.0
-        covariance = scale * inverse @ meat @ inverse
+        half = math.sqrt(scale) * spread[:, :k] @ root @ root.T
     else:
-        covariance = squared / (n - rank) * inverse
-    total = all_products[-1, -1] - moment[0] ** 2 / n
-    error = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+        half = math.sqrt(float(np.sum(spread[:, k] ** 2)) / (n - rank)) * root.T
+    covariance = half.T @ half
+    # The factor's first row belongs to the constant: the rest is the outcome about its mean.
+    total, squared = float(np.sum(factor[1:, k] ** 2)), float(np.sum(spread[:, k] ** 2))
     beta[0] += shift
-    return LinearFit(("const", *x), beta, error, n, float(1.0 - squared / total) if total > 0 else float("nan"))
-
-
-def _corner(k: int, residual: np.ndarray) -> np.ndarray:
-    out = np.zeros((k + 1, k + 1))
-    out[-1, -1] = residual @ residual
-    return out
+    error = np.sqrt(np.diag(covariance))
+    fitted = float(1.0 - squared / total) if total > 0 else float("nan")
+    return LinearFit(("const", *x), beta, error, n, fitted, covariance, right[rank:].T)
 
 
 def projection_by_covariate(table: DataFrame, bases: Mapping[str, str]) -> DataFrame:

@@ -405,6 +405,36 @@ def projection_summary(spark, sf):
     return O.projection_by_covariate(fit.table(df, digits=5), pre.bases)
 
 
+# A constant, all flags of the segments and all flags of their cells: six dependent columns.  Cells of one segment can be
+# compared, as their segment's flag cancels; cells of different segments cannot.
+@query(
+    "K15 K17 C21",
+    "contrast:s, estimate:d, std_error:d, stars:s",
+    f"""WITH {SCORED}, x AS (SELECT cate, segment, CASE WHEN bal < 2000 THEN 'a' WHEN bal < 5000 THEN 'b' ELSE 'c' END AS balance FROM scored),
+    g AS (SELECT segment, balance, count(*)::DOUBLE AS n, avg(cate) AS m FROM x GROUP BY 1, 2),
+    v AS (SELECT segment, balance, any_value(m) AS m, sum(pow((cate - m) / (1 - 1 / n), 2)) / (any_value(n) * any_value(n)) AS v
+      FROM x JOIN g USING (segment, balance) GROUP BY 1, 2),
+    own AS (SELECT 'cell_' || l.segment || '/' || l.balance || ' - cell_' || f.segment || '/' || f.balance AS contrast, l.m - f.m AS estimate,
+      sqrt(l.v + f.v) AS std_error FROM v l JOIN v f ON f.segment = l.segment AND f.balance = 'a' WHERE l.balance <> 'a'),
+    p AS (SELECT *, 2 * {tail_sql("(estimate / std_error)")} AS p FROM own)
+    SELECT contrast, estimate, std_error, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p < 0.1 THEN '.' ELSE '' END AS stars FROM p
+    UNION ALL SELECT 'segment_' || segment || ' - segment_AUTOMOBILE', NULL, NULL, NULL FROM g WHERE segment <> 'AUTOMOBILE' GROUP BY segment""",
+)
+def projection_contrasts(spark, sf):
+    from taufold.operators.encode import levels, one_hot_columns, one_hot_names
+
+    balance = F.when(F.col("bal") < 2000, "a").when(F.col("bal") < 5000, "b").otherwise("c")
+    data = scored(spark, sf).select("cate", "segment", F.concat_ws("/", "segment", balance).alias("cell"))
+    data = stage(data, "contrasts")
+    known = levels(data, ["segment", "cell"])
+    flags = one_hot_names(known)
+    wide = data.select("cate", *one_hot_columns(known))
+    # Cells are compared within their own segment, segments with each other.
+    bases = {flag: flag.split("/")[0] for flag in flags}
+    bases |= {flag: "segment" for flag in flags if flag.startswith("segment_")}
+    return O.fit_ols(wide, "cate", list(flags)).contrasts(data, O.level_contrasts(bases))
+
+
 def _level_fit_sql(name: str, first: str) -> str:
     """Terms of a regression on one covariate's flags without the first: differences of group means, with HC3 errors."""
     return f"""{name}_g AS (SELECT {name} AS level, count(*)::DOUBLE AS n, avg(cate) AS m FROM x GROUP BY 1),

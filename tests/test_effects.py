@@ -97,6 +97,47 @@ def test_hc3_with_all_levels_and_a_constant(spark):
     assert fit.std_error == pytest.approx(se, rel=1e-8)
 
 
+def test_contrasts_of_dependent_columns(spark):
+    rng = np.random.default_rng(4)
+    level = rng.integers(0, 3, 500)
+    flags = (level[:, None] == np.arange(3)).astype(float)
+    y = 1e6 + level + rng.normal(size=500)
+    df = frame(spark, {"y": y, **{f"f_{i}": flags[:, i] for i in range(3)}, "none": np.zeros(500)}).repartition(20)
+    fit = O.fit_ols(df, "y", ["f_0", "f_1", "f_2", "none"])
+    wanted = O.level_contrasts({"f_0": "f", "f_1": "f", "f_2": "f"}) | {"alone": {"f_1": 1.0}, "zero": {"none": 1.0}, "mean": {"const": 1.0, "f_2": 1.0}}
+    got = {r["contrast"]: (r["estimate"], r["std_error"]) for r in fit.contrasts(df, wanted).collect()}
+    means = [y[level == i].mean() for i in range(3)]
+    spread = [((y[level == i] - means[i]) ** 2).sum() / (1 - 1 / (level == i).sum()) ** 2 / (level == i).sum() ** 2 for i in range(3)]
+    assert got["f_1 - f_0"] == pytest.approx((means[1] - means[0], math.sqrt(spread[0] + spread[1])), rel=1e-6)
+    assert got["f_2 - f_0"] == pytest.approx((means[2] - means[0], math.sqrt(spread[0] + spread[2])), rel=1e-6)
+    assert got["mean"] == pytest.approx((means[2], math.sqrt(spread[2])), rel=1e-6)
+    assert got["alone"] == got["zero"] == (None, None)
+
+
+def test_nearly_dependent_columns_keep_their_rank(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=300)
+    b = a + 1e-6 * rng.normal(size=300)  # cross products would lose the difference
+    y = a + rng.normal(size=300)
+    fit = O.fit_ols(frame(spark, {"y": y, "a": a, "b": b}), "y", ["a", "b"])
+    beta, se = hc3(np.column_stack([np.ones(300), a, b]), y)
+    assert fit.undetermined.shape[1] == 0
+    assert fit.estimate == pytest.approx(beta, rel=1e-6)
+    assert fit.std_error == pytest.approx(se, rel=1e-6)
+
+
+def test_more_terms_than_units(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 40))
+    y = rng.normal(size=30)
+    names = [f"x{i}" for i in range(40)]
+    df = frame(spark, {"y": y, **{c: x[:, i] for i, c in enumerate(names)}}).repartition(3)
+    fit = O.fit_ols(df, "y", names)
+    assert fit.estimate == pytest.approx(np.linalg.pinv(np.column_stack([np.ones(30), x])) @ y, rel=1e-6, abs=1e-9)
+    with pytest.raises(ValueError, match="no units"):
+        O.fit_ols(df.filter("false"), "y", names)
+
+
 def test_plain_and_hc1_errors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=200)
