@@ -45,13 +45,26 @@ def test_percentiles_match_numpy(spark, hot):
     assert got[()] == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
 
 
-def test_bits_keep_the_order_of_doubles(spark):
-    edge = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 0.9999999999999999, 1.0000000000000002]
-    edge += [1.7976931348623157e308, float("inf"), *(2.0**k for k in range(-1070, 1020, 37))]
-    values = sorted({s * v for v in edge for s in (1, -1)})
-    found = numbers(spark, values).select("x", Q.ordered_bits(F.col("x")).alias("b")).collect()
-    want = [int(np.float64(abs(r["x"])).view(np.int64)) * (-1 if r["x"] < 0 else 1) for r in found]
-    assert [r["b"] for r in found] == want
+@pytest.mark.parametrize("hot", [0.0, 0.34])
+def test_percentiles_from_narrowed_brackets(spark, monkeypatch, hot):
+    rng = np.random.default_rng(6)
+    values = np.where(rng.random(60000) < hot, 3.25, np.exp(4 * rng.normal(size=60000)))
+    shares = [0, 0.66, 0.33, 0.999]
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)], "g int, x double")
+    monkeypatch.setattr(Q, "PICK_ROWS", 1)
+    monkeypatch.setattr(Q, "SKETCH", 200)
+    got = exact_quantiles(df, "x", shares, by=["g"])
+    for g in (0, 1):
+        assert got[(g,)] == pytest.approx(np.quantile(values[g::2], shares).tolist(), rel=1e-12)
+    assert exact_quantiles(df, "x", shares)[()] == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+
+
+def test_percentiles_missed_by_their_brackets_are_found(spark, monkeypatch):
+    values = np.random.default_rng(7).normal(size=30000)
+    monkeypatch.setattr(Q, "SKETCH", 8)
+    monkeypatch.setattr(Q, "REACH", 1e-6)  # far below the error of such a sketch
+    got = exact_quantiles(numbers(spark, values.tolist()), "x", [0.1, 0.5, 0.9])[()]
+    assert got == pytest.approx(np.quantile(values, [0.1, 0.5, 0.9]).tolist(), rel=1e-12)
 
 
 @pytest.mark.parametrize("size", [9, 260_001])
