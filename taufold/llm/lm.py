@@ -40,6 +40,8 @@ ROUNDS = 4
 #: Tokens of one gradient update.
 BATCH = 8192
 RATE = 0.3
+#: Exponentials of numbers no further apart than this all stay normal in single precision.
+SPAN = 80.0
 #: Weights travel in parts of so many bytes (changes at half precision), summed by SUM_TASKS tasks one after the other.
 PART_BYTES = 1 << 15
 SUM_TASKS = 8
@@ -127,37 +129,49 @@ def slots(features: np.ndarray, node: np.ndarray, side: int) -> np.ndarray:
     return np.concatenate([node[:, None], (hashed % rest).astype(np.int64) + side + 1], axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(-1, keepdims=True))
-    return x
-
-
 def _totals_of(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = weights[rows[:, 0]]
+    """Sums of the rows' weights, shifted so that their exponentials neither overflow nor vanish."""
+    total = weights.take(rows[:, 0], 0)
     for k in range(1, rows.shape[1]):
-        total += weights[rows[:, k]]
+        total += weights.take(rows[:, k], 0)
+    top = total.max(initial=0)
+    # One shift serves all decisions where their exponentials stay inside single precision; else each has its own.
+    total -= top if top - total.min(initial=0) < SPAN else total.max(-1, keepdims=True)
     return total
 
 
-def decisions(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of every choice of some decisions."""
-    return _log_softmax(_totals_of(weights, rows))
+def log_chosen(weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the chosen outcomes of some decisions."""
+    total = _totals_of(weights, rows)
+    own = total[np.arange(len(chosen)), chosen].astype(np.float64)
+    np.exp(total, out=total)
+    return own - np.log(np.einsum("ij->i", total))
 
 
 def _segment_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Sums of ``values[at]`` over segments that start at ``first`` and are ``times`` long; most are short."""
-    out = values[at[first]]
+    out = values.take(at[first], 0)
     for k in range(1, 4):
         longer = np.flatnonzero((times > k) & (times <= 4))
-        out[longer] += values[at[first[longer] + k]]
+        out[longer] = out.take(longer, 0) + values.take(at[first[longer] + k], 0)
     long = times > 4
     if long.any():
         sizes = times[long]
-        out[long] = np.add.reduceat(values[at[np.repeat(long, times)]], np.cumsum(sizes) - sizes, axis=0)
+        out[long] = np.add.reduceat(values.take(at[np.repeat(long, times)], 0), np.cumsum(sizes) - sizes, axis=0)
     return out
 
 
+def _segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows in order, where each begins in ``rows`` sorted, how often it occurs, and the sorted rows' places."""
+    bits = np.uint64(max(1, len(rows) - 1).bit_length())
+    # Row and place sort as one number, much faster than the places alone by their rows.
+    both = (rows.astype(np.uint64) << bits) | np.arange(len(rows), dtype=np.uint64)
+    both.sort()
+    own = (both >> bits).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], first, np.diff(np.append(first, len(own))), (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def log_probabilities(features: np.ndarray, outcome: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Natural log probability of each outcome after its history."""
     side = weights.shape[1]
@@ -165,26 +179,23 @@ def log_probabilities(features: np.ndarray, outcome: np.ndarray, weights: np.nda
     for low in range(0, len(outcome), BATCH):
         part = slice(low, low + BATCH)
         group, member = np.divmod(outcome[part], side)
-        at = np.arange(len(group))
-        classes = decisions(weights, slots(features[part], np.zeros_like(group), side))
-        members = decisions(weights, slots(features[part], 1 + group, side))
-        out[part] = classes[at, group].astype(np.float64) + members[at, member]
+        out[part] = log_chosen(weights, slots(features[part], np.zeros_like(group), side), group)
+        out[part] += log_chosen(weights, slots(features[part], 1 + group, side), member)
     return out
 
 
 def gradients(weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots that some decisions meet, how often, and the gradient of the negative log likelihood there."""
     error = _totals_of(weights, rows)
-    error -= error.max(-1, keepdims=True)
     np.exp(error, out=error)
-    error /= error.sum(-1, keepdims=True)
+    error /= np.einsum("ij->i", error)[:, None]
     error[np.arange(len(chosen)), chosen] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    own = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    times = np.diff(np.append(first, len(own)))
-    return own[first], times, _segment_sums(error, order // rows.shape[1], first, times)
+    # Biases come first among the slots, few and often met; the others are many and mostly met once.
+    node, begin, met, at = _segments(rows[:, 0])
+    biases = np.add.reduceat(error.take(at, 0), begin, axis=0) if len(node) > 1 else error.sum(0, keepdims=True)
+    slot, first, times, at = _segments(rows[:, 1:].ravel())
+    sums = _segment_sums(error, at // (rows.shape[1] - 1), first, times)
+    return np.concatenate([node, slot]), np.concatenate([met, times]), np.concatenate([biases, sums])
 
 
 class Learner:
@@ -192,6 +203,8 @@ class Learner:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.copy()
+        # A slot's weights as one item: whole items are stored much faster than rows of numbers.
+        self.items = self.weights.view(f"V{weights[0].nbytes}").ravel()
         self.squares = np.ones(len(weights), np.float32)
         self.times = np.zeros(len(weights), np.float32)
 
@@ -202,10 +215,11 @@ class Learner:
             group, member = np.divmod(outcome[part], side)
             for node, chosen in ((np.zeros_like(group), group), (1 + group, member)):
                 row, times, step = gradients(self.weights, slots(features[part], node, side), chosen)
-                self.squares[row] += (step * step).max(axis=1)
+                squares = self.squares[row] + np.maximum.reduceat(np.square(step).ravel(), np.arange(0, step.size, side))
+                self.squares[row] = squares
                 self.times[row] += times
-                step *= (RATE / np.sqrt(self.squares[row]))[:, None]
-                self.weights[row] -= step
+                step *= (RATE / np.sqrt(squares))[:, None]
+                self.items[row] = (self.weights.take(row, 0) - step).view(self.items.dtype).ravel()
 
 
 def start_weights(times: np.ndarray, side: int) -> np.ndarray:
@@ -219,6 +233,19 @@ def start_weights(times: np.ndarray, side: int) -> np.ndarray:
     return weights
 
 
+def tasks_of(n_tokens: int, n_weights: int, cores: int) -> int:
+    """Tasks of a round: one for each core, unless that gives a task fewer tokens than it sends weights."""
+    return max(1, min(cores, -(-n_tokens // (ROUNDS * n_weights))))
+
+
+def _move(weights: np.ndarray, sums: pa.Table) -> None:
+    """Add each block's mean change of the tasks that met its slots."""
+    for b, moved, times in zip(sums["block"].to_pylist(), sums["moved"], sums["times"]):
+        met = np.maximum(np.frombuffer(times.as_buffer(), np.float32), 1.0)[:, None]
+        part = slice(b * len(met), (b + 1) * len(met))
+        weights[part] += np.frombuffer(moved.as_buffer(), np.float32).reshape(len(met), -1) / met
+
+
 def train(training: DataFrame, text: str, head: np.ndarray, times: np.ndarray, side: int) -> np.ndarray:
     """Weights (SLOTS * side, side) fitted to all training texts; ``times`` counts the head's outcomes and the shared one."""
     spark = training.sparkSession
@@ -226,6 +253,7 @@ def train(training: DataFrame, text: str, head: np.ndarray, times: np.ndarray, s
     width = PART_BYTES // weights[0].nbytes
     blocks = len(weights) // width
     turn = F.pmod(F.xxhash64(text), F.lit(ROUNDS))
+    tasks = tasks_of(int(times.sum()), weights.size, spark.sparkContext.defaultParallelism)
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -257,14 +285,13 @@ def train(training: DataFrame, text: str, head: np.ndarray, times: np.ndarray, s
                 yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["block", "moved", "times"])
 
         schema = "block int, moved binary, times binary"
-        # One task for each core: every task sends its weights, whatever the number of its texts.
-        texts = training.filter(F.coalesce(turn, F.lit(0)) == k).select(text).coalesce(spark.sparkContext.defaultParallelism)
-        rows = texts.mapInArrow(learn, schema).repartition(SUM_TASKS, "block").mapInArrow(add, schema).collect()
-        for r in rows:
-            part = slice(r["block"] * width, (r["block"] + 1) * width)
-            met = np.maximum(np.frombuffer(r["times"], np.float32), 1.0)[:, None]
-            weights[part] += np.frombuffer(r["moved"], np.float32).reshape(width, side) / met
+        texts = training.filter(F.coalesce(turn, F.lit(0)) == k).select(text).coalesce(tasks)
+        # Arrow spares the driver a row object and several copies of each block.
+        sums = texts.mapInArrow(learn, schema).repartition(SUM_TASKS, "block").mapInArrow(add, schema).toArrow()
+        _move(weights, sums)
+        del sums
         shared.destroy()  # its file too
+        W.release_memory()
     return weights
 
 

@@ -494,6 +494,44 @@ def test_lm_size_grows_with_the_words():
     assert [lm.side_of(n) for n in (0, 65_536, 65_537, 1_000_000, 2_000_000)] == [16, 16, 32, 32, 64]
 
 
+def test_lm_tasks_follow_the_tokens():
+    weights = lm.SLOTS * 32 * 32
+    assert [lm.tasks_of(n * lm.ROUNDS * weights, weights, 6) for n in (0, 1, 2, 6, 100)] == [1, 1, 2, 6, 6]
+    assert lm.tasks_of(lm.ROUNDS * weights + 1, weights, 6) == 2
+
+
+@pytest.mark.parametrize("reach", [1.0, 300.0])
+def test_lm_update_step_equals_a_plain_one(reach):
+    draw = np.random.default_rng(8)
+    side, n = 16, 500
+    weights = (reach * draw.normal(size=(lm.SLOTS * side, side))).astype(np.float32)
+    features = draw.integers(0, 30, (n, lm.FEATURES)).astype(np.uint64)
+    outcome = draw.integers(0, side * side, n)
+    learner, plain = lm.Learner(weights), weights.astype(np.float64)
+    learner.learn(features, outcome)
+    group, member = np.divmod(outcome, side)
+    squares, met = np.ones(len(weights)), np.zeros(len(weights))
+    want = np.zeros(n)
+    for node, chosen in ((0 * group, group), (1 + group, member)):
+        rows = lm.slots(features, node, side)
+        own = weights.astype(np.float64)[rows].sum(axis=1)
+        own -= own.max(axis=1, keepdims=True)
+        want += own[np.arange(n), chosen] - np.log(np.exp(own).sum(axis=1))
+        total = plain[rows].sum(axis=1)
+        error = np.exp(total - total.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(n), chosen] -= 1
+        step = np.zeros_like(plain)
+        np.add.at(step, rows, error[:, None, :])
+        np.add.at(met, rows, 1)
+        squares += (step * step).max(axis=1)
+        plain -= lm.RATE * step / np.sqrt(squares)[:, None]
+    assert np.array_equal(learner.times, met)
+    assert np.allclose(learner.weights, plain, atol=1e-3 * reach)
+    found = lm.log_probabilities(features, outcome, weights)
+    assert np.isfinite(found).all() and np.allclose(found, want, rtol=1e-4, atol=1e-4 * reach)
+
+
 def test_lm_learns_which_word_follows(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[(k + j) % 40] for j in range(200)) for k in range(400)]
