@@ -111,6 +111,22 @@ def test_effect_trees_equal_plain_ones(units, data):
     assert np.unique(predict(trees, x)).size > 5
 
 
+def test_trees_share_moments_until_their_splits_differ(units, data, monkeypatch):
+    x, t, y = data
+    cuts = H.feature_cuts(units, "x")
+    table = table_of(units, cuts, [1], [F.col("y")])
+    asked, level = [], H._level
+    monkeypatch.setattr(H, "_level", lambda *a: asked.append(len(a[2])) or level(*a))
+    specs = [H.TreeSpec(max_depth=d, min_leaf=m) for d in (1, 2, 4) for m in (1, 150)]
+    trees = H.grow(table, specs, cuts)
+    assert asked[0] == 1 and all(n <= 2 ** (k + 1) for k, n in enumerate(asked))
+    for k, s in enumerate(specs):
+        tree = plain_tree(x, y, np.ones(N), np.ones(N), s.max_depth, s.min_leaf)
+        np.testing.assert_allclose(predict(trees, x, k)[:, 0], [tree(row) for row in x], rtol=1e-9)
+    twins = H.grow(table, [*specs[2:], specs[2]], cuts).alike()
+    assert twins[-1] == 0 and len(set(twins.tolist())) > 2
+
+
 def test_cuts_of_many_values_missing_values_and_empty_tables(spark):
     rows = [(k, [float(k), float(k % 2), float("nan") if k % 5 == 0 else 1.0]) for k in range(1000)]
     df = spark.createDataFrame(rows, "unit_id long, x array<double>")
