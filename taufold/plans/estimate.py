@@ -77,6 +77,8 @@ def estimate_effects(
         treatment_model or LogisticRegression(featuresCol="features", maxIter=1000),
         weight="weights",
     )
+    # Tuning and the forest both read them; the nuisances should score the units once.
+    targets = stage(targets, "targets")
     if grid:
         best = tune_forest(targets, roles.unit_id, roles.treatment, roles.outcome, grid).first()
         params = grid[best["point"]]

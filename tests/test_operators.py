@@ -476,3 +476,20 @@ def test_merged_sketches_equal_one_sketch_of_all(spark):
     assert abs(merged - 700) <= 4 * 1.04 / 64 * 700
     assert merged == merged_distinct(distinct_sketches(df, "v", []), []).first()[0]
     assert merged_distinct(distinct_sketches(df.filter("v IS NULL"), "v", []), []).first()[0] == 0
+
+
+def test_balance_is_one_aggregation_however_many_covariates(spark):
+    names = [f"c{k}" for k in range(120)]
+    df = spark.range(40).select((F.col("id") % 3).cast("int").alias("t"), *[(F.col("id") * (k + 1) % 7).cast("double").alias(c) for k, c in enumerate(names)])
+    smd = B.smd_table(df.withColumn("c5", F.lit(None).cast("double")), "t", names[:60], names[60:])
+    assert smd._jdf.queryExecution().optimizedPlan().toString().count("avg(") == 1
+    got = {r["covariate"]: r["smd"] for r in smd.collect()}
+    x = np.array([[k * (j + 1) % 7 for j in range(120)] for k in range(40)], float)
+    treated, control = x[np.arange(40) % 3 == 1], x[np.arange(40) % 3 == 0]
+    gap = np.abs(treated.mean(axis=0) - control.mean(axis=0))
+    pooled = np.sqrt((treated.var(axis=0, ddof=1) + control.var(axis=0, ddof=1)) / 2)
+    want = np.where(pooled > 0, gap / np.where(pooled > 0, pooled, 1), 0.0)
+    want[60:], want[5] = gap[60:], 0.0
+    assert len(got) == 120 and [got[c] for c in names] == pytest.approx(want.tolist())
+    none = {r["covariate"]: r["smd"] for r in B.smd_table(df.filter("t = 1"), "t", ["c1"], ["c2"]).collect()}
+    assert none == {"c1": 0.0, "c2": None}
