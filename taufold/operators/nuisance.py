@@ -2,6 +2,8 @@
 
 The staged table is partitioned by fold, so that fitting on "all but f" and
 scoring "f" prune directories: scoring all folds reads the table once in total.
+It is partitioned by arm too, unless there are many: an arm's model, whose fit
+takes several scans, reads the files of its arm alone.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from taufold.operators.fitting import fit_all
 from taufold.sources.stage import stage
 
 
+#: More arms than this would leave too many small files.
+ARM_FOLDERS = 16
+
+
 def mu_names(arms: Sequence[int]) -> list[str]:
     return [f"mu{k}" for k in range(len(arms))]
 
@@ -28,7 +34,11 @@ def e_names(arms: Sequence[int]) -> list[str]:
     return [f"e{k}" for k in range(len(arms))]
 
 
-def _with_position(df: DataFrame, treatment: str, arms: Sequence[int]) -> DataFrame:
+def arm_folders(arms: Sequence) -> tuple[str, ...]:
+    return ("_position",) if len(arms) <= ARM_FOLDERS else ()
+
+
+def with_position(df: DataFrame, treatment: str, arms: Sequence) -> DataFrame:
     """Arm position 0..K as the class label, whatever the arm values are."""
     position = first_match((F.col(treatment) == arm, float(k)) for k, arm in enumerate(arms))
     return df.withColumn("_position", position)
@@ -66,7 +76,7 @@ def fit_predict(
     propensity: Estimator,
 ) -> DataFrame:
     """Models from the training units, predictions mu0.. and e0.. for the validation units."""
-    labelled = stage(_with_position(train, treatment, arms), "nuisance-train")
+    labelled = stage(with_position(train, treatment, arms), "nuisance-train", partition_by=arm_folders(arms))
     return _score(val, fit_all(_jobs(labelled, outcome, arms, regression, propensity)), arms)
 
 
@@ -82,9 +92,9 @@ def cross_fit(
 ) -> DataFrame:
     """Each unit is scored by models that did not see its fold: adds mu0.. and e0.. columns."""
     # Rows of a fold meet before the write, so a fold is a few files and not one of every task.
-    placed = _with_position(df, treatment, arms)
+    placed = with_position(df, treatment, arms)
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != fold and isinstance(df.schema[c].dataType, T.AtomicType)]), F.lit(16))
-    staged = stage(placed.repartition(fold, spread), "folds", partition_by=(fold,))
+    staged = stage(placed.repartition(fold, spread), "folds", partition_by=(fold, *arm_folders(arms)))
     stray = staged.filter(F.col(fold).isNull() | ~F.col(fold).between(0, folds - 1)).limit(1).collect()
     if stray:
         raise ValueError(f"column {fold!r} has a value outside 0..{folds - 1}: {stray[0][fold]!r}")
