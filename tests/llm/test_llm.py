@@ -532,6 +532,51 @@ def test_lm_update_step_equals_a_plain_one(reach):
     assert np.isfinite(found).all() and np.allclose(found, want, rtol=1e-4, atol=1e-4 * reach)
 
 
+def test_lm_shared_outcome_takes_one_wide_choice_and_a_gate():
+    draw = np.random.default_rng(5)
+    side, n = 16, 60
+    last = side * side - 1
+    times = np.append(draw.integers(1, 50, last), 5000)
+    weights = lm.start_weights(times, side)
+    gate = lm.start_gate(times, weights)
+    start = np.exp(lm.log_probabilities(np.zeros((side * side, lm.FEATURES), np.uint64), np.arange(side * side), weights, gate))
+    assert np.allclose(start, (times + 1) / (times + 1).sum(), rtol=1e-4)
+    features = draw.integers(0, 20, (n, lm.FEATURES)).astype(np.uint64)
+    outcome = np.where(draw.random(n) < 0.5, last, draw.integers(last - 40, last + 1, n))
+    learner = lm.Learner(weights, gate)
+    learner.learn(features, outcome)
+    inside, shared = outcome // side == side - 1, outcome == last
+    # Rows of the wide weights: one choice of a class for all, one of a word for those that aren't shared.
+    assert learner.times.sum() == (n + (~shared).sum()) * (lm.FEATURES + 1)
+    rows = lm.slots(features, np.zeros(n, np.int64), side)[inside]
+    error = 1 / (1 + np.exp(-gate[rows, 0].sum(1))) - shared[inside]
+    step, met = np.zeros(len(gate)), np.zeros(len(gate))
+    np.add.at(step, rows, error[:, None])
+    np.add.at(met, rows, 1)
+    assert np.array_equal(learner.gate.times, met)
+    assert np.allclose(learner.gate.weights[:, 0], gate[:, 0] - lm.RATE * step / np.sqrt(1 + step * step), atol=1e-5)
+    every = np.arange(side * side)
+    for f in features[:3]:
+        total = np.exp(lm.log_probabilities(np.tile(f, (side * side, 1)), every, learner.weights, learner.gate.weights)).sum()
+        assert abs(total - 1) < 1e-5
+    assert lm.log_probabilities(features, outcome, learner.weights, learner.gate.weights).sum() > lm.log_probabilities(features, outcome, weights, gate).sum()
+
+
+def test_lm_tokens_do_not_depend_on_the_pieces_hashed_at_once(monkeypatch):
+    texts = ["", None, "a b " * 30, "c", " ", "word " * 50, "A b\tc"] * 3
+    column = pa.array(texts)
+    found = []
+    for size in (16, 1 << 16):
+        monkeypatch.setattr(lm, "HASHED_BYTES", size, raising=False)
+        ((low, high, tokens, first),) = lm._token_slices(column)
+        assert (low, high) == (0, len(texts)) and first[-1] == len(tokens)
+        found.append((tokens, first))
+    assert all(np.array_equal(a, b) for a, b in zip(*found))
+    tokens, first = found[0]
+    for k, t in enumerate(texts):
+        assert np.array_equal(tokens[first[k] : first[k + 1]], np.append(W.hash_text((t or "").encode(), W.LOWER), lm.END))
+
+
 def test_lm_learns_which_word_follows(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[(k + j) % 40] for j in range(200)) for k in range(400)]
